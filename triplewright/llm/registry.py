@@ -2,9 +2,13 @@
 
 from triplewright.llm.bpe import op6_bpe
 from triplewright.llm.packing import op10_packing
+from triplewright.llm.pii import op1_pii
+from triplewright.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op6_bpe": op6_bpe,
+    "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
