@@ -1,6 +1,7 @@
 """Queries of the text operators by name, each with SQL where SQL can state the same result."""
 
 from triplewright.llm.bpe import op6_bpe
+from triplewright.llm.embeddings import OP7_SQL, op7_embeddings
 from triplewright.llm.packing import op10_packing
 from triplewright.llm.pii import op1_pii
 from triplewright.llm.simhash import op8_simhash
@@ -8,7 +9,10 @@ from triplewright.llm.simhash import op8_simhash
 QUERIES = {
     "op1_pii": op1_pii,
     "op6_bpe": op6_bpe,
+    "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_embeddings": OP7_SQL,
+}

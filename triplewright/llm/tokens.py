@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries in each of the two generations of a worker's memory (about 200 bytes each).
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 400_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 10 << 20
 #: Characters whose class and lower case are the same everywhere: ASCII, Latin-1 and Latin Extended-A letters, common dashes, quotes.
@@ -115,19 +115,25 @@ class WordEncoder:
         return np.array(self.library.encode(part, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
-        known, fresh = self.parts.split(dict.fromkeys(parts))
-        if fresh:
+        """Ids of each of the distinct parts."""
+        out = list(map(self.parts.young.get, parts))
+        old = self.parts.old.get
+        for i in [i for i, v in enumerate(out) if v is None]:
+            out[i] = old(parts[i])
+        at = [i for i, v in enumerate(out) if v is None]
+        if at:
             odd, find = _ODD.search, _WORD_PIECE.findall
-            split = {p: None if odd(p) or "<|" in p else find(p.lower()) for p in fresh}
-            pieces, unseen = self.pieces.split(dict.fromkeys(x for v in split.values() if v for x in v))
+            split = [None if odd(p := parts[i]) or "<|" in p else find(p.lower()) for i in at]
+            pieces, unseen = self.pieces.split({x for v in split if v for x in v})
             learned = self._learn(unseen)
             self.pieces.add(learned)
             pieces |= learned
             get = pieces.__getitem__
-            made = {p: self._whole(p) if v is None else b"".join(map(get, v)) for p, v in split.items()}
-            self.parts.add(made)
-            known |= made
-        return list(map(known.__getitem__, parts))
+            made = [self._whole(parts[i]) if v is None else b"".join(map(get, v)) for i, v in zip(at, split)]
+            for i, v in zip(at, made):
+                out[i] = v
+            self.parts.add({parts[i]: v for i, v in zip(at, made)})
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]. Null texts are empty."""
