@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import table, text_column
-from triplewright.llm.tokens import slices, tokenizer_path, word_encoder
+from triplewright.llm.tokens import SLICE_BYTES, slices, tokenizer_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -98,7 +98,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | No
         encoder, bins, rows = word_encoder(path), Bins(TaskContext.get().partitionId(), capacity), []
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), 3 * SLICE_BYTES):
                 ids, offsets = encoder.encode(part)
                 raw, bounds = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
                 docs = batch.column("doc_id").slice(at, len(part)).to_pylist()

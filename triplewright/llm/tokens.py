@@ -60,6 +60,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    out = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    return out | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in out)}
+
+
 class Memory:
     """A bounded map: when the young generation is full it becomes the old one, and the old one is dropped."""
 
@@ -89,18 +95,23 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # the same model for pieces that are cut and mapped to byte letters already
+        self.merger = Tokenizer(self.library.model)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
         self.parts, self.pieces = Memory(), Memory()
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         out, groups = {}, [pieces[i : i + 32] for i in range(0, len(pieces), 32)]
-        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        mapped = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
+        for group, found in zip(groups, self.merger.encode_batch_fast(mapped, add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
@@ -145,8 +156,12 @@ class WordEncoder:
         length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         start = np.cumsum(length) - length
         pool = np.frombuffer(b"".join(encoded), np.uint32)
-        ids = pool[ranges(start[code], length[code])]
-        words = np.concatenate([[0], np.cumsum(length[code])])
+        words = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(length[code], out=words[1:])
+        ids = np.empty(words[-1], np.uint32)
+        for i in range(0, len(code), 1 << 19):  # a block's indices at a time
+            block = code[i : i + (1 << 19)]
+            ids[words[i] : words[min(len(code), i + (1 << 19))]] = pool[ranges(start[block], length[block])]
         at = lists.offsets.to_numpy().astype(np.int64)
         return ids, words[at - at[0]]
 
@@ -166,11 +181,8 @@ class ByteEncoder:
         size = max([*vocab.values(), *(t["id"] for t in model["added_tokens"])]) + 1
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.added_pattern = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = dict(zip(printable, map(chr, printable)))
-        shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.show = {b: ord(c) for b, c in shown.items()}
-        back = {ord(c): b for b, c in shown.items()}
+        self.show = byte_letters()
+        back = {c: b for b, c in self.show.items()}
         raw = [b""] * size
         for token, i in vocab.items():
             raw[i] = bytes(back[ord(c)] for c in token)
