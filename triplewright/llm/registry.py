@@ -2,15 +2,21 @@
 
 from triplewright.llm.bpe import op6_bpe
 from triplewright.llm.embeddings import OP7_SQL, op7_embeddings
+from triplewright.llm.html_text import op9_html
+from triplewright.llm.media import op5_media
 from triplewright.llm.packing import op10_packing
 from triplewright.llm.pii import op1_pii
 from triplewright.llm.simhash import op8_simhash
+from triplewright.llm.token_store import op3_token_store
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_token_store": op3_token_store,
+    "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
