@@ -7,11 +7,15 @@ from triplewright.llm.media import op5_media
 from triplewright.llm.packing import op10_packing
 from triplewright.llm.pii import op1_pii
 from triplewright.llm.simhash import op8_simhash
+from triplewright.llm.token_counts import op2_token_counts
 from triplewright.llm.token_store import op3_token_store
+from triplewright.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
     "op3_token_store": op3_token_store,
+    "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_embeddings": op7_embeddings,
