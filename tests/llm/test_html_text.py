@@ -34,6 +34,13 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[205] == "The same"
 
 
+def test_many_branches_are_joined_by_salted_hosts(spark, monkeypatch):
+    rows = [(i, "http://a/", f"<div class=t>Same words</div><div><p>Story {i}</p></div>") for i in range(20)]
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", -1)
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"Story {i}") for i in range(20)]
+
+
 def test_rules_and_references():
     cases = {
         "": "",

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.llm import markup
-from triplewright.llm.common import table
+from triplewright.llm.common import stage, table
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
 #: A branch is judged if it is on so many pages of its host and on this share of them (which bounds the branches of a host).
 LEAST_PAGES, LEAST_SHARE = 10, 0.01
+#: Branches of low importance that are broadcast (some 16 bytes each), and partitions of a host beyond that.
+MOST_BROADCAST, SALTS = 200_000, 64
 DROPPED_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input object canvas dialog menu head title option label fieldset math xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
@@ -132,10 +134,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return low.join(hosts, "host").where(f"m >= {LEAST_SHARE} * pages").groupBy("host").agg(F.collect_list("sig").alias("low"))
 
 
+def with_low(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """pages with their host's low branches. Up to MOST_BROADCAST of them are broadcast, so that no page is moved; beyond that hosts are
+    dealt to SALTS partitions each, whose pages may be a large share of all."""
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= MOST_BROADCAST:
+        return pages.join(F.broadcast(low), "host", "left")
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.expr(f"int(pmod(xxhash64(url, length(html)), {SALTS}))")).join(salted, ["host", "salt"], "left")
+
+
 def main_text(df: DataFrame, id: str = "page_id") -> DataFrame:
     """(id, url, text, n_chars) of each page of df (id, url, html)."""
     pages = df.select(F.col(id), F.col("url"), F.col("html"), host_of().alias("host"))
-    joined = pages.join(style_tree(pages), "host", "left").select(id, "url", "html", "low")
+    joined = with_low(pages, stage(style_tree(pages))).select(id, "url", "html", "low")
 
     def run(batches):
         sets: dict = {}
