@@ -106,7 +106,7 @@ def host(url: Column) -> Column:
 def extension(url: Column) -> Column:
     """Extension of the last path segment; query and fragment are ignored."""
     path = F.regexp_replace(url, r"[?#].*$", "")
-    return F.lower(F.regexp_extract(path, r"/[^/]*\.([A-Za-z0-9]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"^[^:/]+://[^/]*/(?:.*/)?[^/]*\.([A-Za-z0-9]+)$", 1))
 
 
 def namespace_token(namespace: Column) -> Column:
