@@ -321,3 +321,5 @@ query("host_schedule", "SELECT page_id AS id, 30 * (row_number() OVER (PARTITION
 query("held_drafts", "SELECT id, CASE WHEN id % 40 >= 30 THEN 'retire' WHEN id % 40 >= 7 AND id % 2 = 1 THEN 'nudge' ELSE 'wait' END AS action FROM versions")(
     lambda t: t.versions.select("id", usage.held_action(F.col("id") % 40, F.col("id") % 2 == 0).alias("action")))
 query("missing_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")(lambda t: t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
+
+from triplewright.plans import registry_browse  # noqa: E402, F401  adds its queries
