@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def trimmed(batches):
+    """The batches; at their end a worker gives back what it holds without need, as it lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_column(name: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import table, text_column
+from triplewright.llm.common import table, text_column, trimmed
 from triplewright.llm.tokens import SLICE_BYTES, slices, tokenizer_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -98,7 +98,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | No
         encoder, bins, rows = word_encoder(path), Bins(TaskContext.get().partitionId(), capacity), []
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text"), 3 * SLICE_BYTES):
+            for part in slices(batch.column("text"), 2 * SLICE_BYTES):
                 ids, offsets = encoder.encode(part)
                 raw, bounds = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
                 docs = batch.column("doc_id").slice(at, len(part)).to_pylist()
@@ -116,7 +116,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | No
         if rows := rows + bins.rest():
             yield batch_of(rows)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(run, SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(lambda batches: trimmed(run(batches)), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

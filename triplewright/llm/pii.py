@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplewright.llm.common import table
+from triplewright.llm.common import table, trimmed
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "local_phone")
@@ -179,7 +179,7 @@ def redacted(df: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([None if t is None else redact(t, all_spans(t)) for t in (x.as_py() for x in batch.column(text))], pa.string())
             yield batch.set_column(batch.schema.get_field_index(text), text, new)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), df.schema)
 
 
 def joined(spans) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import components, stage, table
+from triplewright.llm.common import components, stage, table, trimmed
 
 SEED = 42
 SHINGLE = 3
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id, "fp"])
 
-    return df.select(F.col(id).cast("long").alias(id), F.col(text)).mapInArrow(run, f"{id} long, fp long")
+    return df.select(F.col(id).cast("long").alias(id), F.col(text)).mapInArrow(lambda batches: trimmed(run(batches)), f"{id} long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:

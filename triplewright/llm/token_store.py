@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import drop_path, shared_dir, table, text_column
+from triplewright.llm.common import drop_path, shared_dir, table, text_column, trimmed
 from triplewright.llm.tokens import SLICE_BYTES, slices, tokenizer_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -147,7 +147,7 @@ def write(df: DataFrame, base: str, end: int = END, path: str | None = None) ->
                 at += len(part)
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
-    staged = source.mapInArrow(encoded, f"doc_id long, n_tokens long, recipe {_RECIPE}, chunks array<struct<digest: binary, n: int, data: binary>>")
+    staged = source.mapInArrow(lambda batches: trimmed(encoded(batches)), f"doc_id long, n_tokens long, recipe {_RECIPE}, chunks array<struct<digest: binary, n: int, data: binary>>")
     staged.write.option("compression", "zstd").parquet(f"{base}/staged")
     staged = spark.read.parquet(f"{base}/staged")
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.*").dropDuplicates(["digest"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries in each of the two generations of a worker's memory (about 200 bytes each).
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 200_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 10 << 20
 #: Characters whose class and lower case are the same everywhere: ASCII, Latin-1 and Latin Extended-A letters, common dashes, quotes.

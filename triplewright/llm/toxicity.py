@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplewright.llm.common import drop_path, shared_dir, stage, table
+from triplewright.llm.common import drop_path, shared_dir, stage, table, trimmed
 
 #: Categories in the order of the chain, and how each follows from the labels table.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -40,7 +40,7 @@ PENALTY = 0.05
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def features_of(word: str) -> list[str]:
@@ -135,7 +135,7 @@ def select_features(sample: DataFrame, categories: list[str]) -> DataFrame:
                     for i, m in enumerate(mark):
                         if m is not None:
                             row[2 * i + int(m)] += 1
-            if len(counts) > 300_000:
+            if len(counts) > 100_000:
                 yield batch_of(counts)
                 counts = {}
         if counts:
@@ -146,7 +146,7 @@ def select_features(sample: DataFrame, categories: list[str]) -> DataFrame:
 
     names = ["feature", *(f"n{i}" for i in range(2 * k))]
     schema = ", ".join(["feature string", *(f"n{i} long" for i in range(2 * k))])
-    found = sample.select("text", *categories).mapInArrow(count, schema).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names[1:]))
+    found = sample.select("text", *categories).mapInArrow(lambda batches: trimmed(count(batches)), schema).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names[1:]))
     totals = sample.agg(*(F.sum(F.when(F.col(c) == v, 1).otherwise(0)).alias(f"t{2 * i + v}") for i, c in enumerate(categories) for v in (0, 1))).first()
     out = None
     for i in range(k):
@@ -216,7 +216,7 @@ def score(df: DataFrame, chain: Chain) -> DataFrame:
             p = fitted.probabilities(_rows(batch, fitted.vocabulary, known)) if batch.num_rows else np.zeros((0, len(names)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(p[:, k]) for k in range(len(names)))], [*kept, *names])
 
-    return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return df.select(*kept).mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
