@@ -93,3 +93,18 @@ def test_guards():
             parse(bad)
     with pytest.raises(SparqlError):
         safe_iri("http://x/ y")
+
+
+def test_constants_reach_the_scan(spark, quads, tmp_path):
+    quads.write.partitionBy("g").parquet(f"{tmp_path}/q")
+    stored = spark.read.parquet(f"{tmp_path}/q")
+    df = sparql.run(stored, PRE + "SELECT ?s FROM <urn:g:1> WHERE { ?s a :Class }")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan and "EqualTo(p," in plan
+    assert "Exchange" not in plan and df.count() == 3
+
+
+def test_disjoint_graphs_need_no_duplicate_removal(quads):
+    text = PRE + "SELECT ?s ?n WHERE { ?s :size ?n }"
+    one, other = sparql.run(quads, text), sparql.run(quads, text, disjoint=True)
+    assert "Aggregate" not in other._jdf.queryExecution().executedPlan().toString() and sorted(one.collect()) == sorted(other.collect())

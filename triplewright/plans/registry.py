@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def sparql_query(name: str, text: str, sql: str | None) -> None:
-    query(name, sql)(lambda t: sparql.run(t.quads, PRE + text, decode=not text.startswith(("ASK", "CONSTRUCT", "DESCRIBE"))))
+    query(name, sql)(lambda t: sparql.run(t.quads, PRE + text, decode=not text.startswith(("ASK", "CONSTRUCT", "DESCRIBE")), disjoint=True))  # each kind of row makes triples of one graph
 
 
 # SPARQL

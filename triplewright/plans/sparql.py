@@ -64,8 +64,9 @@ class Value:
 
 
 class Compiler:
-    def __init__(self, quads: DataFrame, default_graphs: list[str] = (), named_graphs: list[str] = ()):
+    def __init__(self, quads: DataFrame, default_graphs: list[str] = (), named_graphs: list[str] = (), disjoint: bool = False):
         self.spark: SparkSession = quads.sparkSession
+        self.disjoint = disjoint
         self.quads, self.default, self.named = quads, list(default_graphs), list(named_graphs)
 
     # scans
@@ -73,8 +74,8 @@ class Compiler:
         """Triples (s, p, o), and g if the graph is a variable. The default graph is the union of all (or of FROM), without duplicates."""
         if graph is None:
             quads = self.quads.where(F.col("g").isin(self.default)) if self.default else self.quads
-            one = len(self.default) == 1
-            return quads.select("s", "p", "o") if one else quads.select("s", "p", "o").distinct()
+            once = self.disjoint or len(self.default) == 1
+            return quads.select("s", "p", "o") if once else quads.select("s", "p", "o").distinct()
         quads = self.quads.where(F.col("g").isin(self.named)) if self.named else self.quads
         if isinstance(graph, Var):
             return quads.where(F.col("g") != DEFAULT_GRAPH).select("g", "s", "p", "o")
@@ -451,13 +452,14 @@ class Compiler:
         return Solutions(df, shown, {n for n in shown if n in out.maybe or n not in out.names})
 
 
-def run(quads: DataFrame, text: str, default_graphs: list[str] = (), named_graphs: list[str] = (), decode: bool = False) -> DataFrame:
+def run(quads: DataFrame, text: str, default_graphs: list[str] = (), named_graphs: list[str] = (), decode: bool = False, disjoint: bool = False) -> DataFrame:
     """Result of a query. SELECT: a column per variable; ASK: one boolean `answer`; CONSTRUCT and DESCRIBE: distinct s, p, o.
 
     Graph IRIs given by the caller take the place of FROM clauses. decode: lexical forms instead of terms.
+    disjoint: the caller knows that no triple stands in more than one graph; then the union of graphs needs no shuffle for duplicates.
     """
     q = S.parse(text)
-    compiler = Compiler(quads, list(default_graphs) or q.default_graphs, list(named_graphs) or q.named_graphs)
+    compiler = Compiler(quads, list(default_graphs) or q.default_graphs, list(named_graphs) or q.named_graphs, disjoint)
     if q.form == "SELECT":
         out = compiler.select(q).df
         return out.select(*(T.lexical(F.col(c)).alias(c) for c in out.columns)) if decode else out
