@@ -108,9 +108,21 @@ def _apply(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(np.where(bits, matrix[None], np.uint32(0)), axis=1).astype(np.uint32)
 
 
+@lru_cache(maxsize=8192)
+def _columns(n: int) -> tuple[int, ...]:
+    return tuple(_zeros(n).tolist())
+
+
 def combined(crc: int, after: int, n: int) -> int:
     """CRC-32 of two byte strings one after the other, n being the second's length."""
-    return int(_apply(_zeros(n), np.array([crc], np.uint32))[0]) ^ after if n else crc
+    if not n:
+        return crc
+    columns = _columns(n)
+    while crc:  # plain integers: one number is too little for an array
+        low = crc & -crc
+        after ^= columns[low.bit_length() - 1]
+        crc ^= low
+    return after
 
 
 def write(df: DataFrame, base: str, end: int = END, path: str | None = None) -> None:
