@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplewright.llm import markup
-from triplewright.llm.common import shared_dir, table, text_column
+from triplewright.llm.common import shared_dir, stage, table, text_column
 
 ROW = 192
 LEVEL = 2
@@ -184,8 +184,9 @@ def resolve(df: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features are written before the join, so that both of its sides are dealt for it and a digest of very many references is split."""
     base = shared_dir(spark)
     store(table(spark, sf_dir, "documents"), base)
     stored = spark.read.parquet(base)
-    found = resolve(interleave(stored.select("doc_id", "n_bytes", "html")), payload_features(stored))
+    found = resolve(interleave(stored.select("doc_id", "n_bytes", "html")), stage(payload_features(stored)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
