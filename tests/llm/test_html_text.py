@@ -41,6 +41,17 @@ def test_many_branches_are_joined_by_salted_hosts(spark, monkeypatch):
     assert sorted((r.page_id, r.text) for r in got) == [(i, f"Story {i}") for i in range(20)]
 
 
+def test_a_layout_on_few_of_a_hosts_pages_is_judged(spark, monkeypatch):
+    rows = [(i, f"http://a/{i}", f"<div class=main><p>Story {i}</p></div>") for i in range(1500)]
+    rows += [(2000 + i, f"http://a/x{i}", f"<div class=t>Same words</div><div class=u><p>Other story {i}</p></div>") for i in range(12)]
+    rows += [(3000 + i, f"http://b/{i}", f"<div class=v>Words of b</div><div><p>Story {i}</p></div>") for i in range(12)]
+    expected = sorted((i, f"Other story {i - 2000}" if 2000 <= i < 3000 else f"Story {i % 3000}") for i, _, _ in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html_text.MOST_LISTED, 0):
+        monkeypatch.setattr(html_text, "MOST_LISTED", most)
+        assert sorted((r.page_id, r.text) for r in html_text.main_text(df).collect()) == expected
+
+
 def test_rules_and_references():
     cases = {
         "": "",

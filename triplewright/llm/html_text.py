@@ -25,8 +25,10 @@ from triplewright.llm.common import stage, table
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
-#: A branch is judged if it is on so many pages of its host and on this share of them (which bounds the branches of a host).
-LEAST_PAGES, LEAST_SHARE = 10, 0.01
+#: A branch is judged if it is on so many pages of its host, however many pages that has.
+LEAST_PAGES = 10
+#: Low branches of a host that go to its pages as one list; beyond that each page gets those of its own branches.
+MOST_LISTED = 1_000
 #: Branches of low importance that are broadcast (some 16 bytes each), and partitions of a host beyond that.
 MOST_BROADCAST, SALTS = 200_000, 64
 DROPPED_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input object canvas dialog menu head title option label fieldset math xmp noembed noframes".split())
@@ -103,7 +105,7 @@ def host_of(url: str = "url"):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, low): signatures of each host's branches of low importance; pages has host and html."""
+    """(host, sig): signatures of each host's branches of low importance; pages has host and html."""
     schema = "host string, sig long, kind int, feature long, width long, n long"
 
     def run(batches):
@@ -129,18 +131,42 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = F.coalesce((base - F.col("spread") / F.col("m")) / base, F.lit(0.0))
     content = F.coalesce(1 - F.col("shared") / base, F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.coalesce(F.col("width") / F.col("m"), F.lit(0.0)))
-    low = nodes.where(f"m >= {LEAST_PAGES}").where((1 - weight) * presentation + weight * content < LEAST_IMPORTANCE)
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    return low.join(hosts, "host").where(f"m >= {LEAST_SHARE} * pages").groupBy("host").agg(F.collect_list("sig").alias("low"))
+    return nodes.where(f"m >= {LEAST_PAGES}").where((1 - weight) * presentation + weight * content < LEAST_IMPORTANCE).select("host", "sig")
 
 
-def with_low(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """pages with their host's low branches. Up to MOST_BROADCAST of them are broadcast, so that no page is moved; beyond that hosts are
+def with_lists(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """pages with their host's list of low branches. Up to MOST_BROADCAST of them are broadcast, so that no page is moved; beyond that hosts are
     dealt to SALTS partitions each, whose pages may be a large share of all."""
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= MOST_BROADCAST:
         return pages.join(F.broadcast(low), "host", "left")
     salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.expr(f"int(pmod(xxhash64(url, length(html)), {SALTS}))")).join(salted, ["host", "salt"], "left")
+    return pages.withColumn("salt", F.expr(f"int(pmod(xxhash64(url, length(html)), {SALTS}))")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def own_signatures(pages: DataFrame) -> DataFrame:
+    """(host, page, sig) of pages (host, page, html): signatures of each page."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(h, p, s) for h, p, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))) for s in {r[0] for r in statistics(html or "")}]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["host", "page", "sig"])
+
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, sig long")
+
+
+def with_low(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """pages with low, the signatures among low (host, sig) that their host has, or for hosts of more than MOST_LISTED those that they have themselves."""
+    sizes = stage(low.groupBy("host").agg(F.count("*").alias("branches")))
+    crowded = sizes.where(f"branches > {MOST_LISTED}").select("host")
+    listed = low.join(crowded, "host", "left_anti").groupBy("host").agg(F.collect_list("sig").alias("low"))
+    if crowded.isEmpty():
+        return with_lists(pages, listed)
+    # few hosts, each with many branches
+    theirs = pages.join(F.broadcast(crowded), "host", "left_semi").withColumn("page", F.xxhash64("html"))
+    own = own_signatures(theirs).distinct().join(low, ["host", "sig"]).groupBy("host", "page").agg(F.collect_list("sig").alias("low"))
+    rest = with_lists(pages.join(F.broadcast(crowded), "host", "left_anti"), listed)
+    return rest.unionByName(theirs.join(own.hint("merge"), ["host", "page"], "left").drop("page"))
 
 
 def main_text(df: DataFrame, id: str = "page_id") -> DataFrame:
@@ -154,6 +180,8 @@ def main_text(df: DataFrame, id: str = "page_id") -> DataFrame:
             texts = []
             for html, low in zip(batch.column("html"), batch.column("low").to_pylist()):
                 key = tuple(low or ())
+                if len(sets) > MOST_LISTED:
+                    sets.clear()
                 texts.append(extract(html.as_py() or "", sets.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column(id), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id, "url", "text", "n_chars"])
 
