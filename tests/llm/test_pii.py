@@ -57,6 +57,18 @@ def test_method_adds_kinds():
     assert pii.redact("a b@c.de f", pii.all_spans("a b@c.de f")) == "a [EMAIL] f"
 
 
+def test_ibans_end_at_a_blank():
+    iban, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for text, found in (
+        (f"IBAN {iban} BIC COBADEFF", [iban]),
+        ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+        (f"{iban} {other} EUR", [iban, other]),
+        (f"AB12 REF0 {iban} X", [iban]),
+        ("IBAN GB82 WEST 1234 5698 7654 33 BIC", []),
+    ):
+        assert [text[a:b] for a, b in pii._ibans(text)] == found, text
+
+
 def test_long_runs_are_linear():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" * 150_000, "1 " * 150_000, "A" * 300_000, "@a" * 100_000):
         pii.all_spans(t)

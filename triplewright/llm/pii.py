@@ -103,10 +103,17 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        compact = m[0].replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            yield m.span()
+    """Of each proposed stretch the longest part up to a blank that mod-97 confirms; without one, later starts in it are tried."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = m.end()
+        while end > m.start():
+            compact = text[m.start() : end].replace(" ", "")
+            if 15 <= len(compact) <= 34 and mod97(compact):
+                yield m.start(), end
+                break
+            end = text.rfind(" ", m.start(), end)
+        at = end if end > m.start() else m.start() + 4
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
