@@ -45,3 +45,11 @@ def test_odd_rows(spark, odd, tmp_path):
         for _, function in corpus_pipeline.STAGES:
             out = stage(function(spark, out, str(tmp_path)))
         assert out.count() >= (rows.count() > 0)
+
+
+def test_repeated_ids_are_decided_by_row(spark, tmp_path):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, a + " more", "x"), (3, a, "x"), (4, "one two", "x"), (4, "one two", "y"), (5, "last", "x"), (5, "last", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept == [(1, a), (2, b), (4, "one two"), (5, "last")]
