@@ -1,5 +1,6 @@
 import html as library
 import re
+import time
 
 from triplewright.llm import html_text
 
@@ -63,17 +64,60 @@ def test_rules_and_references():
         "<ul><li>one<li>two</ul><table><tr><td>1<td>2</table>": "one\ntwo\n1\n2",
         "<p>1 < 2 and <unclosed": "1 < 2 and <unclosed",
         "<article class=comment>c</article><p>kept</p>": "kept",
+        '<p>a <span style="display:none">HIDDEN</span> b</p>': "a b",
+        "<article><p>x <span class='ad'>BUY NOW</span>y <a class='share'>Share this</a> <button>Go</button></p></article>": "x y",
+        "<article><div class='related-work'><p>Others</p></div><div class='rail-transport'><p>Trains run.</p></div><section id='comment-on-method'><p>M</p></section></article>": "Others\nTrains run.\nM",
+        "<article>t<div class='related box'>no</div><div id=comment-12>no</div><div class=adBanner>no</div><div class='cookie_notice'>no</div></article>": "t",
+        "<article><p>so <math><mi>x</mi><annotation>no</annotation></math> is</p></article>": "so x is",
+        "<p>Hello <script>var a</script>world <template><p>no</p></template>again</p>": "Hello world again",
+        "<article><h1>T</h1></article><div><p>Body</p></div>": "T\nBody",
+        "<ul><li class='ad'>" + "<i>" * 70 + "ad<li>real</ul>": "real",
+        "<div>a<div hidden><p>no</p></div>b</div>": "ab",
     }
     for source, text in cases.items():
         assert html_text.extract(source) == text, source
 
 
 def test_odd_pages(spark):
-    df = spark.createDataFrame([(1, None, None), (2, None, "<p>x</p>"), (None, "u", "<p>y</p>"), (3, "http://a/", "")], "page_id long, url string, html string")
-    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.main_text(df).collect()) == [(0, "y", 1), (1, "", 0), (2, "x", 1), (3, "", 0)]
+    long = "<p>word &amp; more</p>" * 60_000
+    rows = [(1, None, None, 1, "k"), (2, None, "<p>x</p>", 1, "k"), (None, "u", "<p>y</p>", 1, "k"), (3, "http://a/", "", 1, "k"), (4, "http://a/", long, 1, "k"), (2, None, "<p>x</p>", 1, "k")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, host string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.main_text(df).collect())
+    whole = "\n".join(["word & more"] * 60_000)
+    assert got == [(0, "y", 1), (1, "", 0), (2, "x", 1), (2, "x", 1), (3, "", 0), (4, whole, len(whole))]
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_importance_alone_decides_without_rules(spark, sf_dir):
+    """The tables' boilerplate comes in some 60 variants over all hosts, so that a higher limit than the operator's is needed to tell it from content there."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet".replace("sf0.001", "sf0.1")).withColumn("host", html_text.host_of())
+    low = {}
+    for r in html_text.style_tree(pages, least=0.75).collect():
+        low.setdefault(r.host, set()).add(r.sig)
+    changed = 0
+    for r in pages.collect():
+        theirs = frozenset(low.get(r.host, ()))
+        with_tree, without = html_text.extract(r.html, theirs, rules=False), html_text.extract(r.html, rules=False)
+        assert set(plain(r.html).split("\n")) <= set(with_tree.split("\n"))
+        changed += with_tree != without
+    assert changed > 0
+
+
 def test_long_pages_are_linear():
-    for t in ("<" * 200_000, "<a " * 100_000, "<b>" * 50_000, "<p>" * 50_000, "<!--" * 50_000, "<a href='" * 50_000, "</p>" * 50_000, "<div>" * 3_000 + "x"):
+    shapes = ("<" * 200_000, "<a " * 100_000, "<b>" * 50_000, "<p>" * 50_000, "<!--" * 50_000, "<a href='" * 50_000, "</p>" * 50_000, "<div>" * 3_000 + "x", "<b>x<p>y</p>" * 8_000, "<div>x" * 16_000)
+    shapes += ("<p><button>" + "<ul>" * 10_000 + "<p></p>" * 10_000, "<li><i>x" * 12_000)
+    for t in shapes:
+        began = time.process_time()
         html_text.extract(t)
+        html_text.statistics(t)
+        assert time.process_time() - began < 20 * len(t) / 1e6, t[:40]  # a few microseconds a character; a square of the length would take far more
+
+
+def test_time_grows_with_the_length():
+    def seconds(n):
+        began = time.process_time()
+        for _ in range(max(1, 40_000 // n)):
+            html_text.statistics("<b>x<p>y</p>" * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 6 * seconds(5_000) + 0.5

@@ -1,19 +1,26 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged by element signatures (paths of tags, classes and ids). For each signature of a host two
+Pages of a host are merged by element signatures (paths of block-level tags, classes and ids). For each signature of a host two
 importances come from entropies to the base of its number of pages: that of presentation (how evenly its sequences
-of children differ) and that of content (how few pages share the texts below it). They are mixed with the weight GAMMA per
+of children differ) and that of content (how few pages share the text below it). They are mixed with the weight GAMMA per
 child: a node without children counts by content alone. Branches below LEAST_IMPORTANCE go from each page, if enough pages of
-the host have them. Elements whose meaning is stated (nav, footer, form, class="ad", ...) go on any host, as does what isn't shown.
+the host have them.
 
-If a page has an article or main element, only what is inside is main text, and style-tree removal there touches
-only containers that carry a class or id, so that pages whose articles are copies of each other keep their text. If removal leaves nothing of a page, its
-other text stays. White space within a block becomes one space, blocks are joined by line ends. Null pages give an empty text.
+Importance is asked first. What it leaves on a page is then cut by what pages state: elements that are menus, headers, footers, forms,
+adverts, comments and so on by tag, role, or the name of a class or id; this decides alone on hosts of few pages, and where boilerplate varies
+so much that importance can't tell it from content. A name states something if all of its parts do (cookie-notice, ad_slot),
+so that related-work or rail-transport state nothing. Last, if what is left holds an article or main element with more than headings,
+only what is inside stays. Importance touches there only containers that carry a class or id, so that pages whose articles are copies
+of each other keep their text. If importance leaves nothing of a page, its other text stays.
+
+What isn't shown (scripts, hidden elements) and inline elements that state an advert or a form's part are left out of their
+block, which goes on after them. White space within a block becomes one space, blocks are joined by line ends. Null pages give an empty text.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 
 from triplewright.llm import markup
 from triplewright.llm.common import stage, table
+from triplewright.llm.markup import HIDDEN
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
@@ -31,41 +39,68 @@ LEAST_PAGES = 10
 MOST_LISTED = 1_000
 #: Branches of low importance that are broadcast (some 16 bytes each), and partitions of a host beyond that.
 MOST_BROADCAST, SALTS = 200_000, 64
-DROPPED_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input object canvas dialog menu head title option label fieldset math xmp noembed noframes".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-DROPPED_WORDS = frozenset(
+HIDDEN_TAGS = frozenset("head title script style noscript template iframe canvas object noembed noframes desc defs metadata annotation annotation-xml".split())
+STATED_TAGS = frozenset("nav footer aside form button select option textarea input label fieldset dialog menu".split())
+STATED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+STATED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar rail menu nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead comment comments commentlist reply replies disqus share sharing social related recommended widget toolbar pagination pager login signup search skip alert disclaimer copyright".split()
 )
-#: Dropped only outside article and main elements.
-_OUTER_WORDS = frozenset("header topbar top sitename".split())
-_WORDS = re.compile(r"[a-z0-9]+")
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody tfoot tr td th dl dt dd figure figcaption hr".split()) | markup.INLINE
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-KEEP, DROP, MAIN = 0, 1, 2
-
-
-def enter(tag: str, attrs: dict, outer) -> int:
-    """DROP for what never is main text, MAIN inside an article or main element, else KEEP."""
-    if outer == DROP or tag in DROPPED_TAGS or tag == "header" and outer != MAIN:
-        return DROP
+#: Parts of names that state nothing by themselves and don't keep a name from stating something.
+_NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons col column container content desktop fixed full global group holder icons inner item items label left link links list main mobile module outer page panel placeholder primary region right row"
+    " secondary section site slot sticky text thread top unit wide wrap wrapper".split()
+)
+#: Stated only outside article and main elements.
+_OUTER_NAMES = frozenset("header topbar sitename".split())
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_]+")
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody tfoot tr td th dl dt dd figure figcaption hr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What is known of an element and those around it: stated, of low importance, inside an article or main element, inside a heading.
+STATED, LOW, MAIN, HEADING = 1, 2, 4, 8
+
+
+@lru_cache(maxsize=20_000)
+def stated(names: str, inside: bool) -> bool:
+    """Whether one of the names (of classes or an id) states what isn't main text; inside: of an article or main element."""
+    for name in names.split():
+        words = {p.lower() for p in _PARTS.findall(name)} - _NEUTRAL
+        words = {w for w in words if not w.isdigit()}
+        if words and words <= (STATED_NAMES if inside else STATED_NAMES | _OUTER_NAMES):
+            return True
+    return False
+
+
+def enter(tag: str, attrs: dict, outer, signature: int = 0, low=frozenset()):
+    """HIDDEN for what isn't shown, else the flags that hold for an element; low: signatures of low importance on the page's host."""
+    state = outer or 0
+    if tag in HIDDEN_TAGS:
+        return HIDDEN
+    is_stated = tag in STATED_TAGS or tag == "header" and not state & MAIN
     if attrs:
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROPPED_ROLES or _HIDDEN.search(attrs.get("style", "")):
-            return DROP
-        named = attrs.get("class", "") + " " + attrs.get("id", "")
-        words = _WORDS.findall(named.lower())
-        if words and tag not in ("html", "body", "article", "main") and not (DROPPED_WORDS.isdisjoint(words) and (outer == MAIN or _OUTER_WORDS.isdisjoint(words))):
-            return DROP
-        if tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}.isdisjoint(words):
-            return DROP
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _STYLE.search(attrs.get("style", "")):
+            return HIDDEN
+        if attrs.get("role", "").lower() in STATED_ROLES:
+            is_stated = True
+        elif (names := f"{attrs.get('class', '')} {attrs.get('id', '')}") != " " and tag not in ("html", "body", "main"):
+            is_stated = is_stated or stated(names, bool(state & MAIN) or tag == "article")
+    if tag in markup.INLINE:
+        return HIDDEN if is_stated else state
+    if is_stated:
+        state |= STATED
     if tag in ("article", "main") or attrs.get("role") == "main":
-        return MAIN
-    return outer or KEEP
+        return state & ~LOW | MAIN
+    if tag in _HEADINGS:
+        state |= HEADING
+    if signature in low and (not state & MAIN or tag not in _PROSE and bool(attrs.get("class") or attrs.get("id"))):
+        state |= LOW
+    return state
 
 
-def _container(e: markup.Element) -> bool:
-    """Whether an element inside the main element may be removed by importance: a container with a class or id."""
-    return e.state == MAIN and e.tag not in _PROSE and e.tag not in ("article", "main") and bool(e.attributes.get("class") or e.attributes.get("id"))
+def shown(tag: str, attrs: dict, outer, signature: int = 0):
+    """HIDDEN for what isn't shown; nothing else is known of an element."""
+    return HIDDEN if enter(tag, attrs, MAIN) is HIDDEN else 0
 
 
 def _hash(text: str) -> int:
@@ -73,30 +108,37 @@ def _hash(text: str) -> int:
 
 
 def statistics(html: str) -> set[tuple[int, int, int, int]]:
-    """Distinct (signature, kind, feature, children) of a page: kind 0 the node is there, 1 its children's sequence, 2 a text below it."""
+    """Distinct (signature, kind, feature, children) of a page: kind 0 the node is there, 1 its children's sequence, 2 all the text below it."""
     out: set[tuple[int, int, int, int]] = set()
+    below: dict[int, int] = {}
+
+    def add(element, feature):
+        below[id(element)] = hash((below.get(id(element), 0), feature))
 
     def leave(element):
-        if element.state != DROP:
-            out.add((element.signature, 0, 0, 0))
-            if element.children:
-                out.add((element.signature, 1, _hash(" ".join(element.children)), len(element.children)))
-
-    for block in markup.read(html, enter, leave):
-        if block.kind == "text" and block.element.state != DROP:
-            feature = _hash(block.text)
-            out.update((e.signature, 2, feature, 0) for e in block.path[1:])
+        if element.state is HIDDEN or element.tag in markup.INLINE:
+            return
+        out.add((element.signature, 0, 0, 0))
+        if element.children:
+            out.add((element.signature, 1, _hash(" ".join(element.children)), len(element.children)))
+        if feature := below.pop(id(element), None):
+            out.add((element.signature, 2, feature, 0))
+            add(element.outer, feature)
+
+    for block in markup.read(html, shown, leave):
+        if block.kind == "text":
+            add(block.element, _hash(block.text))
     return out
 
 
-def extract(html: str, low=frozenset()) -> str:
-    """The main text, low being the signatures of low importance on the page's host."""
-    blocks = [b for b in markup.read(html or "", enter) if b.kind == "text" and b.element.state != DROP]
-    if any(b.element.state == MAIN for b in blocks):
-        blocks = [b for b in blocks if b.element.state == MAIN]
-    if low:
-        judged = [b for b in blocks if not any(e.signature in low and (b.element.state != MAIN or _container(e)) for e in b.path[1:])]
-        blocks = judged or blocks
+def extract(html: str, low=frozenset(), rules: bool = True) -> str:
+    """The main text, low being the signatures of low importance on the page's host. Without rules, importance alone decides."""
+    blocks = [b for b in markup.read(html or "", lambda *a: enter(*a, low)) if b.kind == "text"]
+    if rules:
+        blocks = [b for b in blocks if not (b.element.state or 0) & STATED]
+    blocks = [b for b in blocks if not (b.element.state or 0) & LOW] or blocks
+    if rules and any((b.element.state or 0) & (MAIN | HEADING) == MAIN for b in blocks):
+        blocks = [b for b in blocks if (b.element.state or 0) & MAIN]
     return "\n".join(b.text for b in blocks)
 
 
@@ -104,8 +146,8 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, sig): signatures of each host's branches of low importance; pages has host and html."""
+def style_tree(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, sig): signatures of each host's branches of an importance below `least`; pages has host and html."""
     schema = "host string, sig long, kind int, feature long, width long, n long"
 
     def run(batches):
@@ -131,7 +173,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = F.coalesce((base - F.col("spread") / F.col("m")) / base, F.lit(0.0))
     content = F.coalesce(1 - F.col("shared") / base, F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.coalesce(F.col("width") / F.col("m"), F.lit(0.0)))
-    return nodes.where(f"m >= {LEAST_PAGES}").where((1 - weight) * presentation + weight * content < LEAST_IMPORTANCE).select("host", "sig")
+    return nodes.where(f"m >= {LEAST_PAGES}").where((1 - weight) * presentation + weight * content < least).select("host", "sig")
 
 
 def with_lists(pages: DataFrame, low: DataFrame) -> DataFrame:

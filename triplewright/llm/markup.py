@@ -1,7 +1,8 @@
 """A tolerant HTML reader: one pass, linear in the page, no tree in memory.
 
-It yields blocks of text and media elements in page order, each with the signatures of the elements around it. A signature is a
-hash of the path of tags, classes and ids from the root, so equal places in pages of a site have equal signatures.
+It yields blocks of text and media elements in page order, each with the element around it. What a caller wants to know of the
+elements further out it puts into their state, which is handed down. A signature is a hash of the path of tags, classes and ids of
+the block-level elements from the root, so equal places in pages of a site have equal signatures.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ _DECLARATION = re.compile(r"<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][\w:.@-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture img source audio video track br".split())
+#: Elements within a line: they don't end a block of text and are no places of their own.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i input ins kbd label map mark math meter object output progress q rp rt ruby s samp select small span strike strong sub sup svg"
+    " textarea time tt u var wbr picture img source audio video track br"
+    " mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics g path text textpath tspan".split()
+)
 MEDIA = frozenset("img video audio".split())
 #: Open elements that a start tag ends: name -> (those it ends, those it does not reach past).
 ENDS = {
-    **{t: (frozenset(["p"]), frozenset(["button", "table", "article", "section", "div"])) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
+    **{t: (frozenset(["p"]), frozenset(["button", "table", "td", "th", "caption", "template", "object", "article", "section", "div"])) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -31,13 +37,23 @@ ENDS = {
 }
 
 
+class Hidden:
+    """The state of an element that isn't shown: its text is left out and it doesn't end the block of text around it."""
+
+
+HIDDEN = Hidden()
+
+
 class Element(NamedTuple):
     tag: str
     signature: int
     attributes: dict
     #: What the reader's caller made of it and of the elements around it.
     state: object
+    #: Tags of the block-level elements directly in it.
     children: list
+    #: The block-level element around it.
+    outer: object
 
 
 class Block(NamedTuple):
@@ -46,7 +62,6 @@ class Block(NamedTuple):
     kind: str
     text: str
     element: Element
-    path: tuple
 
 
 def attributes(raw: str) -> dict:
@@ -59,28 +74,39 @@ def signature(parent: int, tag: str, attrs: dict) -> int:
 
 
 def read(html: str, enter, leave=None):
-    """Yields Blocks. enter(tag, attributes, outer state) gives an element's state; leave(element) is called as it ends."""
-    root = Element("", 0, {}, None, [])
-    stack, open_, pieces, at = [root], {}, [], 0
+    """Yields Blocks. enter(tag, attributes, outer state, signature) gives an element's state, HIDDEN being handed down without asking;
+    leave(element) is called as it ends. An element within a line has the signature of the block-level element around it."""
+    root = Element("", 0, {}, None, [], None)
+    #: The open elements, and for each the nearest block-level element: itself or one around it.
+    stack, around, pieces, at = [root], [root], [], 0
+    #: Places on the stack of the open elements of each tag.
+    places: dict[str, list[int]] = {}
     known: dict = {}
 
     def flush():
         text = " ".join("".join(pieces).split())
         pieces.clear()
-        return Block("text", text, stack[-1], tuple(stack)) if text else None
+        return Block("text", text, around[-1]) if text else None
+
+    def ending():
+        """The block of text that ends with the innermost element."""
+        return flush() if pieces and stack[-1] is around[-1] and stack[-1].state is not HIDDEN else None
 
     def pop():
         element = stack.pop()
-        open_[element.tag] -= 1
+        around.pop()
+        places[element.tag].pop()
         if leave:
             leave(element)
 
     while True:
         lt = html.find("<", at)
+        shown = stack[-1].state is not HIDDEN
         if lt < 0:
-            pieces.append(unescape(html[at:]))
+            if shown:
+                pieces.append(unescape(html[at:]))
             break
-        if lt > at:
+        if lt > at and shown:
             pieces.append(unescape(html[at:lt]))
         if html.startswith("<!--", lt):
             end = html.find("-->", lt + 4)
@@ -92,52 +118,62 @@ def read(html: str, enter, leave=None):
             if m:
                 at = m.end()
             else:
-                pieces.append("<")
+                if shown:
+                    pieces.append("<")
                 at = lt + 1
             continue
         at = m.end()
         closing, tag, raw = m[1], m[2].lower(), m[3]
-        inline = tag in INLINE
-        if not inline and (b := flush()):
-            yield b
         if closing:
-            if open_.get(tag):
-                while stack[-1].tag != tag:
+            if places.get(tag):
+                place = places[tag][-1]
+                while len(stack) > place:
+                    if b := ending():
+                        yield b
                     pop()
-                pop()
             continue
-        if tag == "br":
-            pieces.append(" ")
-        if tag in ENDS and any(open_.get(t) for t in ENDS[tag][0]):
+        if tag in ENDS:
             ended, stops = ENDS[tag]
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[i].tag in ended:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].tag in stops:
-                    break
+            place = max((places[t][-1] for t in ended if places.get(t)), default=0)
+            if place and place > max((places[t][-1] for t in stops if places.get(t)), default=0):
+                while len(stack) > place:
+                    if b := ending():
+                        yield b
+                    pop()
         attrs = attributes(raw) if raw else {}
-        outer = stack[-1]
-        key = (outer.signature, tag, attrs.get("class"), attrs.get("id"))
-        if key not in known:
-            known[key] = signature(outer.signature, tag, attrs)
-        element = Element(tag, known[key], attrs, enter(tag, attrs, outer.state), [])
-        outer.children.append(tag)
-        if tag in MEDIA:
-            if b := flush():
+        outer, inline = stack[-1], tag in INLINE
+        if inline:
+            mark = outer.signature
+        else:
+            key = (outer.signature, tag, attrs.get("class"), attrs.get("id"))
+            if key not in known:
+                known[key] = signature(outer.signature, tag, attrs)
+            mark = known[key]
+        state = HIDDEN if outer.state is HIDDEN else enter(tag, attrs, outer.state, mark)
+        if state is not HIDDEN:
+            if tag == "br":
+                pieces.append(" ")
+            elif (not inline or tag in MEDIA) and pieces and (b := flush()):
                 yield b
-            yield Block("media", "", element, tuple(stack))
+        element = Element(tag, mark, attrs, state, outer.children if inline else [], around[-1])
+        if not inline:
+            outer.children.append(tag)
+        if tag in MEDIA and state is not HIDDEN:
+            yield Block("media", "", element)
         if tag in VOID or raw.endswith("/") and tag not in RAW:
             if leave:
                 leave(element)
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
-        open_[tag] = open_.get(tag, 0) + 1
+        around.append(around[-1] if inline else element)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
-            at = end.start() if end else len(html)
-    if b := flush():
+            end = end.start() if end else len(html)
+            if tag == "xmp" and state is not HIDDEN:
+                pieces.append(html[at:end])
+            at = end
+    if pieces and (b := flush()):
         yield b
     while len(stack) > 1:
         pop()

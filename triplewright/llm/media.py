@@ -2,7 +2,8 @@
 
 `interleave` reads HTML into an ordered array of items: texts, and references with a digest, a position and a caption. Payloads lie
 in a table by digest, as PNG images of 8-bit samples (three channels, rows of 192 bytes). `resolve` joins references
-and payloads on the digest; only what is needed of a payload (features, checksums) is shuffled, never its bytes.
+and payloads on the digest; only what is needed of a payload (features, checksums) is shuffled, never its bytes. A reference whose payload
+isn't there, or that names none, stays as a row without features. A payload that doesn't match its digest fails the job.
 Null texts count as empty; they too have a payload (192 blanks).
 """
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplewright.llm import markup
-from triplewright.llm.common import shared_dir, stage, table, text_column
+from triplewright.llm.common import drop_path, shared_dir, stage, table, text_column
+from triplewright.llm.tokens import slices
 
 ROW = 192
 LEVEL = 2
@@ -81,36 +83,82 @@ def feature(data: bytes) -> str:
     return f"{grey.shape[1]}x{grey.shape[0]} mean {','.join(map(str, mean))} var {','.join(map(str, deviation))} dhash {int(bits, 2):016x}"
 
 
+class Figure:
+    """One figure of a page: its references in order, and its caption's texts as they stand in the sequence."""
+
+    def __init__(self):
+        self.references, self.captions = [], []
+
+
+class Place:
+    """Where an element stands: the figure around it, whether in its caption, and the video or audio around it."""
+
+    __slots__ = ("figure", "caption", "media")
+
+    def __init__(self, figure=None, caption=False, media=None):
+        self.figure, self.caption, self.media = figure, caption, media
+
+
+def source_of(attrs: dict) -> str:
+    """Where a media element's payload is: its src, else the first of its srcset."""
+    return attrs.get("src", "").strip() or (attrs.get("srcset", "").split() or [""])[0].rstrip(",")
+
+
+def digest_of(source: str) -> str | None:
+    """The digest that a source names, else the SHA-256 of the source itself; null without a source."""
+    return None if not source else source[7:] if source.startswith("sha256:") else hashlib.sha256(source.encode()).hexdigest()
+
+
 def items(html: str) -> list[dict]:
-    """Texts and media references in page order. A reference's caption is its figure's figcaption, else its alt text."""
-    out, open_figure = [], {}
+    """Texts and media references in page order. A reference's caption is its figure's figcaption, else its alt text.
 
-    def enter(tag, attrs, outer):
-        if tag in ("script", "style", "head", "title", "noscript", "template") or outer == "drop":
-            return "drop"
+    A video or audio without a source of its own has that of its first source element, an image without one that of the picture's. Captions of figures
+    without media are texts. A reference without any source has no digest.
+    """
+    out, figures, waiting = [], [], []
+
+    def enter(tag, attrs, outer, _):
+        if tag in ("script", "style", "head", "title", "noscript", "template"):
+            return markup.HIDDEN
+        place = outer or Place()
         if tag == "figure":
-            return ("figure", len(out))
-        return outer
+            figures.append(Figure())
+            return Place(figures[-1])
+        if tag == "figcaption" and place.figure:
+            return Place(place.figure, True)
+        if tag == "picture":
+            return Place(place.figure, place.caption, [None])
+        if tag in ("video", "audio"):
+            return Place(place.figure, place.caption, [digest_of(source_of(attrs))])
+        if tag == "source" and place.media and not place.media[0]:
+            place.media[0] = digest_of(source_of(attrs))
+        return place
 
     for block in markup.read(html or "", enter):
-        state = block.element.state
-        if state == "drop":
-            continue
+        place = block.element.state or Place()
         if block.kind == "media":
-            source = block.element.attributes.get("src", "")
-            digest = source[7:] if source.startswith("sha256:") else hashlib.sha256(source.encode()).hexdigest()
-            out.append({"kind": block.element.tag, "position": len(out), "text": None, "digest": digest, "caption": block.element.attributes.get("alt") or None})
-            if state:
-                open_figure.setdefault(state, []).append(out[-1])
-        elif state and any(e.tag == "figcaption" for e in block.path):
-            open_figure.setdefault((state, "caption"), []).append(block.text)
+            attrs = block.element.attributes
+            found = {"kind": block.element.tag, "position": 0, "text": None, "digest": digest_of(source_of(attrs)), "caption": attrs.get("alt") or None}
+            if not found["digest"] and place.media:
+                waiting.append((found, place.media))
+            if place.figure:
+                place.figure.references.append(found)
         else:
-            out.append({"kind": "text", "position": len(out), "text": block.text, "digest": None, "caption": None})
-    for state, references in open_figure.items():
-        if caption := open_figure.get((state, "caption")):
-            for r in references:
-                if isinstance(r, dict):
-                    r["caption"] = " ".join(caption)
+            found = {"kind": "text", "position": 0, "text": block.text, "digest": None, "caption": None}
+            if place.caption:
+                place.figure.captions.append(found)
+        out.append(found)
+    for found, media in waiting:
+        found["digest"] = media[0]
+    as_captions = set()
+    for figure in figures:
+        if figure.references and figure.captions:
+            for found in figure.references:
+                found["caption"] = " ".join(c["text"] for c in figure.captions)
+            as_captions.update(map(id, figure.captions))
+    out = [found for found in out if id(found) not in as_captions]
+    for i, found in enumerate(out):
+        found["position"] = i
     return out
 
 
@@ -126,7 +174,7 @@ def interleave(df: DataFrame, html: str = "html", into: str = "items") -> DataFr
 
 
 def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> None:
-    """Writes documents below base: a row each, its HTML referring to its payload, and the payload if the task hasn't stored it yet."""
+    """Writes documents below base: a row each, with its size, its payload's digest, and the payload if the task hasn't stored it yet."""
 
     def run(batches):
         known = set()
@@ -139,9 +187,7 @@ def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> N
                 fresh = digest not in known
                 if fresh and len(known) < REMEMBERED:
                     known.add(digest)
-                lead = escape(data[:80].decode("utf-8", "ignore"))
-                html = f'<article><p>{lead}</p><figure><img src="sha256:{digest}" alt="samples"><figcaption>{len(data)} bytes</figcaption></figure></article>'
-                rows.append((doc, len(data), html, digest, to_png(whole) if fresh else None))
+                rows.append((doc, len(data), digest, to_png(whole) if fresh else None))
                 if len(rows) == 500:
                     yield batch_of(rows)
                     rows = []
@@ -149,11 +195,11 @@ def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> N
                 yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "html", "digest", "media"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "digest", "media"])
 
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    source.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary").write.option("compression", "lz4").parquet(base)
+    source.mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary").write.option("compression", "lz4").parquet(base)
 
 
 def payload_features(stored: DataFrame) -> DataFrame:
@@ -177,16 +223,51 @@ def payload_features(stored: DataFrame) -> DataFrame:
     return stored.where("media is not null").select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
 
 
+def page_of(text: str, digest: str, n_bytes: int) -> str:
+    """A document as a page: its lines as paragraphs, its payload as a figure after the first half of them."""
+    lines = [f"<p>{escape(line)}</p>" for line in text.split("\n")]
+    figure = f'<figure><img src="sha256:{digest}" alt="samples"><figcaption>{n_bytes} bytes</figcaption></figure>'
+    half = (len(lines) + 1) // 2
+    return f"<article>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</article>"
+
+
+def pages(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, html): the whole text of each document as the page_of it."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column("text")):
+                texts = [t or "" for t in part.to_pylist()]
+                sizes, html = [], []
+                for t in texts:
+                    data = t.encode()
+                    sizes.append(len(data))
+                    html.append(page_of(t, hashlib.sha256(payload(data)).hexdigest(), len(data)))
+                docs = batch.column("doc_id").slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
+
+    source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
+    return source.mapInArrow(run, "doc_id long, n_bytes long, html string")
+
+
 def resolve(df: DataFrame, features: DataFrame) -> DataFrame:
     """A row for each media reference of df (..., items): its position and caption, and what features has for its digest (null if nothing)."""
     rest = [c for c in df.columns if c != "items"]
-    return df.select(*rest, F.explode(F.filter("items", lambda x: x.digest.isNotNull())).alias("item")).select(*rest, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest")).join(features, "digest", "left")
+    return df.select(*rest, F.explode(F.filter("items", lambda x: x.kind != "text")).alias("item")).select(*rest, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest")).join(features, "digest", "left")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features are written before the join, so that both of its sides are dealt for it and a digest of very many references is split."""
-    base = shared_dir(spark)
-    store(table(spark, sf_dir, "documents"), base)
-    stored = spark.read.parquet(base)
-    found = resolve(interleave(stored.select("doc_id", "n_bytes", "html")), stage(payload_features(stored)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """The features are written before the join, so that both of its sides are dealt for it and a digest of very many references is split.
+
+    n_items and text_sha256 are of the interleaved sequence: its length, and its texts joined by line ends.
+    """
+    base, documents = shared_dir(spark), table(spark, sf_dir, "documents")
+    store(documents, base)
+    features = stage(payload_features(spark.read.parquet(base)))
+    drop_path(spark, base)
+    texts = F.transform(F.filter("items", lambda x: x.kind == "text"), lambda x: x.text)
+    sequences = interleave(pages(documents)).withColumns({"n_items": F.size("items").cast("long"), "text_sha256": F.sha2(F.array_join(texts, "\n"), 256)})
+    found = resolve(sequences, features)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "text_sha256")
