@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from triplewright.llm import simhash
@@ -38,25 +39,44 @@ def test_fingerprints_and_groups_equal_brute_force(odd, documents):
     assert simhash.group(odd.limit(0)).count() == 0
 
 
-def test_links_lose_no_chain(spark):
-    rng = random.Random(5)
+def clustered(rng):
+    """Fingerprints alone, chains of small changes, and a dense group around one."""
     prints = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(140):
         p = rng.choice(prints)
         for _ in range(rng.randint(1, 3)):
             p ^= 1 << rng.randrange(64)
         prints.append(p)
-    prints = sorted(set(prints))
-    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"))
-    found = {(r.id, r.component) for r in simhash.components(edges).collect()}
-    expected = closure(dict(enumerate(prints)))
-    of = dict(found)
-    groups, ours = {}, {}
-    for i, root in expected.items():
-        groups.setdefault(root, set()).add(i)
-        ours.setdefault(of.get(signed[i][0], signed[i][0]), set()).add(i)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
+    for _ in range(150):
+        prints.append(prints[0] ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(20))
+    return sorted(set(prints))
+
+
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize("distance, segments, most", [(2, 3, 256), (2, 3, 20), (2, 1, 256), (2, 2, 20), (2, 4, 256), (5, 4, 256)])
+def test_links_are_all_pairs(spark, distance, segments, most):
+    prints = clustered(random.Random(5))
+    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), distance, segments, most)
+    found = {(r.a, r.b) for r in edges.collect()}
+    values = sorted(map(signed, prints))
+    assert found == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+
+
+def test_a_group_of_few_varying_bits(spark):
+    """All 4096 values of 12 bits, which every entry holds, until the bits that vary are few."""
+    edges = simhash.links(spark.range(4096).selectExpr("id * 1048576 as fp"), 2, 3, 16)
+    assert edges.distinct().count() == 4096 * (12 + 66) // 2
+
+
+def test_a_row_has_few_keys(spark):
+    for distance, segments, keys in ((2, 3, 3), (2, 2, 34), (5, 8, 6)):
+        radii = simhash.radii(segments, distance)
+        masks = simhash.segments_of((1 << 64) - 1, segments)
+        assert sum(len(simhash.ball(m, r)) for m, r in zip(masks, radii) if r >= 0) == keys
+        assert sum(masks) == (1 << 64) - 1
 
 
 def test_null_ids(spark):

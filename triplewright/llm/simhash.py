@@ -1,34 +1,38 @@
 """SimHash fingerprints of word shingles, linked within a small Hamming distance by multi-index hashing.
 
-A fingerprint is cut into segments. Within each segment the small Hamming ball around its value is enumerated, and
-the table key of a ball member is that member together with the other segments as they are. Two fingerprints
-that differ in up to twice the radius bits meet under a key between them, whichever segments their differences lie
-in; a key holds no more than a ball's worth of distinct fingerprints, however many texts are alike. So matches are fetched by one equi-sort on the key,
-without pairs of a whole bucket, each member is compared with the one before it under its key, and the complete
-distance is verified. Links between texts of equal fingerprints need no pairs: documents are reduced to distinct fingerprints first.
+A fingerprint is cut into segments; there is a table of fingerprints by (segment, its value). Of two fingerprints that differ in up to D bits
+over m segments, D = r * m + a, at least one of the first a + 1 segments differs in at most r bits or one of the others in at most
+r - 1 (else there were more than D differences). So each fingerprint enumerates the Hamming ball of that radius around
+its value of a segment, and fetches the table's entries for the ball's members; the complete distance is verified in the join. With more segments
+than D the balls have radius 0: the value itself, one look-up a segment, D + 1 of them.
+
+A table entry of more than MOST fingerprints is not joined: the bits in which its fingerprints vary are cut into D + 1 segments, one of which
+is equal in two that are within the distance; so they meet under longer keys, until entries are small or vary in few bits. So no
+entry makes pairs of a large group, and no pair is lost. Links between texts of equal fingerprints need no pairs: documents
+are reduced to distinct fingerprints first.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import components, stage, table, trimmed
+from triplewright.llm.common import components, drop_path, shared_dir, stage, table, trimmed
 
 SEED = 42
 SHINGLE = 3
 BITS = 64
-SEGMENTS = 4
-#: Bits changed within one segment; links reach twice as far.
-RADIUS = 1
-MOST_DISTANCE = 2
+SEGMENTS = 3
+DISTANCE = 2
+#: Fingerprints of a table entry that are compared with each other; a larger entry is cut anew.
+MOST = 256
 _BLOCK = 1 << 15
+_ALL = (1 << BITS) - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -55,20 +59,76 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     return df.select(F.col(id).cast("long").alias(id), F.col(text)).mapInArrow(lambda batches: trimmed(run(batches)), f"{id} long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints of distinct (fp) within MOST_DISTANCE, enough for components."""
-    width = BITS // SEGMENTS
-    balls = ", ".join(f"transform(sequence(0, {width - 1}), i -> fp ^ shiftleft(1L, i + {s * width}))" for s in range(SEGMENTS))
-    keyed = distinct.select("fp", F.explode(F.expr(f"concat(array(fp), {balls})")).alias("key"))
-    near = keyed.select("fp", F.lag("fp").over(W.partitionBy("key").orderBy("fp")).alias("other"))
-    return near.where("other is not null").where(F.expr(f"bit_count(fp ^ other) <= {MOST_DISTANCE}")).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-
-
-def group(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def segments_of(free: int, segments: int) -> list[int]:
+    """Masks that share out the bits of a mask to so many segments, in order."""
+    bits = [1 << i for i in range(BITS) if free >> i & 1]
+    cuts = [len(bits) * i // segments for i in range(segments + 1)]
+    return [sum(bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def radii(segments: int, distance: int) -> list[int]:
+    """The radius of the ball in each segment; -1: the segment isn't needed."""
+    r, a = divmod(distance, segments)
+    return [r if i <= a else r - 1 for i in range(segments)]
+
+
+def ball(mask: int, radius: int) -> list[int]:
+    """What differs between a segment's value and the members of the ball around it."""
+    bits = [1 << i for i in range(BITS) if mask >> i & 1]
+    return [sum(c) for k in range(radius + 1) for c in combinations(bits, k)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _cut_anew(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (fp, mask, value) of large entries under longer keys; parts (mask, value, parts): what each entry is cut into."""
+    cut = rows.join(parts, ["mask", "value"]).select("fp", "mask", "value", F.explode("parts").alias("part"))
+    return cut.select("fp", F.expr("mask | part").alias("mask"), F.expr("value | (fp & part)").alias("value"))
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints (fp) within a distance; a pair may come several times."""
+    spark, base = distinct.sparkSession, shared_dir(distinct.sparkSession)
+    tables = [(_signed(m), ball(m, r)) for m, r in zip(segments_of(_ALL, segments), radii(segments, distance)) if r >= 0]
+    exact = all(len(members) == 1 for _, members in tables)
+    entries = ", ".join(f"struct({m}L as mask, fp & {m}L as value)" for m, _ in tables)
+    held = distinct.select("fp", F.explode(F.expr(f"array({entries})")).alias("key")).select("fp", "key.*")
+    asked = held
+    if not exact:
+        members = ", ".join(f"transform(array({', '.join(f'{_signed(d)}L' for d in ds)}), d -> struct({m}L as mask, (fp ^ d) & {m}L as value))" for m, ds in tables)
+        asked = distinct.select("fp", F.explode(F.expr(f"concat({members})")).alias("key")).select("fp", "key.*")
+    few = max(8, distance)  # bits: what varies in so few isn't cut further
+    small = f"(n <= {most} or bit_count(vary) <= {few})"
+    bits, step = "filter(sequence(0, 63), i -> shiftright(vary, i) & 1 = 1)", f"bit_count(vary) * k div {distance + 1}"
+    cut = f"transform(sequence(0, {distance}), k -> aggregate(slice({bits}, int({step}) + 1, int({step.replace('* k', '* (k + 1)')} - {step})), 0L, (a, i) -> a | shiftleft(1L, i)))"
+    found: list[DataFrame] = []
+    for level in range(BITS):
+        # counted before anything is moved; where only a value itself is asked for, entries of one fingerprint are left out
+        sizes = held.groupBy("mask", "value").agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("vary"))
+        sizes = stage(sizes.where("n > 1") if exact else sizes, f"{base}/{level}/sizes")
+        held = stage(held.join(sizes, ["mask", "value"]), f"{base}/{level}/held")
+        asked = held if exact else stage(asked.join(sizes, ["mask", "value"]), f"{base}/{level}/asked")
+        a, b = (x.where(small).select(F.col("fp").alias(name), "mask", "value") for x, name in ((asked, "a"), (held, "b")))
+        found.append(stage(a.join(b, ["mask", "value"]).where(f"a < b and bit_count(a ^ b) <= {distance}").select("a", "b")))
+        large = sizes.where(f"not {small}").select("mask", "value", F.expr(cut).alias("parts"))
+        if large.isEmpty():
+            break
+        held = stage(_cut_anew(held.where(f"not {small}"), large), f"{base}/{level}/cut")
+        asked = held if exact else stage(_cut_anew(asked.where(f"not {small}"), large), f"{base}/{level}/asked-cut")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    drop_path(spark, base)
+    return out
+
+
+def group(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(id, fingerprint, component_id) for each row of df. Texts without words share fingerprint zero; rows whose id is null take part and never name a group."""
     prints = stage(fingerprints(df, id, text))
     distinct = stage(prints.groupBy("fp").agg(F.min(id).alias("first")))
-    joined = components(links(distinct.select("fp")))
+    joined = components(links(distinct.select("fp"), distance, segments))
     found = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = found.join(found.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(stage(named), "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
