@@ -5,15 +5,17 @@ Layout below one folder, all Parquet:
   WIDTH bytes, digest is their BLAKE2b-128. Rolling hashes over a window of ids decide where a stream is cut, so equal passages
   give equal chunks wherever they stand.
 - recipes: one row per document in ascending doc_id order: (part, row, doc_id, start, n_tokens, recipe, leaf);
-  recipe lists (digest, n); start counts the ids of all documents before; leaf is the SHA-256 of the recipe.
+  recipe lists (digest, n); start counts the ids of all documents before; leaf is the SHA-256 of the document's doc_id, length and recipe.
 - manifest: (part, root, docs, tokens): the Merkle root of each part's leaves in order, and what the part holds.
 
 Writing: documents are encoded and cut where they are read; each task keeps a chunk it has seen out of its output, then chunks are made
-unique by digest in one shuffle. Recipes are sorted by ranges of doc_id; starts come from running sums within a
-part and the sums of the parts before it.
-Reading: `verified` checks every chunk against its digest and every recipe against its leaf and the manifest, and
-gives each document's checksum by combining its chunks' checksums in order; `read` gives the ids themselves.
-Null texts count as empty (one end id). Rows with equal or null doc_id stay separate documents, null ids first.
+unique by digest in one shuffle. Recipes are sorted by ranges of doc_id and, among equal ids, of the row's number as it was read, so that
+an id of very many rows (or null) is shared out too; starts come from running sums within a part and the sums of the parts before it.
+Reading: `check_manifest` recomputes each part's root, documents and tokens from the recipes' leaves; `verified` does that first, then checks
+every chunk against its digest and every recipe against its leaf, and gives each document's checksum by combining its
+chunks' checksums in order. A chunk, recipe or part that is missing or altered fails the job. `read` gives the ids themselves.
+Null texts count as empty (one end id). Rows with equal or null doc_id stay separate documents, null ids first. Ids that WIDTH bytes can't
+hold are refused.
 """
 
 from __future__ import annotations
@@ -64,8 +66,9 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return out + [n] if n > at else out
 
 
-def leaf(recipe: list[tuple[bytes, int]]) -> bytes:
-    return hashlib.sha256(b"\0" + b"".join(d + n.to_bytes(4, "little") for d, n in recipe)).digest()
+def leaf(doc: int | None, n_tokens: int, recipe: list[tuple[bytes, int]]) -> bytes:
+    head = b"\0" + (b"-" if doc is None else doc.to_bytes(8, "little", signed=True)) + n_tokens.to_bytes(8, "little")
+    return hashlib.sha256(head + b"".join(d + n.to_bytes(4, "little") for d, n in recipe)).digest()
 
 
 class Merkle:
@@ -125,41 +128,59 @@ def combined(crc: int, after: int, n: int) -> int:
     return after
 
 
+def _before():
+    """Ids of all parts before a part; a manifest has a row for each task that wrote recipes."""
+    return F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def write(df: DataFrame, base: str, end: int = END, path: str | None = None) -> None:
     """Writes documents df (doc_id, text) as a store below base."""
     spark, path = df.sparkSession, path or tokenizer_path(VOCABULARY)
     recipe_type = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))
-    chunk_type = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())]))
 
     def encoded(batches):
         encoder, known = word_encoder(path), set()
+        if max(len(encoder.ends) - 1, end + 1) > 1 << 8 * WIDTH:
+            raise ValueError(f"ids of this vocabulary don't fit into {WIDTH} bytes")
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
             for part in slices(batch.column("text"), 2 * SLICE_BYTES):
                 ids, offsets = encoder.encode(part)
-                recipes, chunks, counts = [], [], []
-                for a, b in zip(offsets.tolist(), offsets.tolist()[1:]):
-                    stream = np.append(ids[a:b], np.uint32(end))
-                    raw, last, recipe, fresh = stream.astype(f"<u{WIDTH}").tobytes(), 0, [], []
-                    for stop in boundaries(stream):
-                        data, n = raw[WIDTH * last : WIDTH * stop], stop - last
-                        digest, last = hashlib.blake2b(data, digest_size=16).digest(), stop
-                        recipe.append({"digest": digest, "n": n})
+                n_docs = len(offsets) - 1
+                # every document's ids and its end id, one after the other
+                stream = np.insert(ids, offsets[1:], end).astype(f"<u{WIDTH}")
+                bounds = (offsets + np.arange(n_docs + 1)).tolist()
+                raw, digests, sizes, fresh, ends, fresh_ends = stream.tobytes(), [], [], [], [0], [0]
+                for a, b in zip(bounds, bounds[1:]):
+                    last = a
+                    for stop in boundaries(stream[a:b]):
+                        stop += a
+                        data = raw[WIDTH * last : WIDTH * stop]
+                        digest = hashlib.blake2b(data, digest_size=16).digest()
                         if digest not in known:
                             if len(known) < REMEMBERED:
                                 known.add(digest)
-                            fresh.append({"digest": digest, "n": n, "data": data})
-                    recipes.append(recipe)
-                    chunks.append(fresh)
-                    counts.append(len(stream))
+                            fresh.append((digest, stop - last, data))
+                        digests.append(digest)
+                        sizes.append(stop - last)
+                        last = stop
+                    ends.append(len(digests))
+                    fresh_ends.append(len(fresh))
+                columns = list(zip(*fresh)) or [(), (), ()]
+                recipes = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"])
+                chunks = pa.StructArray.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["digest", "n", "data"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(part)), pa.array(counts, pa.int64()), pa.array(recipes, recipe_type), pa.array(chunks, chunk_type)],
-                    ["doc_id", "n_tokens", "recipe", "chunks"],
+                    [
+                        batch.column("doc_id").slice(at, n_docs), pa.array(range(row, row + n_docs), pa.int64()), pa.array(np.diff(bounds), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), recipes), pa.ListArray.from_arrays(pa.array(fresh_ends, pa.int32()), chunks),
+                    ],
+                    ["doc_id", "tie", "n_tokens", "recipe", "chunks"],
                 )
-                at += len(part)
+                at, row = at + n_docs, row + n_docs
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
-    staged = source.mapInArrow(lambda batches: trimmed(encoded(batches)), f"doc_id long, n_tokens long, recipe {_RECIPE}, chunks array<struct<digest: binary, n: int, data: binary>>")
+    staged = source.mapInArrow(lambda batches: trimmed(encoded(batches)), f"doc_id long, tie long, n_tokens long, recipe {_RECIPE}, chunks array<struct<digest: binary, n: int, data: binary>>")
     staged.write.option("compression", "zstd").parquet(f"{base}/staged")
     staged = spark.read.parquet(f"{base}/staged")
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.*").dropDuplicates(["digest"])
@@ -177,7 +198,7 @@ def write(df: DataFrame, base: str, end: int = END, path: str | None = None) ->
         for batch in (b for b in batches if b.num_rows):
             rows = []
             for doc, n, recipe in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "recipe"))):
-                digest = leaf([(c["digest"], c["n"]) for c in recipe])
+                digest = leaf(doc, n, [(c["digest"], c["n"]) for c in recipe])
                 tree.add(digest)
                 rows.append((part, part << 40 | row, doc, start, n, recipe, digest))
                 row, start = row + 1, start + n
@@ -188,15 +209,14 @@ def write(df: DataFrame, base: str, end: int = END, path: str | None = None) ->
             yield batch_of(held, tree.root())
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = staged.select("doc_id", "n_tokens", "recipe").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = staged.select("doc_id", "tie", "n_tokens", "recipe").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     local = ordered.mapInArrow(numbered, f"part int, row long, doc_id long, local long, n_tokens long, recipe {_RECIPE}, leaf binary, root binary")
     local.write.option("compression", "zstd").parquet(f"{base}/local")
     local = spark.read.parquet(f"{base}/local")
     manifest = local.groupBy("part").agg(F.max("root").alias("root"), F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     manifest.coalesce(1).write.parquet(f"{base}/manifest")
     manifest = spark.read.parquet(f"{base}/manifest")
-    before = F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    recipes = local.join(manifest.select("part", before.alias("before")), "part")
+    recipes = local.join(manifest.select("part", _before().alias("before")), "part")
     recipes.select("part", "row", "doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "recipe", "leaf").write.option("compression", "zstd").parquet(f"{base}/recipes")
     for name in ("staged", "local"):
         drop_path(spark, f"{base}/{name}")
@@ -204,11 +224,12 @@ def write(df: DataFrame, base: str, end: int = END, path: str | None = None) ->
 
 def _pieces(spark: SparkSession, base: str) -> DataFrame:
     recipes = spark.read.parquet(f"{base}/recipes")
-    return recipes.select("row", "doc_id", "start", "n_tokens", "leaf", F.posexplode("recipe").alias("pos", "c")).select("row", "doc_id", "start", "n_tokens", "leaf", "pos", "c.digest", "c.n")
+    return recipes.select("row", "doc_id", "start", "n_tokens", "leaf", F.posexplode_outer("recipe").alias("pos", "c")).select("row", "doc_id", "start", "n_tokens", "leaf", "pos", "c.digest", "c.n")
 
 
 def verified(spark: SparkSession, base: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document from the files; a file that doesn't match its digests fails the job."""
+    """doc_id, start, n_tokens, ids_crc32 of each document from the files; whatever is missing or doesn't match its digests fails the job."""
+    check_manifest(spark, base)
 
     def checked(batches):
         for batch in batches:
@@ -224,13 +245,15 @@ def verified(spark: SparkSession, base: str) -> DataFrame:
         row, head, crc, recipe = None, None, 0, []
 
         def done():
-            if leaf(recipe) != head[3] or sum(n for _, n in recipe) != head[2]:
+            if leaf(head[0], head[2], recipe) != head[3] or sum(n for _, n in recipe) != head[2]:
                 raise ValueError(f"the recipe of document {head[0]} doesn't match the manifest's leaf")
             return (*head[:3], crc)
 
         for batch in batches:
             out = []
             for r, doc, start, n, mark, digest, size, part in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "start", "n_tokens", "leaf", "digest", "n", "crc"))):
+                if part is None:
+                    raise ValueError(f"document {doc} lacks a chunk")
                 if r != row:
                     if row is not None:
                         out.append(done())
@@ -243,35 +266,49 @@ def verified(spark: SparkSession, base: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(done())], names)
 
     chunks = spark.read.parquet(f"{base}/chunks").select("digest", "data").mapInArrow(checked, "digest binary, crc long")
-    joined = _pieces(spark, base).join(chunks, "digest")
+    joined = _pieces(spark, base).join(chunks, "digest", "left")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return joined.repartition(parts, "row").sortWithinPartitions("row", "pos").mapInArrow(assembled, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read(spark: SparkSession, base: str) -> DataFrame:
-    """doc_id, start, ids (little-endian unsigned integers of WIDTH bytes) of each document."""
+    """doc_id, start, ids (little-endian unsigned integers of WIDTH bytes) of each document; a missing chunk fails the job."""
     chunks = spark.read.parquet(f"{base}/chunks").select("digest", "data")
-    whole = _pieces(spark, base).join(chunks, "digest").groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("c"))
+    data = F.coalesce("data", F.raise_error(F.concat(F.lit("no chunk "), F.coalesce(F.hex("digest"), F.lit("at all")))).cast("binary"))
+    whole = _pieces(spark, base).join(chunks, "digest", "left").groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", data.alias("data")))).alias("c"))
     return whole.select("doc_id", "start", F.expr("unhex(array_join(transform(c, x -> hex(x.data)), ''))").alias("ids"))
 
 
-def check_manifest(spark: SparkSession, base: str) -> bool:
-    """Whether the recipes' leaves give the manifest's roots."""
+def check_manifest(spark: SparkSession, base: str) -> None:
+    """Fails unless the recipes' leaves, documents and tokens give the manifest's, part by part, and starts follow each other."""
 
     def rooted(batches):
-        tree, part = Merkle(), None
+        names = ["part", "found", "n", "sum", "first", "gapless"]
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        tree, part, n, total, first, gapless = Merkle(), None, 0, 0, 0, True
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, tree.root(), n, total, first, gapless), kinds)], names)
+
         for batch in batches:
-            for p, mark in zip(batch.column("part").to_pylist(), batch.column("leaf").to_pylist()):
-                if part is not None and p != part:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tree.root()], pa.binary())], ["part", "found"])
-                    tree = Merkle()
-                part = p
+            for p, start, tokens, mark in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "n_tokens", "leaf"))):
+                if p != part:
+                    if part is not None:
+                        yield done()
+                    tree, part, n, total, first, gapless = Merkle(), p, 0, 0, start, True
+                gapless = gapless and start == first + total
                 tree.add(mark)
+                n, total = n + 1, total + tokens
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tree.root()], pa.binary())], ["part", "found"])
-
-    leaves = spark.read.parquet(f"{base}/recipes").select("part", "row", "leaf").repartition("part").sortWithinPartitions("part", "row").mapInArrow(rooted, "part int, found binary")
-    return spark.read.parquet(f"{base}/manifest").join(leaves, "part", "left").where("found is null or found <> root").isEmpty()
+            yield done()
+
+    leaves = spark.read.parquet(f"{base}/recipes").select("part", "row", "start", "n_tokens", "leaf").repartition("part").sortWithinPartitions("part", "row")
+    found = leaves.mapInArrow(rooted, "part int, found binary, n long, sum long, first long, gapless boolean")
+    manifest = spark.read.parquet(f"{base}/manifest").select("part", "root", "docs", "tokens", _before().alias("before"))
+    same = "root <=> found and docs <=> n and tokens <=> sum and before <=> first and gapless"
+    bad = manifest.join(found, "part", "full").where(f"not coalesce({same}, false)").select("part").first()
+    if bad:
+        raise ValueError(f"part {bad.part} of the recipes doesn't match the manifest")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
