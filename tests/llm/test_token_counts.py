@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from tokenizers import Tokenizer
 
@@ -27,6 +28,29 @@ def test_edits_touch_little():
     assert counted.recounted < 40
 
 
+def test_special_tokens_are_local():
+    counted = token_counts.Counted("a <|endoftext|> b " * 3000, byte_encoder(PATH))
+    counted.edit(18 * 1000 + 3, 18 * 1000 + 5, "")
+    counted.edit(18 * 500, 18 * 500, "<|endof")
+    assert counted.recounted < 80
+    library = Tokenizer.from_file(PATH)
+    assert counted.tokens == len(library.encode(counted.text, add_special_tokens=False).ids)
+
+
+def test_many_edits_of_a_long_text_take_time_by_what_they_touch():
+    def seconds(n):
+        text, encoder = "some words of a long text, 12 of them. " * n, byte_encoder(PATH)
+        counted = token_counts.Counted(text, encoder)
+        began = time.process_time()
+        for i in reversed(range(0, len(text) - 40, len(text) // 500)):
+            counted.edit(i, i + 5, "new words")
+        assert counted.recounted < 500 * 40
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(60_000) < 4 * seconds(2_000) + 0.5
+
+
 def test_counts_equal_the_library(odd, documents):
     library = Tokenizer.from_file(PATH)
     for df in (documents, odd.withColumnRenamed("lang", "source")):

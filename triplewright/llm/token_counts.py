@@ -1,10 +1,12 @@
 """Token counts that follow edits: a tree of pre-tokens per document, re-encoded only where an edit reaches.
 
-A document's pre-tokens, with their lengths and token counts, are the leaves of a tree; a node holds the sums of the leaves below it.
+A document's pre-tokens with their token counts are the leaves of a tree; a node holds the sums of the leaves below it. A node is
+split only when an edit comes by, so that a document costs time in proportion to its length, and an edit to what it touches: no edit copies the text,
+which is the leaves' texts one after the other.
 Splitting into pre-tokens reads from left to right and looks no more than LOOKAHEAD characters past a pre-token's
-end, so an edit can change only pre-tokens that end within that distance before it or touch it, and after it the split is the old one again as
-soon as a boundary falls on an old boundary. Those pre-tokens are split and counted anew; the sums of the nodes above
-them are updated; everything else stays.
+end, or as many as the longest special token has; so an edit can change only pre-tokens that end within that distance before it or touch it, and
+after it the split is the old one again as soon as a boundary falls on an old boundary. Those pre-tokens are split and counted
+anew, special tokens among them; the sums of the nodes above them are updated; everything else stays.
 
 Edits are (start, end, replacement) over the text as it was, not overlapping, ascending; they are applied from the last to the
 first so that positions hold. Null texts count as empty.
@@ -31,108 +33,137 @@ BLOCK = 32
 
 
 class Node:
-    """A node of the tree: its sums, and its children or, in a leaf, its pre-tokens' lengths and counts."""
+    """A node of the tree: its sums, and its children or, as long as it is not split, its pre-tokens and their counts."""
 
-    __slots__ = ("chars", "pieces", "tokens", "left", "right", "lengths", "counts")
+    __slots__ = ("chars", "n", "tokens", "left", "right", "pieces", "counts")
 
-    def __init__(self, lengths: list[int], counts: list[int]):
-        self.set(lengths, counts)
+    def __init__(self, pieces: list[str], counts: list[int]):
+        self.set(pieces, counts)
 
-    def set(self, lengths: list[int], counts: list[int]) -> None:
+    def set(self, pieces: list[str], counts: list[int]) -> None:
         self.left = self.right = None
-        if len(lengths) <= BLOCK:
-            self.lengths, self.counts = lengths, counts
-            self.chars, self.pieces, self.tokens = sum(lengths), len(lengths), sum(counts)
-        else:
-            half = len(lengths) // 2
-            self.lengths = self.counts = None
-            self.left, self.right = Node(lengths[:half], counts[:half]), Node(lengths[half:], counts[half:])
-            self.total()
+        self.pieces, self.counts = pieces, counts
+        self.chars, self.n, self.tokens = sum(map(len, pieces)), len(pieces), sum(counts)
 
-    def total(self) -> None:
-        self.chars, self.pieces, self.tokens = (getattr(self.left, k) + getattr(self.right, k) for k in ("chars", "pieces", "tokens"))
+    def split(self) -> bool:
+        """Whether the node has children, which it gets if it holds more than a block."""
+        if self.left is None and self.n > BLOCK:
+            half = self.n // 2
+            self.left, self.right = Node(self.pieces[:half], self.counts[:half]), Node(self.pieces[half:], self.counts[half:])
+            self.pieces = self.counts = None
+        return self.left is not None
 
     def piece_at(self, char: int) -> tuple[int, int]:
-        """(index, start) of the pre-token that holds a character; past the end: (pieces, chars)."""
-        node, index, start = self, 0, 0
+        """(index, start) of the pre-token that holds a character; past the end: (number of pre-tokens, chars)."""
         if char >= self.chars:
-            return self.pieces, self.chars
-        while node.left:
+            return self.n, self.chars
+        node, index, start = self, 0, 0
+        while node.split():
             if char - start < node.left.chars:
                 node = node.left
             else:
-                index, start, node = index + node.left.pieces, start + node.left.chars, node.right
-        for n in node.lengths:
-            if char < start + n:
+                index, start, node = index + node.left.n, start + node.left.chars, node.right
+        for piece in node.pieces:
+            if char < start + len(piece):
                 break
-            index, start = index + 1, start + n
+            index, start = index + 1, start + len(piece)
         return index, start
 
-    def replace(self, first: int, last: int, lengths: list[int], counts: list[int]) -> None:
+    def text(self, start: int, end: int) -> str:
+        """The text between two characters, the first of which begins a pre-token or ends the text."""
+        out, wanted, at, waiting = [], end - start, 0, [self]
+        while waiting and wanted > 0:
+            node = waiting.pop()
+            if at + node.chars <= start:
+                at += node.chars
+            elif node.split():
+                waiting += (node.right, node.left)
+            else:
+                for piece in node.pieces:
+                    if at >= start and wanted > 0:
+                        out.append(piece)
+                        wanted -= len(piece)
+                    at += len(piece)
+        joined = "".join(out)
+        return joined[: end - start]
+
+    def replace(self, first: int, last: int, pieces: list[str], counts: list[int]) -> None:
         """Puts new pre-tokens in place of first..last-1."""
-        if not self.left:
-            self.set(self.lengths[:first] + lengths + self.lengths[last:], self.counts[:first] + counts + self.counts[last:])
+        if not self.split():
+            self.set(self.pieces[:first] + pieces + self.pieces[last:], self.counts[:first] + counts + self.counts[last:])
             return
-        middle = self.left.pieces
+        middle = self.left.n
         if last <= middle:
-            self.left.replace(first, last, lengths, counts)
+            self.left.replace(first, last, pieces, counts)
         elif first >= middle:
-            self.right.replace(first - middle, last - middle, lengths, counts)
+            self.right.replace(first - middle, last - middle, pieces, counts)
         else:
-            self.left.replace(first, middle, lengths, counts)
+            self.left.replace(first, middle, pieces, counts)
             self.right.replace(0, last - middle, [], [])
-        self.total()
+        self.chars, self.n, self.tokens = self.left.chars + self.right.chars, self.left.n + self.right.n, self.left.tokens + self.right.tokens
+
+    def leaves(self):
+        """All pre-tokens in order."""
+        waiting = [self]
+        while waiting:
+            node = waiting.pop()
+            if node.left is None:
+                yield from node.pieces
+            else:
+                waiting += (node.right, node.left)
 
 
 class Counted:
-    """A text with its tree; edits keep both in step."""
+    """A text as a tree of pre-tokens; edits keep the counts in step."""
 
     def __init__(self, text: str, encoder: ByteEncoder, pieces: list | None = None, counts: list[int] | None = None):
-        self.text, self.encoder, self.recounted = text, encoder, 0
+        self.encoder, self.recounted = encoder, 0
+        self.reach = max([LOOKAHEAD, *map(len, encoder.added)])
         if pieces is None:
             pieces = encoder.pieces(text)
             counts = encoder.counts([pieces])[0].tolist()
-        self.special = any(p.__class__ is int for p in pieces)
-        self.tree = Node([] if self.special else [len(p) for p in pieces], [] if self.special else counts)
-        self.whole = sum(counts)
+        self.tree = Node(self._texts(pieces), counts)
+
+    def _texts(self, pieces: list) -> list[str]:
+        """pieces with special tokens as they are written; they stay pre-tokens of their own."""
+        return [self.encoder.raw[p].decode() if p.__class__ is int else p for p in pieces] if any(p.__class__ is int for p in pieces) else pieces
 
     @property
     def tokens(self) -> int:
-        return self.whole if self.special else self.tree.tokens
+        return self.tree.tokens
+
+    @property
+    def text(self) -> str:
+        return "".join(self.tree.leaves())
 
     def edit(self, start: int, end: int, replacement: str) -> None:
-        before, text = self.text, self.text[:start] + replacement + self.text[end:]
-        self.text = text
-        if self.special or "<|" in replacement or "|>" in replacement or "<|" in text[max(0, start - 20) : start + len(replacement) + 20]:
-            # special tokens are searched for in the whole text
-            self.__init__(text, self.encoder)
-            self.recounted += self.tree.pieces
-            return
-        first, at = self.tree.piece_at(max(0, start - LOOKAHEAD))
+        tree, changed = self.tree, start + len(replacement)
+        first, at = tree.piece_at(max(0, start - self.reach))
+        head = tree.text(at, start)
         shift = len(replacement) - (end - start)
+        length = tree.chars + shift
         # the split after the edit is the old one from the first old boundary that it meets
-        reach, fresh = max(64, 2 * len(replacement)), None
+        ahead, fresh = max(64, 2 * len(replacement)), None
         while fresh is None:
-            stop = min(len(text), start + len(replacement) + reach)
-            pieces, boundary, kept = self.encoder.pieces_plain(text[at:stop]), at, []
-            for piece in pieces:
-                whole = boundary + len(piece) + LOOKAHEAD <= stop or stop == len(text)
-                if not whole:
-                    break
+            stop = min(length, changed + ahead)
+            _, follows = tree.piece_at(end)
+            window = head + replacement + tree.text(follows, stop - shift)[end - follows :]
+            pieces, boundary, n = self.encoder.pieces(window), at, 0
+            texts = self._texts(pieces)
+            for piece in texts:
                 old = boundary - shift
-                if boundary >= start + len(replacement) and old >= end and self.tree.piece_at(old)[1] == old:
-                    fresh = (kept, old)
+                if boundary >= changed and tree.piece_at(old)[1] == old:
+                    fresh = old
+                    break
+                if boundary + len(piece) + self.reach > stop < length:
                     break
-                kept.append(piece)
-                boundary += len(piece)
-            if fresh is None and stop == len(text):
-                fresh = (kept, len(before))
-            reach *= 4
-        kept, old = fresh
-        last = self.tree.piece_at(old)[0]
-        counts = self.encoder.counts([kept])[0].tolist()
-        self.tree.replace(first, last, [len(p) for p in kept], counts)
-        self.recounted += len(kept)
+                n, boundary = n + 1, boundary + len(piece)
+            if fresh is None and n == len(texts) and stop == length:
+                fresh = tree.chars
+            ahead *= 4
+        counts = self.encoder.counts([pieces[:n]])[0].tolist()
+        tree.replace(first, tree.piece_at(fresh)[0], texts[:n], counts)
+        self.recounted += n
 
 
 def edits_of(text: str, source: str | None) -> list[tuple[int, int, str]]:
