@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplewright.llm import markup
-from triplewright.llm.common import drop_path, shared_dir, stage, table, text_column
+from triplewright.llm.common import drop_path, shared_dir, stage, table, text_column, trimmed
 from triplewright.llm.tokens import slices
 
 ROW = 192
@@ -168,9 +168,13 @@ def interleave(df: DataFrame, html: str = "html", into: str = "items") -> DataFr
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([items(h.as_py()) for h in batch.column(html)], _ITEM)], [*rest, into])
+            at = 0
+            for part in slices(batch.column(html)):
+                rows, found = batch.slice(at, len(part)), pa.array([items(h.as_py()) for h in part], _ITEM)
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), found], [*rest, into])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(into, T.ArrayType(ITEM))]))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*(df.schema[c] for c in rest), T.StructField(into, T.ArrayType(ITEM))]))
 
 
 def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> None:
@@ -249,7 +253,7 @@ def pages(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
 
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_bytes long, html string")
+    return source.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_bytes long, html string")
 
 
 def resolve(df: DataFrame, features: DataFrame) -> DataFrame:
