@@ -8,6 +8,7 @@ from triplewright.llm import pii, toxicity
 from triplewright.llm.common import stage
 from triplewright.llm.tokens import tokenizer_path
 
+from .test_jaccard import groups
 from .test_simhash import closure, plain
 
 
@@ -53,3 +54,37 @@ def test_repeated_ids_are_decided_by_row(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
     assert kept == [(1, a), (2, b), (4, "one two"), (5, "last")]
+
+
+def test_null_ids_pass_and_no_text_is_lost(spark, tmp_path):
+    """Rows without an id stay, repeated ones too; texts that share an id are decided each; rows repeated as a whole are one."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, a), (7, b), (8, ""), (8, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([(0, None), (0, a), (0, a), (1, a), (5, b), (8, "")], key=str)
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark, sf_dir):
+    """The stage by its contract: five words, a similarity of 0.8 or more, every pair compared."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    expected = groups({r.doc_id: r.text for r in docs.collect()})
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, g in expected.items() if i == g} and len(kept) < len(expected)
+
+
+def test_odd_rows_come_out_whole(spark, odd, tmp_path):
+    """Every text that no stage rejects is packed whole: its pieces give its ids."""
+    odd.limit(0).selectExpr("doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd.selectExpr("doc_id", "text", "lang", "'s' source", "n_tokens as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    expected = groups(texts)
+    assert {r.doc_id for r in pieces} == {i for i, g in expected.items() if i == g}
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for doc in {r.doc_id for r in pieces}:
+        ids = library.encode(pii.redact(texts[doc], pii.all_spans(texts[doc])), add_special_tokens=False).ids + [1]
+        mine = sorted((r for r in pieces if r.doc_id == doc), key=lambda r: r.start)
+        assert sum(r.length for r in mine) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in mine)

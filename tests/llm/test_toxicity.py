@@ -52,3 +52,17 @@ def test_labels_that_do_not_vary_or_lack(spark, odd):
     same = spark.createDataFrame([(1, 1, None), (2, 1, 0), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(r.p_toxic == 0 for r in toxicity.score(odd, toxicity.fit(odd, same)).collect())
     assert toxicity.score(odd.limit(0), toxicity.fit(odd.limit(0), same)).count() == 0
+
+
+def test_labels_and_documents_repeated_per_id(spark):
+    """Label rows of an id that disagree count as their largest; an id of several documents is one of the sample."""
+    docs = [(i, f"{'foul' if i % 3 == 0 else 'fine'} words {i}") for i in range(300)] + [(0, "foul words again")] * 3
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(300)] + [(i, 1, 0) for i in range(0, 300, 6)]
+    chains = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        frames = [spark.createDataFrame([x[i] for i in rng.permutation(len(x)).tolist()], kind).repartition(3) for x, kind in ((docs, "doc_id long, text string"), (marks, "doc_id long, quality int, toxic int"))]
+        chains.append(toxicity.fit(*frames))
+    assert chains[0].vocabulary == chains[1].vocabulary and all((a.weights == b.weights).all() and a.bias == b.bias for a, b in zip(chains[0].models, chains[1].models))
+    scored = toxicity.score(spark.createDataFrame(docs[:300], "doc_id long, text string"), chains[0]).collect()
+    assert all((r.p_toxic >= 0.5) == (r.doc_id % 3 == 0) for r in scored)

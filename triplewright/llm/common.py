@@ -5,38 +5,18 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplewright.operators.staging import drop_path, shared_dir, stage  # noqa: F401  also for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or tempfile.gettempdir() + '/triplewright-shared').rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def trimmed(batches):
     """The batches; at their end a worker gives back what it holds without need, as it lives on for other tasks."""
     yield from batches

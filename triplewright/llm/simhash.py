@@ -41,7 +41,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned: bit i is set if it is set in over half of the hashes."""
     votes = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         votes += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -134,5 +138,16 @@ def group(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int =
     return prints.join(stage(named), "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, id, component_id, lead): groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Fingerprints alone can't decide that: at a similarity of 0.8 they differ in about 10 of 64 bits, too many for tables of segments. So links
+    within DISTANCE are what is proposed first, whole shingle sets decide, and the other proposals come from bands (see jaccard).
+    """
+    from triplewright.llm import jaccard
+
+    return jaccard.group(df, id, text)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))

@@ -8,8 +8,10 @@ categories before it. In training these are out-of-fold predictions, so that lat
 as those they will see in use.
 Scoring: every whole text, where it is read; a worker remembers which features a word has.
 
-Labels: a category's label is null or 0/1. Documents without labels are only scored. If no label of a category is 1 (or all are), its
-probability is that share for every document. Null and empty texts have no features. Ties in the sample go by id.
+Labels: a category's label is null or 0/1; of several rows of labels for an id the largest counts, so that a document is in a category
+if any of them says so. Documents without labels are only scored. If no label of a category is 1 (or all are), its
+probability is that share for every document. Null and empty texts have no features. Ties in the sample go by id; of several
+documents of an id the smallest text is in the sample.
 """
 
 from __future__ import annotations
@@ -184,8 +186,9 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
     """Chain fitted on at most `sample` labelled documents; categories: name -> expression over labels."""
     spark, names, base = documents.sparkSession, list(categories), shared_dir(documents.sparkSession)
     marked = labels.where(f"{id} is not null").select(F.col(id).alias("_id"), *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
-    chosen = marked.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = stage(documents.select(F.col(id).alias("_id"), "text").join(chosen, "_id"), base)
+    chosen = marked.groupBy("_id").agg(*(F.max(c).alias(c) for c in names)).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    found = documents.select(F.col(id).alias("_id"), "text").join(chosen, "_id")
+    texts = stage(found.groupBy("_id", *names).agg(F.min("text").alias("text")), base)
     vocabulary = {r.feature: i for i, r in enumerate(select_features(texts, names).orderBy("feature").collect())}
 
     def columns(batches):
