@@ -12,6 +12,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 _LITERAL = r'(?s)^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$'
 NUMERIC = [XSD + t for t in "integer decimal double float int long short byte nonNegativeInteger positiveInteger negativeInteger nonPositiveInteger unsignedInt unsignedLong unsignedShort unsignedByte".split()]
 
+WHOLE = [t for t in NUMERIC if t.removeprefix(XSD) not in ("decimal", "double", "float")]
+
 
 def iri(value: Column) -> Column:
     return F.concat(F.lit("<"), value, F.lit(">"))
@@ -61,6 +63,11 @@ def number(t: Column) -> Column:
     return F.when(datatype(t).isin(NUMERIC), lexical(t).try_cast("double"))
 
 
+def integer(t: Column) -> Column:
+    """Value of a literal of an integer type with up to 38 digits, null for any other term."""
+    return F.when(datatype(t).isin(WHOLE), lexical(t).try_cast("decimal(38,0)"))
+
+
 def from_number(n: Column) -> Column:
     """A number as a term: whole numbers as integers, others as decimals."""
     whole = n == F.floor(n)

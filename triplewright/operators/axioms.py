@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,30 @@ OWL, RDF, RDFS = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22
 KINDS = {"someValuesFrom": "some", "allValuesFrom": "only", "hasValue": "value", "hasSelf": "self", "minCardinality": "min", "minQualifiedCardinality": "min", "maxCardinality": "max", "maxQualifiedCardinality": "max", "cardinality": "exactly", "qualifiedCardinality": "exactly"}
 
 
-def lists(quads: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(g, head, pos, item) of every rdf:List cell taken as a head; positions double per round, circular lists end."""
+def lists(quads: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(g, head, pos, item) of every rdf:List; a head is a cell that something else than a list refers to, or that nothing refers to.
+
+    Each round doubles how far lists are followed from their heads, over steps that double too: rows in all are as many as the lists'
+    members, not their squares. A circular list ends where it meets itself.
+    """
     first = quads.where(F.col("p") == f"<{RDF}first>").select("g", F.col("s").alias("cell"), F.col("o").alias("item"))
     rest = quads.where((F.col("p") == f"<{RDF}rest>") & (F.col("o") != f"<{RDF}nil>")).select("g", F.col("s").alias("cell"), F.col("o").alias("next"))
-    jump = stage(rest.select("g", "cell", "next", F.lit(1).alias("k")).unionByName(first.select("g", "cell", F.col("cell").alias("next"), F.lit(0).alias("k"))))
-    n = jump.count()
+    cells = stage(first.select("g", "cell").distinct())
+    empty = cells.select("g", F.col("cell").alias("head"), F.lit(0).alias("pos"), F.col("cell").alias("item")).limit(0)
+    if cells.isEmpty():
+        return empty
+    step = stage(rest.distinct())
+    named = quads.where(F.col("p") != f"<{RDF}rest>").select("g", F.col("o").alias("cell"))
+    heads = cells.join(named, ["g", "cell"], "left_semi").unionByName(cells.join(step.select("g", F.col("next").alias("cell")), ["g", "cell"], "left_anti")).distinct()
+    found, length = stage(heads.select("g", F.col("cell").alias("head"), "cell", F.lit(0).alias("pos"))), 1
     for _ in range(max_rounds):
-        far = jump.alias("a").join(jump.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.next") == F.col("b.cell"))).select("a.g", "a.cell", "b.next", (F.col("a.k") + F.col("b.k")).alias("k"))
-        grown = stage(far.groupBy("g", "cell", "next").agg(F.min("k").alias("k")))
-        m = grown.count()
-        if m == n:
-            break
-        jump, n = grown, m
-    return jump.join(first.select("g", F.col("cell").alias("next"), "item"), ["g", "next"]).select("g", F.col("cell").alias("head"), F.col("k").alias("pos"), "item")
+        ahead = found.join(step, ["g", "cell"]).select("g", "head", F.col("next").alias("cell"), (F.col("pos") + length).alias("pos"))
+        new = stage(ahead.groupBy("g", "head", "cell").agg(F.min("pos").alias("pos")).join(found, ["g", "head", "cell"], "left_anti"))
+        if new.isEmpty():
+            return found.join(first, ["g", "cell"]).select("g", "head", "pos", "item")
+        found, length = stage(found.unionByName(new)), 2 * length
+        step = stage(step.select("g", "cell", F.col("next").alias("_m")).join(step.select("g", F.col("cell").alias("_m"), "next"), ["g", "_m"]).select("g", "cell", "next").distinct())
+    raise RuntimeError("lists did not end")
 
 
 def restrictions(quads: DataFrame) -> DataFrame:
@@ -153,31 +165,55 @@ def manchester(quads: DataFrame, labels: DataFrame | None = None, rounds: int =
     return every
 
 
-def classify_el(quads: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(child, parent): subsumptions that follow in EL from named subclasses, equivalences, intersections and existential restrictions.
+def classify_el(quads: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(g, child, parent): subsumptions that follow in EL, in each graph by itself, from named subclasses, equivalences, intersections and existential restrictions.
 
-    Semi-naive completion over S(x, c): c subsumes x, and R(x, r, y): x has an r-successor in y. Nodes are classes and blank class expressions alike.
+    Completion over S(x, c): c subsumes x, and R(x, r, y): x has an r-successor in y. Nodes are classes and blank class expressions alike.
+    Each round takes up what the round before it found: only new pairs are joined with the axioms and with all pairs known. Rounds go on until nothing is new; if there
+    are more than max_rounds of them the result would not be whole, which is an error.
     """
-    sub = quads.where(F.col("p").isin(f"<{RDFS}subClassOf>", f"<{OWL}equivalentClass>")).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    sub = sub.unionByName(quads.where(F.col("p") == f"<{OWL}equivalentClass>").select(F.col("o").alias("a"), F.col("s").alias("b")))
-    members = quads.where(F.col("p") == f"<{OWL}intersectionOf>").select("g", F.col("s").alias("node"), F.col("o").alias("head")).join(lists(quads), ["g", "head"]).select("node", "item").distinct()
-    sub = stage(sub.unionByName(members.select(F.col("node").alias("a"), F.col("item").alias("b"))).distinct())
-    members, size = stage(members), stage(members.groupBy("node").agg(F.count("*").alias("size")))
-    some = stage(restrictions(quads).where("kind = 'some' and not inverse").select("node", "prop", "filler").distinct())
-    props = reachable(quads.where(F.col("p") == f"<{RDFS}subPropertyOf>").select(F.col("s").alias("a"), F.col("o").alias("b")), "a", "b")
-    nodes = sub.select(F.col("a").alias("x")).unionByName(sub.select(F.col("b").alias("x"))).unionByName(some.select(F.col("filler").alias("x"))).distinct()
-    s = stage(nodes.select("x", F.col("x").alias("c")))
-    n = s.count()
+    same = quads.where(F.col("p") == f"<{OWL}equivalentClass>")
+    sub = quads.where(F.col("p") == f"<{RDFS}subClassOf>").unionByName(same).select("g", F.col("s").alias("a"), F.col("o").alias("b")).unionByName(same.select("g", F.col("o").alias("a"), F.col("s").alias("b")))
+    members = quads.where(F.col("p") == f"<{OWL}intersectionOf>").select("g", F.col("s").alias("node"), F.col("o").alias("head")).join(lists(quads), ["g", "head"]).select("g", "node", "item").distinct()
+    members = stage(members)
+    sub = stage(sub.unionByName(members.select("g", F.col("node").alias("a"), F.col("item").alias("b"))).distinct())
+    some = stage(restrictions(quads).where("kind = 'some' and not inverse").select("g", "node", "prop", "filler").distinct())
+    props = quads.where(F.col("p") == f"<{RDFS}subPropertyOf>").select("g", F.col("s").alias("prop"), F.col("o").alias("wider"))
+    own = some.select("g", "prop", F.col("prop").alias("wider"))
+    props = stage(reachable(props, "prop", "wider", by=["g"]).unionByName(own).distinct())
+    nodes = sub.select("g", F.col("a").alias("x")).unionByName(sub.select("g", F.col("b").alias("x"))).unionByName(some.select("g", F.col("filler").alias("x"))).distinct()
+    known = new = stage(nodes.select("g", "x", F.col("x").alias("c")))
+    roles, parts, role_parts, intersected = None, [known], [], not members.isEmpty()
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     for _ in range(max_rounds):
-        up = s.join(sub, s.c == sub.a).select("x", F.col("b").alias("c"))
-        both = s.join(members, s.c == members.item).groupBy("x", "node").agg(F.count_distinct("item").alias("k")).join(size, "node").where("k = size").select("x", F.col("node").alias("c"))
-        role = s.join(some, s.c == some.node).select("x", "prop", F.col("filler").alias("y"))
-        role = role.unionByName(role.join(props, role.prop == props.a).select("x", F.col("b").alias("prop"), "y")).distinct()
-        reach = role.join(s.select(F.col("x").alias("y"), F.col("c").alias("filler")), "y").join(some, ["prop", "filler"]).select("x", F.col("node").alias("c"))
-        grown = stage(s.unionByName(up).unionByName(both).unionByName(reach).distinct())
-        m = grown.count()
-        s, n, ended = grown, m, m == n
-        if ended:
+        found = [new.join(sub, (new.g == sub.g) & (new.c == sub.a)).select(new.g, "x", F.col("b").alias("c"))]
+        if intersected:
+            touched = new.join(members.withColumnRenamed("item", "c"), ["g", "c"]).select("g", "x", "node").distinct()
+            lacking = touched.join(members, ["g", "node"]).join(known.withColumnRenamed("c", "item"), ["g", "x", "item"], "left_anti").select("g", "x", "node").distinct()
+            found.append(touched.join(lacking, ["g", "x", "node"], "left_anti").select("g", "x", F.col("node").alias("c")))
+        fresh = new.join(some.withColumnRenamed("node", "c"), ["g", "c"]).join(props, ["g", "prop"]).select("g", "x", F.col("wider").alias("prop"), F.col("filler").alias("y")).distinct()
+        fresh = stage(fresh.join(roles, ["g", "x", "prop", "y"], "left_anti") if roles is not None else fresh)
+        below = lambda frame: frame.select("g", F.col("x").alias("y"), F.col("c").alias("filler"))
+        reached = fresh.join(below(known), ["g", "y"])
+        if roles is not None:
+            reached = reached.select("g", "x", "prop", "filler").unionByName(roles.join(below(new), ["g", "y"]).select("g", "x", "prop", "filler"))
+        found.append(reached.select("g", "x", "prop", "filler").distinct().join(some, ["g", "prop", "filler"]).select("g", "x", F.col("node").alias("c")))
+        role_parts.append(fresh)
+        roles = union(role_parts)
+        new = stage(union(found).distinct().join(known, ["g", "x", "c"], "left_anti"))
+        if new.isEmpty():
             break
+        parts.append(new)
+        known = union(parts)
+        if len(parts) > 12:
+            known, roles = stage(known), stage(roles)
+            parts, role_parts = [known], [roles]
+    else:
+        raise RuntimeError(f"the classification did not end in {max_rounds} rounds")
     inside = lambda c: F.col(c).substr(F.lit(2), F.length(c) - 2)
-    return s.where("startswith(x, '<') and startswith(c, '<') and x <> c").select(inside("x").alias("child"), inside("c").alias("parent"))
+    return known.where("startswith(x, '<') and startswith(c, '<') and x <> c").select("g", inside("x").alias("child"), inside("c").alias("parent"))
+
+
+def unsatisfiable(classified: DataFrame) -> DataFrame:
+    """(g, cls): classes that owl:Nothing subsumes by a classification (g, child, parent)."""
+    return classified.where(F.col("parent") == f"{OWL}Nothing").select("g", F.col("child").alias("cls")).distinct()

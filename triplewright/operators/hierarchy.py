@@ -18,25 +18,25 @@ def reachable(edges: DataFrame, source: str, target: str, seeds: DataFrame | Non
     """Distinct pairs (*by, source, target) connected by one or more edges; cycles end by themselves.
 
     seeds (a column `source`, and by): only pairs from there; then each round follows the new frontier over the edges, which stay as
-    they are. Without seeds each round joins the paths found with themselves, so that rounds grow with the logarithm of the longest
-    path. Every round is written to the shared folder and only new pairs go on.
+    they are. Without seeds each round joins the pairs that the round before it found with all pairs, so that rounds grow with the logarithm of
+    the longest path and no pair of known ones is joined again. Every round is written to the shared folder.
     """
     by = list(by)
     edges = edges.select(*by, source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct()
     if seeds is None:
-        found = stage(edges)
-        n = found.count()
+        found = new = stage(edges)
         for _ in range(max_rounds):
-            step = found.withColumnRenamed(target, "_m").join(found.withColumnRenamed(source, "_m"), [*by, "_m"]).select(*by, source, target)
-            grown = stage(found.unionByName(step).distinct())
-            m = grown.count()
-            found = grown
-            if m == n:
+            if new.isEmpty():
                 return found
-            n = m
+            joined = lambda a, b: a.withColumnRenamed(target, "_m").join(b.withColumnRenamed(source, "_m"), [*by, "_m"]).select(*by, source, target)
+            step = joined(new, found).unionByName(joined(found, new)).distinct()
+            new = stage(step.join(found, [*by, source, target], "left_anti"))
+            found = stage(found.unionByName(new))
         raise RuntimeError("closure did not end")
     keys = [*by, source]
     found = stage(edges.join(seeds.select(*keys).distinct(), keys, "left_semi"))
+    if found.isEmpty():
+        return found
     edges = stage(edges)
     frontier, parts = found, [found]
     for _ in range(max_rounds):

@@ -303,12 +303,10 @@ class Evaluator:
         if node.kind in ("min", "max", "exactly"):
             test = {"min": F.col("n") >= node.n, "max": F.col("n") <= node.n, "exactly": F.col("n") == node.n}[node.kind]
             kinds = rows.where((F.col("kind") == node.kind) & test)
-            if node.kind == "min":
-                kinds = kinds.unionByName(rows.where((F.col("kind") == "exactly") & (F.col("n") >= node.n)))
-                if node.n <= 1:
-                    kinds = kinds.unionByName(rows.where("kind = 'some'"))
-            wanted = f"<{names[f.ref]}>" if isinstance(f, Named) else thing
-            return kinds.where((F.col("filler") == wanted) | F.lit(wanted == thing))
+            if node.kind == "min" and node.n <= 1:  # some is min 1
+                kinds = kinds.unionByName(rows.where("kind = 'some'"))
+            # an unqualified restriction is one of owl:Thing
+            return kinds.where(F.col("filler") == (f"<{names[f.ref]}>" if isinstance(f, Named) else thing))
         rows = rows.where(F.col("kind") == node.kind)
         if node.kind == "self":
             return rows.where(F.col("filler") == f'"true"^^<{XSD}boolean>')

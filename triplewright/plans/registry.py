@@ -32,11 +32,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def sparql_query(name: str, text: str, sql: str | None) -> None:
-    query(name, sql)(lambda t: sparql.run(t.quads, PRE + text, decode=not text.startswith(("ASK", "CONSTRUCT", "DESCRIBE")), disjoint=True))  # each kind of row makes triples of one graph
+def sparql_query(name: str, text: str, sql: str | None, disjoint: bool = True) -> None:
+    """disjoint: each kind of row makes triples of one graph; else one graph is there twice under two names, as a default graph that needs duplicate removal."""
+
+    def quads(t: Tables):
+        return t.quads if disjoint else t.quads.unionByName(t.quads.where("g = '<urn:g:geo>'").withColumn("g", F.lit("<urn:g:copy>")))
+
+    query(name, sql)(lambda t: sparql.run(quads(t), PRE + text, decode=not text.startswith(("ASK", "CONSTRUCT", "DESCRIBE")), disjoint=disjoint))
 
 
 # SPARQL
+_NATIONS = "SELECT 'http://ex/nation/' || n_nationkey AS s, n_name AS l, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
+sparql_query("sparql_scan_union", "SELECT ?s ?l WHERE { ?s rdfs:label ?l ; rdfs:subClassOf ?r . ?r a owl:Class ; rdfs:label ?x }", """
+SELECT 'http://ex/nation/' || n_nationkey AS s, n_name AS l FROM nation UNION ALL SELECT 'http://ex/supplier/' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'http://ex/customer/' || c_custkey, c_name FROM customer""", disjoint=False)
+sparql_query("sparql_group_union", "SELECT ?r (COUNT(?s) AS ?n) WHERE { ?s rdfs:subClassOf ?x . ?x rdfs:label ?r } GROUP BY ?r", """
+SELECT r, count(*)::VARCHAR AS n FROM (SELECT r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1""", disjoint=False)
+sparql_query("sparql_avg_distinct", "SELECT ?b WHERE { ?p :brand ?b ; :size ?z } GROUP BY ?b HAVING (ABS(AVG(DISTINCT ?z) * COUNT(DISTINCT ?z) - SUM(DISTINCT ?z)) < 0.001 && ABS(AVG(?z) * COUNT(?z) - SUM(?z)) < 0.001)", "SELECT DISTINCT p_brand AS b FROM part")
+sparql_query("sparql_big_integers", "SELECT ?s (?z + 9007199254740993 AS ?x) (?z * 3000000000000 AS ?y) WHERE { ?s :size ?z }", """
+SELECT 'http://ex/part/' || p_partkey AS s, (p_size::HUGEINT + 9007199254740993)::VARCHAR AS x, (p_size::HUGEINT * 3000000000000)::VARCHAR AS y FROM part""")
+sparql_query("sparql_date_fields", """SELECT ?s (HOURS(?d) AS ?h) (MINUTES(?d) AS ?m) (SECONDS(?d) AS ?q) (YEAR(?d) AS ?y) (TIMEZONE(?d) AS ?z) (TZ(?d) AS ?t)
+WHERE { ?s a owl:Class ; rdfs:subClassOf ?r . ?r rdfs:label ?l BIND("2024-03-05T23:07:08.25-05:30"^^xsd:dateTime AS ?d) }""", """
+SELECT s, '23' AS h, '7' AS m, '8.25' AS q, '2024' AS y, '-PT5H30M' AS z, '-05:30' AS t FROM (SELECT 'http://ex/nation/' || n_nationkey AS s FROM nation UNION ALL SELECT 'http://ex/supplier/' || s_suppkey FROM supplier)""")
+sparql_query("sparql_exists_or", "SELECT ?s WHERE { ?s rdfs:subClassOf ?x FILTER(EXISTS { ?s a owl:NamedIndividual } || !EXISTS { ?x rdfs:subClassOf ?y } || ?s = <http://ex/supplier/1>) }", """
+SELECT 'http://ex/customer/' || c_custkey AS s FROM customer UNION ALL SELECT 'http://ex/nation/' || n_nationkey FROM nation UNION ALL SELECT 'http://ex/part/' || l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem) UNION ALL SELECT 'http://ex/supplier/1'""")
+sparql_query("sparql_graph_path", "SELECT ?g ?s ?o WHERE { GRAPH ?g { ?s rdfs:subClassOf+ ?o . ?s a owl:Class } }", """
+SELECT 'urn:g:geo' AS g, 'http://ex/nation/' || n_nationkey AS s, 'http://ex/region/' || n_regionkey AS o FROM nation UNION ALL SELECT 'urn:g:org', 'http://ex/supplier/' || s_suppkey, 'http://ex/nation/' || s_nationkey FROM supplier
+UNION ALL SELECT 'urn:g:parts', 'http://ex/part/' || l_partkey, NULL FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
+sparql_query("sparql_optional_twice", "SELECT ?s ?l ?r WHERE { ?s rdfs:subClassOf ?x . ?s a owl:Class OPTIONAL { ?x a owl:Class . ?x rdfs:label ?l FILTER(?l < 'F') } OPTIONAL { ?x rdfs:label ?l . ?x rdfs:subClassOf ?y . ?y rdfs:label ?r } }", """
+SELECT 'http://ex/nation/' || n_nationkey AS s, CASE WHEN r_name < 'F' THEN r_name END AS l, NULL AS r FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'http://ex/supplier/' || s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'http://ex/part/' || l_partkey, NULL, NULL FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
 sparql_query("sparql_scan", "SELECT ?s ?l WHERE { ?s rdfs:label ?l ; a owl:Class ; rdfs:subClassOf ?r }", """
 SELECT 'http://ex/nation/' || n_nationkey AS s, n_name AS l FROM nation UNION ALL SELECT 'http://ex/supplier/' || s_suppkey, s_name FROM supplier
 UNION ALL SELECT 'http://ex/part/' || p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")
@@ -172,8 +197,34 @@ query("hierarchy_replace", "SELECT version_id, child, parent, kind FROM edges WH
 query("hierarchy_path", "SELECT 'http://ex/customer/5' || ' > ' || 'http://ex/nation/' || n_nationkey || ' > ' || 'http://ex/region/' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5")(
     lambda t: (lambda region: t.spark.createDataFrame([(" > ".join(hierarchy.shortest_path(t.edges, EX + "customer/5", region) or []),)], "path string"))(
         t.customer.where("c_custkey = 5").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit(EX + "region/"), F.col("n_regionkey"))).first()[0]))
-query("classification_el", """/*recursive*/ WITH e AS (SELECT child, parent FROM edges WHERE version_id <> 'parts'), w AS (SELECT child, parent FROM e UNION SELECT w.child, e.parent FROM w JOIN e ON w.parent = e.child) SELECT child, parent FROM w""")(
-    lambda t: axioms.classify_el(t.quads))
+query("classification_el", """/*recursive*/ WITH e AS (SELECT version_id, child, parent FROM edges WHERE version_id <> 'parts'), w AS (SELECT version_id, child, parent FROM e UNION SELECT w.version_id, w.child, e.parent FROM w JOIN e ON w.parent = e.child AND w.version_id = e.version_id)
+SELECT '<urn:g:' || version_id || '>' AS g, child, parent FROM w""")(lambda t: axioms.classify_el(t.quads))
+# a class per nation of what something of that nation supplies, suppliers below nations in the same graph: parts are in the nation's class by an existential rule, and in a class of two conditions by an intersection
+query("classification_existential", """
+WITH k AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1), n AS (SELECT l_partkey, s_nationkey AS n, s_suppkey AS s FROM k JOIN supplier ON s = s_suppkey)
+SELECT '<urn:g:parts>' AS g, 'http://ex/part/' || l_partkey AS child, 'http://ex/from/' || n AS parent FROM n
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/part/' || l_partkey, 'http://ex/stated' FROM n WHERE n % 2 = 0
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/part/' || l_partkey, 'http://ex/both' FROM n WHERE n = 4
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/both', 'http://ex/from/4' UNION ALL SELECT '<urn:g:parts>', 'http://ex/both', 'http://ex/stated'
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/from/' || n_nationkey, 'http://ex/stated' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/from/4', 'http://ex/both'
+UNION ALL SELECT '<urn:g:parts>', 'http://ex/supplier/' || s_suppkey, 'http://ex/nation/' || s_nationkey FROM supplier""")(lambda t: axioms.classify_el(_existential(t)))
+
+
+def _existential(t: Tables):
+    """The parts' graph with a class http://ex/from/N = suppliedBy some nation N, even ones below http://ex/stated, and http://ex/both = from/4 and stated."""
+    owl, rdf_, rdfs = axioms.OWL, axioms.RDF, axioms.RDFS
+    n, nation = F.col("n_nationkey").cast("string"), t.nation
+    row = lambda s, p, o: F.struct(s.alias("s"), F.lit(f"<{p}>").alias("p"), o.alias("o"))
+    named = lambda kind, k: F.concat(F.lit(f"<{EX}{kind}/"), k, F.lit(">"))
+    node = F.concat(F.lit("_:from"), n)
+    rows = F.array(row(named("from", n), owl + "equivalentClass", node), row(node, owl + "onProperty", F.lit(f"<{EX}suppliedBy>")), row(node, owl + "someValuesFrom", named("nation", n)))
+    classes = nation.select(F.explode(rows).alias("x")).unionByName(nation.where("n_nationkey % 2 = 0").select(row(named("from", n), rdfs + "subClassOf", F.lit(f"<{EX}stated>")).alias("x")))
+    below = t.supplier.select(row(named("supplier", F.col("s_suppkey").cast("string")), rdfs + "subClassOf", named("nation", F.col("s_nationkey").cast("string"))).alias("x"))
+    both = [(f"<{EX}both>", f"<{owl}equivalentClass>", "_:i"), ("_:i", f"<{owl}intersectionOf>", "_:l"), ("_:l", f"<{rdf_}first>", f"<{EX}from/4>"), ("_:l", f"<{rdf_}rest>", "_:m"), ("_:m", f"<{rdf_}first>", f"<{EX}stated>"), ("_:m", f"<{rdf_}rest>", f"<{rdf_}nil>")]
+    more = classes.unionByName(below).select("x.*").unionByName(t.spark.createDataFrame(both, "s string, p string, o string")).withColumn("g", F.lit("<urn:g:parts>"))
+    return t.quads.where(f"g = '<urn:g:parts>' and p <> '<{rdfs}label>'").unionByName(more.select("g", "s", "p", "o"))
+
 
 # axioms and class expressions
 query("axiom_restrictions", "SELECT '_:r' || l_partkey AS node, '<http://ex/suppliedBy>' AS prop, 'some' AS kind, '<http://ex/supplier/' || min(l_suppkey) || '>' AS filler FROM lineitem GROUP BY l_partkey")(
@@ -228,11 +279,27 @@ query("diff_structure", """
 SELECT 'http://ex/part/' || p_partkey AS iri, p_name AS value, 'removed' AS change FROM part WHERE p_partkey % 5 <> 0 AND (p_partkey % 7 = 0 OR p_partkey % 3 = 0)
 UNION ALL SELECT 'http://ex/part/' || p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '!' ELSE '' END, 'added' FROM part WHERE p_partkey % 7 <> 0 AND (p_partkey % 5 = 0 OR p_partkey % 3 = 0)""")(
     lambda t: versions.structural_changes(*_snapshots(t)[2:]).select("iri", "value", "change"))
-query("diff_fingerprints", None)(lambda t: versions.fingerprints(t.quads))
+# a restriction's node has two lines: what property, what filler
+query("diff_fingerprints", """
+WITH k AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
+SELECT '_:r' || l_partkey AS node, left(sha1('<http://www.w3.org/2002/07/owl#onProperty>' || chr(9) || '<http://ex/suppliedBy>' || chr(10) || '<http://www.w3.org/2002/07/owl#someValuesFrom>' || chr(9) || '<http://ex/supplier/' || s || '>'), 16) AS print FROM k""")(
+    lambda t: versions.fingerprints(t.quads))
 query("update_states", "SELECT id, CASE WHEN id % 4 = 0 THEN 'up_to_date' WHEN id % 4 = 1 THEN 'unversioned' WHEN id % 4 = 2 THEN 'skipped' ELSE 'available' END AS state FROM versions")(
     lambda t: t.versions.select("id", versions.update_state(F.lit("a"), F.when(F.col("id") % 4 == 0, "a").otherwise("b"), F.lit(5), F.when(F.col("id") % 4 == 1, None).when(F.col("id") % 4 == 2, 4).otherwise(6)).alias("state")))
 
 # catalogue
+def _tiers(t: Tables):
+    """A graph per nation, with constructs of one of five mixtures beside a label."""
+    k = F.col("n_nationkey") % 5
+    row = lambda p, o: F.struct(F.lit("<s>").alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o"))
+    a, owl, rdfs = f"<{catalogue.RDF}type>", catalogue.OWL, catalogue.RDFS
+    none = [row(f"<{rdfs}label>", '"x"'), row(a, f"<{owl}Ontology>"), row(a, f"<{owl}AnnotationProperty>"), row(f"<{owl}Restriction>", "<x>")]
+    light = [row(f"<{rdfs}subClassOf>", "<x>"), row(a, f"<{rdfs}Class>")]
+    mixtures = F.when(k == 0, F.array(*none)).when(k == 1, F.array(*none, *light)).when(k == 2, F.array(*none, *light, row(f"<{owl}inverseOf>", "<x>"), row(f"<{owl}sameAs>", "<x>"))).when(
+        k == 3, F.array(*none, *light, row(a, f"<{owl}Class>"), row(f"<{owl}oneOf>", "<x>"))).otherwise(F.array(*none, row(f"<{rdfs}range>", "<x>"), row("<x>", f"<{owl}Class>")))
+    return t.nation.select(F.concat(F.lit("g"), F.col("n_nationkey")).alias("g"), F.explode(mixtures).alias("x")).select("g", "x.*")
+
+
 query("graph_counts", """
 SELECT g, count(*) AS triples, count(DISTINCT CASE WHEN p LIKE '%#type>' AND o LIKE '%owl#Class>' AND s LIKE '<%' THEN s END) AS classes, count(DISTINCT CASE WHEN p LIKE '%#type>' AND o LIKE '%owl#NamedIndividual>' THEN s END) AS individuals FROM quads GROUP BY 1""")(
     lambda t: catalogue.graph_counts(t.quads).select("g", "triples", "classes", "individuals"))
@@ -249,9 +316,17 @@ query("public_stats", "SELECT type, count(*) AS rows, count(DISTINCT iri) AS ter
     lambda t: catalogue.distinct_terms(t.entities, t.spark.createDataFrame([("org",), ("parts",)], "version_id string")))
 query("license_facets", "SELECT coalesce(license, 'none') AS value, count(*) AS n FROM versions GROUP BY 1")(lambda t: catalogue.counted(t.versions, F.col("license")))
 query("publish_gate", """
-SELECT id, CASE WHEN status = 'ready' THEN '' ELSE array_to_string(list_filter([CASE WHEN license = '5-LOW' THEN 'license' END, CASE WHEN size < 100000 THEN 'too_few_triples' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM versions""")(
-    lambda t: t.versions.select("id", F.array_join(catalogue.publish_state(F.when(F.col("license") != "5-LOW", F.col("license")), F.col("size"), F.lit("t"), F.col("status"), 100_000), ",").alias("reasons")))
-query("language_tier", "SELECT g, 'owl' AS tier FROM quads GROUP BY 1")(lambda t: catalogue.language_tier(t.quads).select("g", "tier"))
+SELECT id, CASE WHEN status = 'ready' THEN '' ELSE array_to_string(list_filter([
+  CASE WHEN license IN ('5-LOW', '1-URGENT') THEN 'license' END, CASE WHEN id % 11 = 0 OR size < 100000 THEN 'too_few_triples' END, CASE WHEN id % 7 = 0 THEN 'title' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM versions""")(
+    lambda t: t.versions.select("id", F.array_join(catalogue.publish_state(
+        F.when(F.col("license") != "5-LOW", F.col("license")), F.when(F.col("id") % 11 != 0, F.col("size")), F.when(F.col("id") % 7 == 0, " ").otherwise("t"), F.col("status"), 100_000,
+        ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]), ",").alias("reasons")))
+# the graphs declare classes and individuals; parts alone has restrictions
+query("language_tier", "SELECT g, CASE WHEN g = '<urn:g:parts>' THEN 'owl' ELSE 'rdfs-plus' END AS tier, CASE WHEN g = '<urn:g:parts>' THEN 'owl:onProperty' ELSE 'owl:Class' END AS construct FROM quads GROUP BY 1")(
+    lambda t: catalogue.language_tier(t.quads))
+query("language_tiers", """
+SELECT 'g' || n_nationkey AS g, CASE n_nationkey % 5 WHEN 0 THEN 'rdf' WHEN 1 THEN 'rdfs' WHEN 2 THEN 'rdfs-plus' WHEN 3 THEN 'owl' ELSE 'rdfs' END AS tier,
+CASE n_nationkey % 5 WHEN 1 THEN 'rdfs:Class' WHEN 2 THEN 'owl:inverseOf' WHEN 3 THEN 'owl:oneOf' WHEN 4 THEN 'rdfs:range' END AS construct FROM nation""")(lambda t: catalogue.language_tier(_tiers(t)))
 query("iri_prefixes", "SELECT iri, CASE WHEN iri LIKE 'http://ex/part/%' THEN 'part' ELSE 'ex' END AS prefix FROM entities")(
     lambda t: catalogue.with_prefix(t.entities, "iri", t.spark.createDataFrame([("http://ex/", "ex"), ("http://ex/part/", "part")], "namespace string, prefix string")).select("iri", "prefix"))
 query("reuse_terms", "SELECT split_part(iri, '/', 4) AS prefix, count(*) FILTER (type = 'class') AS classes, count(*) FILTER (type LIKE '%property') AS properties FROM entities WHERE iri NOT LIKE 'http://ex/part/%' GROUP BY 1")(
@@ -267,16 +342,26 @@ def _fair(t: Tables):
     v = t.versions
     n = lambda k: F.col("id") % k
     return v.select(
-        F.col("id").alias("version_id"), F.concat(F.lit("http://ex/"), F.col("id"), F.lit(".owl")).alias("iri"), (n(2) == 0).alias("resolvable"), F.lit("text/html").alias("content_type"), "version_iri", F.lit("t").alias("title"), F.when(n(3) == 0, "d").alias("description"),
-        F.lit("").alias("prefix"), F.lit("s").alias("shortname"), F.array(F.when(n(5) == 0, "OBO").otherwise("x")).alias("groups"), F.lit("rdfs").alias("tier"), F.array().cast("array<string>").alias("profiles"), F.lit(True).alias("profiles_unavailable"),
+        F.col("id").alias("version_id"), F.concat(F.lit("http://ex/"), F.col("id"), F.when(n(3) == 0, ".owl").when(n(3) == 1, "?x.ttl").otherwise("#a.b")).alias("iri"),
+        F.when(n(4) == 0, F.concat(F.lit("http://ex/"), F.col("id"), F.lit(".TTL?raw=1"))).alias("final_url"), (n(2) == 0).alias("resolvable"),
+        F.when(n(10) == 0, "Application/N-Triples").otherwise("text/html").alias("content_type"), "version_iri", F.lit("t").alias("title"), F.when(n(3) == 0, "d").alias("description"),
+        F.lit("").alias("prefix"), F.lit("s").alias("shortname"), F.array(F.when(n(5) == 0, "OBO").otherwise("x")).alias("groups"), F.when(n(7) != 0, "rdf").alias("tier"),
+        F.array().cast("array<string>").alias("profiles"), F.lit(True).alias("profiles_unavailable"),
         n(2).alias("reused"), F.lit(0).alias("imports"), F.lit(1).alias("mappings"), F.lit(0).alias("mireot"), "license", F.lit("MIT").alias("spdx"), F.lit(False).alias("license_ok"), F.lit(0).alias("creators"), F.lit("").alias("created"), F.lit(1).alias("publishers"),
-        F.lit(0.9).alias("roles_filled"), F.lit(0.6).alias("label_share"), F.lit(0.1).alias("definition_share"),
+        (n(10) / 10).alias("roles_filled"), (n(4) / 4).alias("label_share"), F.when(n(5) != 0, n(5) / 5).alias("definition_share"),
     )
 
 
 query("fair_scores", """
-WITH x AS (SELECT id AS version_id, round((1 + (id % 2 = 0)::INT + 1 + (id % 3 = 0)::INT + 1 + (id % 5 = 0)::INT) / 6.0, 4) AS f, round((CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + 2) / 3.0, 4) AS a, round((0.5 + 0.5 + id % 2 + 0.5) / 4.0, 4) AS i, round((1 + 0.5 + 0 + 1 + 0.5 + 0) / 6.0, 4) AS r FROM versions)
+WITH x AS (SELECT id AS version_id, round((1 + (id % 2 = 0)::INT + 1 + (id % 3 = 0)::INT + 1 + (id % 5 = 0)::INT) / 6.0::DOUBLE, 4) AS f,
+  round((CASE WHEN id % 2 = 1 THEN 0 WHEN id % 4 = 0 OR id % 3 = 0 OR id % 10 = 0 THEN 1 ELSE 0.5::DOUBLE END + 2) / 3, 4) AS a,
+  round(((id % 7 <> 0)::INT + 0.5::DOUBLE + id % 2 + 0.5::DOUBLE) / 4, 4) AS i,
+  round((1 + 0.5::DOUBLE + 0 + (id % 10) / 10.0::DOUBLE + (id % 4) / 4.0::DOUBLE + (id % 5) / 5.0::DOUBLE) / 6, 4) AS r FROM versions)
 SELECT version_id, f, a, i, r, round((f + a + i + r) / 4, 4) AS score, CASE WHEN round((f + a + i + r) / 4, 4) >= 0.85 THEN 'strong' WHEN round((f + a + i + r) / 4, 4) >= 0.5 THEN 'fair' ELSE 'weak' END AS verdict FROM x""")(lambda t: catalogue.fair_scores(_fair(t)))
+query("fair_own_share", """
+SELECT version_id, CASE WHEN count(*) FILTER (source = '') > 0 THEN count(*) FILTER (source = '' AND definition <> '') ELSE count(*) FILTER (definition <> '') END AS matched,
+CASE WHEN count(*) FILTER (source = '') > 0 THEN count(*) FILTER (source = '') ELSE count(*) END AS total FROM entities GROUP BY 1""")(
+    lambda t: catalogue.own_share(catalogue.coverage(t.entities.withColumn("labels", F.create_map(F.lit("en"), F.col("label")))), "definition").select("version_id", "matched", "total"))
 query("pipeline_stages", "SELECT 'events' AS stage, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT user_id FROM events)) AS done, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)) AS missing UNION ALL SELECT 'orders', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))")(
     lambda t: catalogue.pipeline_stages(t.customer.select(F.col("c_custkey").alias("version_id")), {"events": t.events.select(F.col("user_id").alias("version_id")), "orders": t.orders.select(F.col("o_custkey").alias("version_id"))}))
 query("verdict_agreement", "SELECT p_brand AS scope, count(*) AS n, round(100 * avg((p_size > 25)::INT), 1) AS agreed FROM part GROUP BY 1")(
@@ -298,7 +383,9 @@ query("rdf_replace_graph", "SELECT g, s, p, o FROM quads WHERE g <> '<urn:g:geo>
 query("rdf_append", "SELECT DISTINCT g, s, p, o FROM quads")(lambda t: rdf.append(t.quads, t.quads.where("g = '<urn:g:geo>'")))
 query("rdf_content_identity", "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1")(lambda t: rdf.content_identity(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))))
 query("rdf_ingest_guard", "SELECT DISTINCT g, '' AS problem FROM quads")(lambda t: rdf.ingest_problem(t.quads))
-query("rdf_strip_bled", "SELECT g, s, p, o FROM quads WHERE NOT (s = '<http://ex/part/1>' AND p LIKE '%#label>' AND o IN (SELECT o FROM quads WHERE p LIKE '%#label>' AND s <> '<http://ex/part/1>'))")(
+query("rdf_strip_bled", """
+WITH others AS (SELECT DISTINCT o AS theirs FROM quads WHERE p LIKE '%#label>' AND s <> '<http://ex/part/1>')
+SELECT g, s, p, o FROM quads LEFT JOIN others ON o = theirs AND s = '<http://ex/part/1>' AND p LIKE '%#label>' WHERE theirs IS NULL""")(
     lambda t: rdf.strip_bled(t.quads, "<http://ex/part/1>", [f"<{catalogue.RDFS}label>"]).select("g", "s", "p", "o"))
 query("rdf_triples_of_rows", "SELECT '<urn:t>' AS g, '<http://ex/r/' || r_regionkey || '>' AS s, '<http://ex/name>' AS p, '\"' || r_name || '\"' AS o FROM region")(
     lambda t: rdf.as_triples(t.region, T.iri(F.concat(F.lit(EX + "r/"), F.col("r_regionkey"))), {"r_name": (EX + "name", "text")}, F.lit("<urn:t>")))
@@ -308,7 +395,7 @@ query("import_closure", """/*recursive*/ WITH w AS (SELECT child, parent, 1 AS d
 # usage
 query("usage_daily", "SELECT ontology, kind, day, count(*) AS total, count(DISTINCT user_id) AS visitors FROM usage GROUP BY 1, 2, 3")(lambda t: usage.daily(t.usage))
 query("usage_unique", "SELECT ontology, kind, day, count(DISTINCT user_id) AS n FROM usage GROUP BY 1, 2, 3")(
-    lambda t: usage.unique_visits(t.usage.withColumn("visitor", usage.visitor(F.lit("salt"), F.col("user_id").cast("string"), F.lit("agent"), F.col("ontology"), F.col("day")))).groupBy("ontology", "kind", "day").agg(F.count("*").alias("n")))
+    lambda t: usage.unique_visits(t.usage.withColumn("visitor", usage.visitor("salt", F.col("user_id").cast("string"), F.lit("agent"), F.col("ontology"), F.col("day")))).groupBy("ontology", "kind", "day").agg(F.count("*").alias("n")))
 query("usage_trend", """
 WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-12', INTERVAL 7 DAY))::DATE AS bucket) SELECT bucket, count(day) AS n FROM d LEFT JOIN usage ON date_trunc('week', day) = bucket GROUP BY 1""")(
     lambda t: usage.trend(t.usage.groupBy("day").agg(F.count("*").alias("total")), "2024-01-01", "2024-02-12"))

@@ -48,7 +48,14 @@ query("fair_history", "SELECT day, CASE WHEN day = DATE '2024-01-05' THEN 0.5 EL
     lambda t: browse.snapshot(t.usage.groupBy("day").agg(F.count("*").cast("double").alias("score")), t.spark.sql("SELECT date'2024-01-05' AS day, 0.5D AS score")))
 query("import_exports", "SELECT DISTINCT 'http://ex/nation/' || s_nationkey AS imported, 'http://ex/supplier/' || s_suppkey AS importer FROM supplier")(
     lambda t: t.edges.where("child like '%supplier%'").select(F.col("parent").alias("imported"), F.col("child").alias("importer")).distinct())
-query("individual_types", None)(lambda t: indexing.individual_types(t.quads))
+def _typed_customers(t):
+    """Types of customers beside their declaration: the market segment, and every other one a buyer, stated twice; blank types count as none."""
+    names = F.array_compact(F.array(F.concat(F.lit("<http://ex/"), F.col("c_mktsegment"), F.lit(">")), F.when(F.col("c_custkey") % 2 == 0, "<http://ex/ABuyer>"), F.when(F.col("c_custkey") % 2 == 0, "<http://ex/ABuyer>"), F.lit("_:x")))
+    return t.customer.select(F.lit("<urn:g:org>").alias("g"), F.concat(F.lit("<http://ex/customer/"), F.col("c_custkey"), F.lit(">")).alias("s"), F.lit(indexing.TYPE).alias("p"), F.explode(names).alias("o"))
+
+
+query("individual_types", """SELECT '<urn:g:org>' AS g, '<http://ex/customer/' || c_custkey || '>' AS s, CASE WHEN c_custkey % 2 = 0 THEN 'http://ex/ABuyer http://ex/' || c_mktsegment ELSE 'http://ex/' || c_mktsegment END AS types FROM customer""")(
+    lambda t: indexing.individual_types(t.quads.unionByName(_typed_customers(t))).withColumn("types", F.array_join("types", " ")))
 query("job_list", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")(
     lambda t: t.orders.where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey"))
 query("rdf_replace_record", "SELECT g, s, p, o FROM quads WHERE s <> '<http://ex/part/1>' UNION ALL SELECT '<urn:g:parts>', '<http://ex/part/1>', '<p>', '<o>'")(

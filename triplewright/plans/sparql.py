@@ -34,12 +34,16 @@ class Solutions:
 class Value:
     """A compiled expression: a term, or a native boolean, number or string that becomes a term when needed."""
 
-    def __init__(self, kind: str, column: Column):
+    def __init__(self, kind: str, column: Column, whole: Column | None = None):
         self.kind, self.column = kind, column
+        #: Of a number: its value as an integer of up to 38 digits, null if it isn't one by its type.
+        self._whole = whole
 
     @property
     def term(self) -> Column:
-        return {"term": lambda c: c, "bool": T.from_boolean, "num": T.from_number, "str": T.plain}[self.kind](self.column)
+        if self.kind == "num":
+            return T.from_number(self.column) if self._whole is None else F.when(self._whole.isNotNull(), T.typed(self._whole, T.XSD + "integer")).otherwise(T.from_number(self.column))
+        return {"term": lambda c: c, "bool": T.from_boolean, "str": T.plain}[self.kind](self.column)
 
     @property
     def text(self) -> Column:
@@ -49,6 +53,12 @@ class Value:
     def num(self) -> Column:
         return self.column if self.kind == "num" else T.number(self.term)
 
+    @property
+    def whole(self) -> Column:
+        if self.kind == "num":
+            return F.lit(None).cast("decimal(38,0)") if self._whole is None else self._whole
+        return T.integer(self.term)
+
     @property
     def bool(self) -> Column:
         """Effective boolean value; null is an error."""
@@ -97,60 +107,84 @@ class Compiler:
 
     # property paths
     def pairs(self, graph, path) -> DataFrame:
-        """Pairs (s, o) that a path of one or more fixed steps connects; duplicates count."""
+        """Pairs (s, o) that a path of one or more fixed steps connects, with g if the graph is a variable; duplicates count."""
+        by = ["g"] if isinstance(graph, Var) else []
         if isinstance(path, str):
-            return self.triples(graph).where(F.col("p") == path).select("s", "o")
+            return self.triples(graph).where(F.col("p") == path).select(*by, "s", "o")
         a = path.args
         if path.op == "inv":
-            return self.pairs(graph, a[0]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+            return self.pairs(graph, a[0]).select(*by, F.col("o").alias("s"), F.col("s").alias("o"))
         if path.op == "seq":
-            return functools.reduce(lambda x, y: x.withColumnRenamed("o", "m").join(y.withColumnRenamed("s", "m"), "m").select("s", "o"), (self.pairs(graph, x) for x in a))
+            return functools.reduce(lambda x, y: x.withColumnRenamed("o", "m").join(y.withColumnRenamed("s", "m"), [*by, "m"]).select(*by, "s", "o"), (self.pairs(graph, x) for x in a))
         if path.op == "alt":
             return functools.reduce(DataFrame.unionByName, (self.pairs(graph, x) for x in a))
         if path.op == "neg":
             forward, back = [t for t, b in a if not b], [t for t, b in a if b]
             out = []
             if forward or not back:
-                out.append(self.triples(graph).where(~F.col("p").isin(forward)).select("s", "o"))
+                out.append(self.triples(graph).where(~F.col("p").isin(forward)).select(*by, "s", "o"))
             if back:
-                out.append(self.triples(graph).where(~F.col("p").isin(back)).select(F.col("o").alias("s"), F.col("s").alias("o")))
+                out.append(self.triples(graph).where(~F.col("p").isin(back)).select(*by, F.col("o").alias("s"), F.col("s").alias("o")))
             return functools.reduce(DataFrame.unionByName, out)
         if path.op == "plus":
-            return reachable(self.pairs(graph, a[0]), "s", "o")
+            return reachable(self.pairs(graph, a[0]), "s", "o", by=by)
         nodes = self.triples(graph)
-        same = nodes.select(F.col("s").alias("s")).unionByName(nodes.select(F.col("o").alias("s"))).distinct().select("s", F.col("s").alias("o"))
-        one = self.pairs(graph, a[0]) if path.op == "opt" else reachable(self.pairs(graph, a[0]), "s", "o")
+        same = nodes.select(*by, F.col("s").alias("s")).unionByName(nodes.select(*by, F.col("o").alias("s"))).distinct().select(*by, "s", F.col("s").alias("o"))
+        one = self.pairs(graph, a[0]) if path.op == "opt" else reachable(self.pairs(graph, a[0]), "s", "o", by=by)
         return one.unionByName(same).distinct()
 
     def path(self, graph, s, path, o) -> Solutions:
-        if isinstance(graph, Var):
-            raise SparqlError("a property path under a graph variable needs a named graph")
+        by = ["g"] if isinstance(graph, Var) else []
         unbounded = path.op in ("plus", "star") and isinstance(s, str) != isinstance(o, str)
         if unbounded:  # from the constant end only
             edges = self.pairs(graph, path.args[0])
             a, b, constant = ("s", "o", s) if isinstance(s, str) else ("o", "s", o)
             seeds = self.spark.createDataFrame([(constant,)], f"{a} string")
-            found = reachable(edges, a, b, seeds)
+            if by:
+                seeds = self.triples(graph).select("g").distinct().withColumn(a, F.lit(constant))
+            found = reachable(edges, a, b, seeds, by)
             if path.op == "star":
-                found = found.unionByName(seeds.select(a, F.col(a).alias(b)).select("s", "o")).distinct()
+                found = found.unionByName(seeds.select(*by, a, F.col(a).alias(b)).select(*by, "s", "o")).distinct()
             df = found
         else:
             df = self.pairs(graph, path)
             zero = path.op in ("star", "opt") and isinstance(s, str) and isinstance(o, str) and s == o
             if zero:
+                if by:
+                    return Solutions(self.triples(graph).select(F.col("g").alias(graph.name)).distinct(), [graph.name])
                 return Solutions(self.spark.createDataFrame([(1,)], "_one int").select(), [])
-        bound: dict[str, str] = {}
+        bound: dict[str, str] = {graph.name: "g"} if by else {}
         for column, node in (("s", s), ("o", o)):
             if isinstance(node, str):
                 df = df.where(F.col(column) == node)
             elif node.name in bound:
-                df = df.where(F.col("s") == F.col("o"))
+                df = df.where(F.col(bound[node.name]) == F.col(column))
             else:
                 bound[node.name] = column
         return Solutions(df.select(*(F.col(c).alias(n) for n, c in bound.items())), list(bound))
 
     # joins
+    def split(self, left: Solutions, right: Solutions, how: str, pending: list) -> Solutions | None:
+        """The join in two parts, by whether a shared variable is bound in one side's rows: each part is an equi join. None if there is no such variable.
+
+        A left, semi or anti join is shared out by its left rows only; by the right ones as well if it is an inner join.
+        """
+        for side, other, swap in ((left, right, False), (right, left, True)):
+            for n in side.names:
+                if n not in other.names or n not in side.maybe or n in other.maybe or swap and how != "inner":
+                    continue
+                bound = Solutions(side.df.where(F.col(n).isNotNull()), side.names, side.maybe - {n}, side.pending)
+                free = Solutions(side.df.where(F.col(n).isNull()).drop(n), [x for x in side.names if x != n], side.maybe - {n}, side.pending)
+                parts = [self.join(other, x, how, pending) if swap else self.join(x, other, how, pending) for x in (bound, free)]
+                names = left.names if how in ("left_semi", "left_anti") else left.names + [x for x in right.names if x not in left.names]
+                both = [p.df.select(*(F.col(x) if x in p.names else F.lit(None).cast("string").alias(x) for x in names)) for p in parts]
+                maybe = set().union(*(p.maybe for p in parts)) | {x for x in names if any(x not in p.names for p in parts)}
+                return Solutions(both[0].unionByName(both[1]), names, maybe)
+        return None
+
     def join(self, left: Solutions, right: Solutions, how: str = "inner", pending: list = ()) -> Solutions:
+        if in_parts := self.split(left, right, how, pending):
+            return in_parts
         shared = [n for n in left.names if n in right.names]
         loose = [n for n in shared if n in left.maybe or n in right.maybe]
         renamed = right.df.select(*(F.col(n).alias(f"_r_{n}" if n in shared else n) for n in right.names))
@@ -276,7 +310,25 @@ class Compiler:
             e = expr.args[0] if negated else expr
             inner = self.inner(e.group, graph)
             return self.join(out, inner, "left_anti" if e.negated != negated else "left_semi", inner.pending)
-        return Solutions(out.df.where(F.coalesce(self.expr(expr, out.names).bool, F.lit(False))), out.names, out.maybe)
+        marks: dict = {}
+        marked = self.marked(out, expr, graph, marks)
+        return Solutions(marked.df.where(F.coalesce(self.expr(expr, out.names, marks or None).bool, F.lit(False))).select(*out.names), out.names, out.maybe)
+
+    def marked(self, out: Solutions, expr, graph, marks: dict) -> Solutions:
+        """out with a column for each EXISTS inside an expression: whether its group has a solution for the row."""
+        if isinstance(expr, Exists):
+            inner = self.inner(expr.group, graph)
+            shared = [n for n in inner.names if n in out.names]
+            if inner.pending or any(n in out.maybe or n in inner.maybe for n in shared):
+                raise SparqlError("EXISTS inside an expression needs bound variables, and no outer ones in its filters")
+            flag = f"_exists{len(marks)}"
+            marks[id(expr)] = Value("bool", F.coalesce(F.col(flag), F.lit(False)) != F.lit(expr.negated))
+            found = (inner.df.select(*shared).distinct() if shared else inner.df.limit(1).select()).withColumn(flag, F.lit(True))
+            return Solutions(out.df.join(found, shared, "left") if shared else out.df.join(found, F.lit(True), "left"), out.names, out.maybe)
+        if isinstance(expr, Call):
+            for x in expr.args:
+                out = self.marked(out, x, graph, marks)
+        return out
 
     # expressions
     def expr(self, e, names: list[str], aggregates: dict | None = None) -> Value:
@@ -284,10 +336,10 @@ class Compiler:
             return Value("term", F.col(e.name) if e.name in names else F.lit(None).cast("string"))
         if isinstance(e, str):
             return Value("term", F.lit(e))
-        if isinstance(e, Exists):
-            raise SparqlError("EXISTS stands for a whole filter condition only")
         if aggregates is not None and id(e) in aggregates:
             return aggregates[id(e)]
+        if isinstance(e, Exists):
+            raise SparqlError("EXISTS stands in filters only")
         f, n = e.name, len(e.args)
         a = [self.expr(x, names, aggregates) for x in e.args] if f not in ("BOUND",) else []
         if f == "BOUND":
@@ -302,9 +354,11 @@ class Compiler:
             return Value("bool", functools.reduce(lambda x, y: x | y, (self.compare("=", a[0], x) for x in a[1:]), F.lit(False)))
         if f in ("+", "-", "*", "/"):
             x, y = a[0].num, a[1].num
-            return Value("num", {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.when(y != 0, x / y)}[f]())
+            out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.when(y != 0, x / y)}[f]()
+            exact = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}.get(f)  # beyond 38 digits: null, the double counts
+            return Value("num", out, exact(a[0].whole, a[1].whole).cast("decimal(38,0)") if exact else None)
         if f == "neg":
-            return Value("num", -a[0].num)
+            return Value("num", -a[0].num, -a[0].whole)
         if f == "IF":
             return Value("term", F.when(a[0].bool, a[1].term).when(~a[0].bool, a[2].term))
         if f == "COALESCE":
@@ -337,10 +391,17 @@ class Compiler:
         }
         if f in booleans:
             return Value("bool", booleans[f]())
-        stamp = {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second}
+        # fields as they are written, whatever the zone
+        stamp = {"YEAR": r"^(-?\d{4,})-", "MONTH": r"^-?\d{4,}-(\d\d)", "DAY": r"^-?\d{4,}-\d\d-(\d\d)", "HOURS": r"T(\d\d):", "MINUTES": r"T\d\d:(\d\d)", "SECONDS": r"T\d\d:\d\d:(\d\d(?:\.\d+)?)"}
         numbers = {"STRLEN": lambda: F.length(text), "ABS": lambda: F.abs(a[0].num), "CEIL": lambda: F.ceil(a[0].num), "FLOOR": lambda: F.floor(a[0].num), "ROUND": lambda: F.floor(a[0].num + 0.5), "RAND": lambda: F.rand()}
         if f in stamp:
-            return Value("num", stamp[f](F.try_to_timestamp(text)).cast("double"))
+            return Value("num", F.regexp_extract(text, stamp[f], 1).try_cast("double"))
+        if f == "TIMEZONE":
+            sign, hours, minutes = (F.regexp_extract(text, r"([+-])(\d\d):(\d\d)$", i) for i in (1, 2, 3))
+            part = lambda x, unit: F.when(x.try_cast("int") > 0, F.concat(x.try_cast("int").cast("string"), F.lit(unit))).otherwise("")
+            length = F.concat(part(hours, "H"), part(minutes, "M"))
+            zone = F.when(text.endswith("Z") | ((sign != "") & (length == "")), "PT0S").when(sign != "", F.concat(F.when(sign == "-", "-PT").otherwise("PT"), length))
+            return Value("term", T.typed(zone, T.XSD + "dayTimeDuration"))
         if f in numbers:
             return Value("num", numbers[f]().cast("double"))
         others = {
@@ -357,7 +418,8 @@ class Compiler:
             if kind == "boolean":
                 return Value("bool", a[0].bool)
             if kind == "integer":
-                return Value("num", F.floor(text.try_cast("double")).cast("double"))
+                whole = F.regexp_extract(text, r"^\s*[+-]?\d+", 0).try_cast("decimal(38,0)")
+                return Value("num", F.coalesce(whole.cast("double"), F.floor(text.try_cast("double")).cast("double")), whole)
             if kind in ("decimal", "double", "float"):
                 return Value("num", text.try_cast("double"))
             return Value("term", F.concat(F.lit('"'), text, F.lit(f'"^^{f}')))
@@ -374,7 +436,7 @@ class Compiler:
             return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
         if "num" in (x.kind, y.kind):
-            return apply(x.num, y.num)
+            return F.coalesce(apply(x.whole, y.whole), apply(x.num, y.num))
         if x.kind == y.kind == "bool":
             return apply(x.column, y.column)
         if x.kind == y.kind == "str":
@@ -382,7 +444,7 @@ class Compiler:
         a, b = x.term, y.term
         both = F.coalesce(x.num.isNotNull() & y.num.isNotNull(), F.lit(False))
         rest = apply(a, b) if op in ("=", "!=") else F.when(T.is_literal(a) & T.is_literal(b), apply(T.lexical(a), T.lexical(b)))
-        return F.when(both, apply(x.num, y.num)).otherwise(rest)
+        return F.when(both, F.coalesce(apply(x.whole, y.whole), apply(x.num, y.num))).otherwise(rest)
 
     # queries
     def aggregate(self, call: Call, names: list[str]) -> tuple[str, Column]:
@@ -393,8 +455,9 @@ class Compiler:
         if f == "COUNT":
             return "num", (F.count_distinct(v.term) if call.distinct else F.count(v.term)).cast("double")
         if f in ("SUM", "AVG"):
-            plain = {"SUM": F.sum_distinct if call.distinct else F.sum, "AVG": F.avg}[f]
-            return "num", F.coalesce(plain(v.num), F.lit(0.0))
+            total = F.sum_distinct(v.num) if call.distinct else F.sum(v.num)
+            n = F.count_distinct(v.num) if call.distinct else F.count(v.num)
+            return "num", F.coalesce(total if f == "SUM" else total / F.nullif(n, F.lit(0)), F.lit(0.0))
         if f in ("MIN", "MAX"):
             keyed = F.struct(v.num.alias("n"), v.text.alias("x"), v.term.alias("t"))
             return "term", (F.min if f == "MIN" else F.max)(F.when(v.term.isNotNull(), keyed))["t"]

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplewright.operators.staging import stage
-
-BOTS = r"bot|crawl|spider|slurp|curl|wget|python-requests|headless"
+#: What marks an agent as no person, in lower case.
+BOTS = ("bot", "crawl", "spider", "slurp", "headless", "python-requests", "curl", "wget", "httpx", "scrapy", "facebookexternalhit", "bingpreview", "monitor", "uptime", "pingdom", "gptbot")
 
 
 def wanted(agent: Column, dnt: Column, gpc: Column) -> Column:
     """Neither a bot (an empty agent counts as one) nor someone who asks not to be counted."""
-    return F.coalesce((agent != "") & ~F.lower(agent).rlike(BOTS), F.lit(False)) & (F.coalesce(dnt, F.lit("")) != "1") & (F.coalesce(gpc, F.lit("")) != "1")
+    return F.coalesce((agent != "") & ~F.lower(agent).rlike("|".join(map(re.escape, BOTS))), F.lit(False)) & (F.coalesce(dnt, F.lit("")) != "1") & (F.coalesce(gpc, F.lit("")) != "1")
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal; key is of up to 64 bytes, in hexadecimal."""
+    block = F.rpad(key, 128, "0")
 
+    def padded(pad: int) -> Column:
+        byte = lambda i: F.conv(F.substr(block, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(pad)).cast("long")), 2, "0")), ""))
 
-def visitor(salt: Column, ip: Column, agent: Column, ontology: Column, day: Column) -> Column:
-    """A keyed hash that holds for a day."""
-    return F.sha2(F.concat_ws("|", salt, ip, agent, ontology.cast("string"), day.cast("string")), 256)
+    return F.sha2(F.concat(padded(0x5C), F.unhex(F.sha2(F.concat(padded(0x36), F.encode(message, "utf-8")), 256))), 256)
+
+
+def visitor(secret: str, ip: Column, agent: Column, ontology: Column, day: Column) -> Column:
+    """A keyed hash that holds for a day: its key is the day's under the secret. What isn't known counts as empty, each in its own place."""
+    raw = secret.encode()
+    key = (raw if len(raw) <= 64 else hashlib.sha256(raw).digest()).hex()
+    known = [F.coalesce(c.cast("string"), F.lit("")) for c in (ip, agent, ontology, day)]
+    return hmac_sha256(hmac_sha256(F.lit(key), known[3]), F.concat_ws("|", *known))
 
 
 def unique_visits(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """First event of each (visitor, kind, ontology, day); on a stream the state is dropped 48 hours later."""
+    """First event of each (visitor, kind, ontology, day), on a stream the first to come; its state is dropped 48 hours later."""
     keys = ["visitor", "kind", "ontology", "day"]
     if events.isStreaming:
         return events.withWatermark(ts, "48 hours").dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    rest = [c for c in events.columns if c not in (*keys, ts)]
+    return events.groupBy(*keys).agg(F.min(F.struct(ts, *rest)).alias("_first")).select(*keys, "_first.*").select(*events.columns)
 
 
 def daily(events: DataFrame, ontologies: DataFrame | None = None, keys: tuple = ("ontology", "kind")) -> DataFrame:
@@ -44,20 +61,35 @@ def stream_daily(events: DataFrame, sink, checkpoint: str, ts: str = "ts"):
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows with those of equal keys replaced by the new ones: the same batch twice changes nothing."""
+    """Stored rows with those of equal keys replaced by the new ones: the same batch twice changes nothing. Of several new rows of a key the largest counts."""
+    rest = [c for c in stored.columns if c not in keys]
+    if rest:
+        new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_new")).select(*keys, "_new.*")
+    else:
+        new = new.select(*keys).distinct()
     return stored.join(new.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
 def overwrite(stored_path: str, keys: list[str]):
-    """A foreachBatch sink that upserts into a Parquet table, written aside and read again before it takes its place."""
+    """A foreachBatch sink that upserts into a Parquet table. The new table is written beside the old one and takes its place by two renames;
+    the old one goes last, and a run that finds only what a broken one left takes that up."""
 
     def run(batch: DataFrame, _id: int) -> None:
         spark = batch.sparkSession
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(stored_path)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        merged = upsert(spark.read.parquet(stored_path), batch, keys) if there else batch
-        stage(merged).write.mode("overwrite").parquet(stored_path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old, fresh = (jvm.org.apache.hadoop.fs.Path(f"{stored_path}.{x}") for x in ("old", "new"))
+        if files.exists(old) and not files.exists(path):
+            files.rename(old, path)
+        for left in (old, fresh):
+            files.delete(left, True)
+        merged = upsert(spark.read.parquet(stored_path), batch, keys) if files.exists(path) else upsert(batch.limit(0), batch, keys)
+        merged.write.parquet(f"{stored_path}.new")
+        if files.exists(path):
+            files.rename(path, old)
+        files.rename(fresh, path)
+        files.delete(old, True)
 
     return run
 
@@ -76,9 +108,13 @@ def host_schedule(due: DataFrame, interval_s: int, host: str = "host", order: st
     return due.withColumn("delay", (F.row_number().over(w) - 1) * interval_s)
 
 
+#: HTTP statuses that may be others next time.
+TRANSIENT = (429, 500, 502, 503, 504, 520, 522, 524)
+
+
 def retryable(jobs: DataFrame, now: Column, cooldown_s: int = 3600) -> DataFrame:
-    """Failed jobs of a transient status whose cooldown has passed."""
-    transient = F.col("http_status").isin(408, 425, 429, 500, 502, 503, 504) | F.col("http_status").isNull()
+    """Failed jobs of a transient status (or none at all) whose cooldown has passed."""
+    transient = F.col("http_status").isin(*TRANSIENT) | F.col("http_status").isNull()
     return jobs.where((F.col("status") == "failed") & transient & (F.col("finished_at") < now - F.expr(f"interval {cooldown_s} seconds")))
 
 
