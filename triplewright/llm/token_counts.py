@@ -102,15 +102,16 @@ class Node:
             self.right.replace(0, last - middle, [], [])
         self.chars, self.n, self.tokens = self.left.chars + self.right.chars, self.left.n + self.right.n, self.left.tokens + self.right.tokens
 
-    def leaves(self):
+    def leaves(self) -> list[str]:
         """All pre-tokens in order."""
-        waiting = [self]
+        out, waiting = [], [self]
         while waiting:
             node = waiting.pop()
             if node.left is None:
-                yield from node.pieces
+                out += node.pieces
             else:
                 waiting += (node.right, node.left)
+        return out
 
 
 class Counted:
@@ -121,12 +122,12 @@ class Counted:
         self.reach = max([LOOKAHEAD, *map(len, encoder.added)])
         if pieces is None:
             pieces = encoder.pieces(text)
-            counts = encoder.counts([pieces])[0].tolist()
+            counts = encoder.counts([pieces])[0]
         self.tree = Node(self._texts(pieces), counts)
 
     def _texts(self, pieces: list) -> list[str]:
         """pieces with special tokens as they are written; they stay pre-tokens of their own."""
-        return [self.encoder.raw[p].decode() if p.__class__ is int else p for p in pieces] if any(p.__class__ is int for p in pieces) else pieces
+        return [self.encoder.raw[p].decode() if p.__class__ is int else p for p in pieces] if int in set(map(type, pieces)) else pieces
 
     @property
     def tokens(self) -> int:
@@ -161,7 +162,7 @@ class Counted:
             if fresh is None and n == len(texts) and stop == length:
                 fresh = tree.chars
             ahead *= 4
-        counts = self.encoder.counts([pieces[:n]])[0].tolist()
+        counts = self.encoder.counts([pieces[:n]])[0]
         tree.replace(first, tree.piece_at(fresh)[0], texts[:n], counts)
         self.recounted += n
 
@@ -196,7 +197,7 @@ def count_edited(df: DataFrame, edits=edits_of, path: str | None = None) -> Data
                 lists = [encoder.pieces(t) for t in texts]
                 rows = []
                 for text, source, pieces, counts in zip(texts, sources, lists, encoder.counts(lists)):
-                    counted = Counted(text, encoder, pieces, counts.tolist())
+                    counted = Counted(text, encoder, pieces, counts)
                     before, changes = counted.tokens, edits(text, source)
                     for a, b, new in reversed(changes):
                         counted.edit(a, b, new)

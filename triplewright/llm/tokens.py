@@ -313,7 +313,7 @@ class ByteEncoder:
         return _general_pattern().findall(text)
 
     def _all(self, lists: list[list]) -> dict:
-        known, fresh = self.memory.split(dict.fromkeys(p for x in lists for p in x))
+        known, fresh = self.memory.split(set().union(*lists))
         numbers = {p: p.to_bytes(4, "little") for p in fresh if p.__class__ is int}
         learned, _ = self._learn([p for p in fresh if p not in numbers])
         self.memory.add(learned)
@@ -325,10 +325,10 @@ class ByteEncoder:
         get = self._all(lists).__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
-    def counts(self, lists: list[list]) -> list[np.ndarray]:
+    def counts(self, lists: list[list]) -> list[list[int]]:
         """Tokens of each piece."""
-        known = {p: len(v) // 4 for p, v in self._all(lists).items()}
-        return [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in lists]
+        get = {p: len(v) // 4 for p, v in self._all(lists).items()}.__getitem__
+        return [list(map(get, x)) for x in lists]
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes of the tokens one after the other; what isn't UTF-8 becomes U+FFFD."""
