@@ -410,3 +410,4 @@ query("held_drafts", "SELECT id, CASE WHEN id % 40 >= 30 THEN 'retire' WHEN id %
 query("missing_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")(lambda t: t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
 
 from triplewright.plans import registry_browse  # noqa: E402, F401  adds its queries
+from triplewright.plans import registry_fleet  # noqa: E402, F401  adds its queries
