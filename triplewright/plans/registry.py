@@ -156,7 +156,11 @@ SELECT 'http://ex/part/' || p_partkey AS iri, p_name AS label, 1 AS tier FROM pa
 query("search_text", """
 SELECT 'http://ex/part/' || p_partkey AS iri, p_name AS label, 2 AS tier FROM part WHERE p_name LIKE '%widget%' AND p_name LIKE 'blue%' ORDER BY length(p_name), p_name, iri LIMIT 20""")(
     lambda t: search.search(t.index, "widget blu", 20).select("iri", "label", "tier"))
-query("search_fuzzy", None)(lambda t: search.autocomplete(t.index, "widgit", 10))
+# a share of the query's seven trigrams in one word of a label
+query("search_fuzzy", f"""
+WITH w AS (SELECT iri, label, unnest(regexp_split_to_array(lower(label), '[^a-z0-9]+')) AS word FROM entities),
+g AS (SELECT iri, label, len(list_intersect(list_transform(range(1, length(word) + 2), lambda i: substr('  ' || word || ' ', i, 3)), ['  w', ' wi', 'wid', 'idg', 'dgi', 'git', 'it '])) / 7.0 AS share FROM w WHERE word <> '')
+SELECT iri FROM (SELECT iri, label, round(max(share), 6) AS share FROM g GROUP BY 1, 2) WHERE share >= {search.SIMILAR} ORDER BY share DESC, length(label), label, iri LIMIT 10""")(lambda t: search.autocomplete(t.index, "widgit", 10).select("iri"))
 query("search_vectors", """
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7)
 SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[]))), 4) AS score
@@ -246,6 +250,29 @@ query("mos_some", f"SELECT '<urn:g:parts>' AS g, '<http://ex/part/' || k || '>'
 query("mos_or", f"SELECT '<urn:g:parts>' AS g, '<http://ex/part/' || k || '>' AS cls FROM ({_SUPPLIED}) WHERE s IN (1, 2)")(lambda t: _evaluator(t).run("<http://ex/suppliedBy> some <http://ex/supplier/2> or <http://ex/suppliedBy> some <http://ex/supplier/1>"))
 query("mos_and_not", f"SELECT '<urn:g:parts>' AS g, '<http://ex/part/' || k || '>' AS cls FROM ({_SUPPLIED}) WHERE s = 2 AND k <> 3")(lambda t: _evaluator(t).run("(<http://ex/suppliedBy> some <http://ex/supplier/2>) and not <http://ex/part/3>"))
 query("mos_min", f"SELECT '<urn:g:parts>' AS g, '<http://ex/part/' || k || '>' AS cls FROM ({_SUPPLIED}) WHERE s = 3")(lambda t: _evaluator(t).run("<http://ex/suppliedBy> min 1 <http://ex/supplier/3>"))
+def _related(t: Tables) -> mos.Evaluator:
+    """Parts below one restriction each on http://ex/rel, of seven kinds by their key; numbers are their size modulo five."""
+    k, owl = F.col("p_partkey") % 7, axioms.OWL
+    cls, node = F.concat(F.lit(f"<{EX}part/"), F.col("p_partkey"), F.lit(">")), F.concat(F.lit("_:q"), F.col("p_partkey"))
+    n = F.concat(F.lit('"'), F.col("p_size") % 5, F.lit(f'"^^<{T.XSD}nonNegativeInteger>'))
+    row = lambda s, p, o: F.struct(s.alias("s"), F.lit(f"<{p}>").alias("p"), o.alias("o"))
+    one = lambda p, o: F.array(row(node, owl + p, o))
+    counted = lambda p: F.array(row(node, owl + p, n), row(node, owl + "onClass", F.lit(f"<{EX}C>")))
+    kind = (
+        F.when(k == 0, one("allValuesFrom", F.lit(f"<{EX}C>"))).when(k == 1, one("hasValue", F.lit('"v"'))).when(k == 2, one("hasSelf", F.lit(f'"true"^^<{T.XSD}boolean>'))).when(k == 3, counted("maxQualifiedCardinality"))
+        .when(k == 4, counted("qualifiedCardinality")).when(k == 5, counted("minQualifiedCardinality")).otherwise(one("minCardinality", n))
+    )
+    head = F.array(row(cls, axioms.RDFS + "subClassOf", node), row(node, owl + "onProperty", F.lit(f"<{EX}rel>")), row(cls, axioms.RDF + "type", F.lit(f"<{owl}Class>")))
+    quads = t.part.select(F.lit("<urn:g:parts>").alias("g"), F.explode(F.concat(head, kind)).alias("x")).select("g", "x.*")
+    return mos.Evaluator(quads, t.entities)
+
+
+for _name, _text, _where in (
+    ("only", "<http://ex/rel> only <http://ex/C>", "p_partkey % 7 = 0"), ("value", '<http://ex/rel> value "v"', "p_partkey % 7 = 1"), ("self", "<http://ex/rel> Self", "p_partkey % 7 = 2"),
+    ("max", "<http://ex/rel> max 2 <http://ex/C>", "p_partkey % 7 = 3 AND p_size % 5 <= 2"), ("exactly", "<http://ex/rel> exactly 2 <http://ex/C>", "p_partkey % 7 = 4 AND p_size % 5 = 2"),
+    ("min_qualified", "<http://ex/rel> min 2 <http://ex/C>", "p_partkey % 7 = 5 AND p_size % 5 >= 2"), ("min_thing", "<http://ex/rel> min 2 <http://www.w3.org/2002/07/owl#Thing>", "p_partkey % 7 = 6 AND p_size % 5 >= 2"),
+):
+    query(f"mos_{_name}", f"SELECT '<urn:g:parts>' AS g, '<http://ex/part/' || p_partkey || '>' AS cls FROM part WHERE {_where}")(lambda t, text=_text: _related(t).run(text))
 query("mos_inverse", f"SELECT '<urn:g:parts>' AS g, '<http://ex/supplier/' || s || '>' AS cls FROM ({_SUPPLIED}) WHERE k = 3")(lambda t: _evaluator(t).run("inverse <http://ex/suppliedBy> some <http://ex/part/3>"))
 query("mos_superclasses", "SELECT '<urn:g:geo>' AS g, '<http://ex/region/' || n_regionkey || '>' AS cls FROM nation WHERE n_nationkey = 4")(lambda t: _evaluator(t).relation("<http://ex/nation/4>", "superclasses"))
 
