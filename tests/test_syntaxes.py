@@ -51,3 +51,38 @@ def test_files(spark, tmp_path):
     one = len(turtle(TTL))
     blank = sum("_:" in s + o for s, _, o in turtle(TTL))
     assert quads.count() == one + blank  # blank nodes of two files stay apart
+
+
+TRIG = """@prefix ex: <http://ex/> . ex:s ex:p ex:o . ex:g { ex:a ex:b "x"@en ; ex:c [ ex:d 1 ] . ex:a ex:e ex:f } GRAPH ex:h { ex:i ex:j ex:k . } { ex:l ex:m ex:n }"""
+JSONLD = """{"@context": {"@vocab": "http://v/", "ex": "http://ex/", "name": {"@id": "ex:name", "@language": "en"}, "knows": {"@id": "ex:knows", "@type": "@id"}, "parts": {"@id": "ex:parts", "@container": "@list"}, "when": {"@id": "ex:when", "@type": "http://www.w3.org/2001/XMLSchema#date"}, "skip": null, "@base": "http://base/"},
+"@id": "a", "@type": ["Person", "ex:T"], "name": "Ann", "knows": ["ex:b", "c", {"@id": "_:x", "name": ["X", null]}], "parts": [1, 2.5, true], "when": "2024-01-01", "skip": "no", "other": {"@value": "v", "@language": "de"}, "@graph": [{"@id": "ex:in", "ex:q": "r"}]}"""
+
+
+def test_trig():
+    got = syntaxes.trig(TRIG)
+    ex = "<http://ex/{}>".format
+    assert (None, ex("s"), ex("p"), ex("o")) in got and (ex("g"), ex("a"), ex("b"), '"x"@en') in got and (ex("g"), ex("a"), ex("e"), ex("f")) in got
+    assert (ex("h"), ex("i"), ex("j"), ex("k")) in got and (None, ex("l"), ex("m"), ex("n")) in got
+    assert len(got) == 7 and [t for t in got if t[1].startswith("_:")][0][0] == ex("g")
+
+
+def test_jsonld():
+    got = syntaxes.jsonld(JSONLD, "z_")
+    a, ex, xsd = "<http://base/a>", "<http://ex/{}>".format, "http://www.w3.org/2001/XMLSchema#"
+    triples = {t[1:] for t in got if t[0] is None}
+    assert {(a, f"<{syntaxes.RDF}type>", "<http://v/Person>"), (a, f"<{syntaxes.RDF}type>", ex("T")), (a, ex("name"), '"Ann"@en'), (a, ex("knows"), ex("b")), (a, ex("knows"), "<http://base/c>")} <= triples
+    assert {(a, ex("knows"), "_:z_x"), ("_:z_x", ex("name"), '"X"@en'), (a, ex("when"), f'"2024-01-01"^^<{xsd}date>'), (a, "<http://v/other>", '"v"@de')} <= triples
+    assert [t for t in got if t[0]] == [(a, ex("in"), ex("q"), '"r"')]
+    firsts = [t[3] for t in got if t[2] == f"<{syntaxes.RDF}first>"]
+    assert sorted(firsts) == sorted([f'"1"^^<{xsd}integer>', f'"2.5E0"^^<{xsd}double>', f'"true"^^<{xsd}boolean>']) and not any("skip" in t[2] for t in got)
+
+
+def test_files_keep_their_graphs(spark, tmp_path):
+    (tmp_path / "a.trig").write_text(TRIG)
+    rows = syntaxes.load(spark, f"{tmp_path}/a.trig", "trig", "<urn:d>").collect()
+    assert len(rows) == 7 and {r.g for r in rows} == {"<urn:d>", "<http://ex/g>", "<http://ex/h>"}
+    try:
+        syntaxes.load(spark, str(tmp_path), "n4")
+        raise AssertionError("an unknown syntax passed")
+    except ValueError as e:
+        assert "unknown syntax" in str(e)
