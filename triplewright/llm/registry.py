@@ -1,6 +1,7 @@
 """Queries of the text operators by name, each with SQL where SQL can state the same result."""
 
 from triplewright.llm.bpe import op6_bpe
+from triplewright.llm.divergence import OP11_SQL, op11_divergence
 from triplewright.llm.embeddings import OP7_SQL, op7_embeddings
 from triplewright.llm.html_text import op9_html
 from triplewright.llm.media import op5_media
@@ -22,7 +23,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
+    "op11_divergence": OP11_SQL,
 }
