@@ -1,5 +1,6 @@
 """Queries of the text operators by name, each with SQL where SQL can state the same result."""
 
+from triplewright.llm.alignment import op12_alignment
 from triplewright.llm.bpe import op6_bpe
 from triplewright.llm.divergence import OP11_SQL, op11_divergence
 from triplewright.llm.embeddings import OP7_SQL, op7_embeddings
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
+    "op12_alignment": op12_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
