@@ -26,12 +26,12 @@ def create(folder: str, ending: str):
     system, path = place(folder)
     system.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{ending}"
-    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def read_stream(uri: str):
     system, path = place(uri)
-    return system.open_input_stream(path)
+    return system.open_input_stream(path, compression=None, buffer_size=1 << 20)
 
 
 def local_path(uri: str) -> str | None:

@@ -12,6 +12,7 @@ from triplewright.llm.simhash import op8_simhash
 from triplewright.llm.token_counts import op2_token_counts
 from triplewright.llm.token_store import op3_token_store
 from triplewright.llm.toxicity import op4_toxicity
+from triplewright.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -26,8 +27,10 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
     "op12_alignment": op12_alignment,
+    "op13_warc": op13_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
     "op11_divergence": OP11_SQL,
+    "op13_warc": OP13_SQL,
 }
