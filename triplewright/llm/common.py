@@ -32,7 +32,7 @@ def text_column(name: str = "text"):
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a long, b long): one row (id, component) per vertex of an edge,
+    """Connected components of edges (a, b) of one orderable type: one row (id, component) per vertex of an edge,
     component being the smallest id reachable.
 
     Large-star and small-star steps alternate until nothing changes. Each step pre-aggregates a minimum per

@@ -141,8 +141,8 @@ def group(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int =
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, id, component_id, lead): groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Fingerprints alone can't decide that: at a similarity of 0.8 they differ in about 10 of 64 bits, too many for tables of segments. So links
-    within DISTANCE are what is proposed first, whole shingle sets decide, and the other proposals come from bands (see jaccard).
+    Fingerprints can't decide that: at a similarity of 0.8 they differ in about 10 of 64 bits, too many for tables of segments, and what lies within
+    DISTANCE the bands find too. So bands propose and whole shingle sets decide (see jaccard).
     """
     from triplewright.llm import jaccard
 
