@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,53 +163,11 @@ def manchester(quads: DataFrame, labels: DataFrame | None = None, rounds: int =
     return every
 
 
-def classify_el(quads: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(g, child, parent): subsumptions that follow in EL, in each graph by itself, from named subclasses, equivalences, intersections and existential restrictions.
+def classify_el(quads: DataFrame) -> DataFrame:
+    """(g, child, parent): subsumptions between named classes that follow in EL, in each graph by itself (see reasoning)."""
+    from triplewright.operators import reasoning
 
-    Completion over S(x, c): c subsumes x, and R(x, r, y): x has an r-successor in y. Nodes are classes and blank class expressions alike.
-    Each round takes up what the round before it found: only new pairs are joined with the axioms and with all pairs known. Rounds go on until nothing is new; if there
-    are more than max_rounds of them the result would not be whole, which is an error.
-    """
-    same = quads.where(F.col("p") == f"<{OWL}equivalentClass>")
-    sub = quads.where(F.col("p") == f"<{RDFS}subClassOf>").unionByName(same).select("g", F.col("s").alias("a"), F.col("o").alias("b")).unionByName(same.select("g", F.col("o").alias("a"), F.col("s").alias("b")))
-    members = quads.where(F.col("p") == f"<{OWL}intersectionOf>").select("g", F.col("s").alias("node"), F.col("o").alias("head")).join(lists(quads), ["g", "head"]).select("g", "node", "item").distinct()
-    members = stage(members)
-    sub = stage(sub.unionByName(members.select("g", F.col("node").alias("a"), F.col("item").alias("b"))).distinct())
-    some = stage(restrictions(quads).where("kind = 'some' and not inverse").select("g", "node", "prop", "filler").distinct())
-    props = quads.where(F.col("p") == f"<{RDFS}subPropertyOf>").select("g", F.col("s").alias("prop"), F.col("o").alias("wider"))
-    own = some.select("g", "prop", F.col("prop").alias("wider"))
-    props = stage(reachable(props, "prop", "wider", by=["g"]).unionByName(own).distinct())
-    nodes = sub.select("g", F.col("a").alias("x")).unionByName(sub.select("g", F.col("b").alias("x"))).unionByName(some.select("g", F.col("filler").alias("x"))).distinct()
-    known = new = stage(nodes.select("g", "x", F.col("x").alias("c")))
-    roles, parts, role_parts, intersected = None, [known], [], not members.isEmpty()
-    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
-    for _ in range(max_rounds):
-        found = [new.join(sub, (new.g == sub.g) & (new.c == sub.a)).select(new.g, "x", F.col("b").alias("c"))]
-        if intersected:
-            touched = new.join(members.withColumnRenamed("item", "c"), ["g", "c"]).select("g", "x", "node").distinct()
-            lacking = touched.join(members, ["g", "node"]).join(known.withColumnRenamed("c", "item"), ["g", "x", "item"], "left_anti").select("g", "x", "node").distinct()
-            found.append(touched.join(lacking, ["g", "x", "node"], "left_anti").select("g", "x", F.col("node").alias("c")))
-        fresh = new.join(some.withColumnRenamed("node", "c"), ["g", "c"]).join(props, ["g", "prop"]).select("g", "x", F.col("wider").alias("prop"), F.col("filler").alias("y")).distinct()
-        fresh = stage(fresh.join(roles, ["g", "x", "prop", "y"], "left_anti") if roles is not None else fresh)
-        below = lambda frame: frame.select("g", F.col("x").alias("y"), F.col("c").alias("filler"))
-        reached = fresh.join(below(known), ["g", "y"])
-        if roles is not None:
-            reached = reached.select("g", "x", "prop", "filler").unionByName(roles.join(below(new), ["g", "y"]).select("g", "x", "prop", "filler"))
-        found.append(reached.select("g", "x", "prop", "filler").distinct().join(some, ["g", "prop", "filler"]).select("g", "x", F.col("node").alias("c")))
-        role_parts.append(fresh)
-        roles = union(role_parts)
-        new = stage(union(found).distinct().join(known, ["g", "x", "c"], "left_anti"))
-        if new.isEmpty():
-            break
-        parts.append(new)
-        known = union(parts)
-        if len(parts) > 12:
-            known, roles = stage(known), stage(roles)
-            parts, role_parts = [known], [roles]
-    else:
-        raise RuntimeError(f"the classification did not end in {max_rounds} rounds")
-    inside = lambda c: F.col(c).substr(F.lit(2), F.length(c) - 2)
-    return known.where("startswith(x, '<') and startswith(c, '<') and x <> c").select("g", inside("x").alias("child"), inside("c").alias("parent"))
+    return reasoning.classify(quads)
 
 
 def unsatisfiable(classified: DataFrame) -> DataFrame:
