@@ -82,8 +82,9 @@ def fuzz(rng):
 
 def check(df, rows):
     out, count = plain([t for _, t in rows])
-    manifest = alignment.pair_counts(df)
-    found = alignment.digests(df, alignment.Counts(manifest)).collect()
+    tokens = alignment.encoded(df)
+    manifest = alignment.pair_counts(tokens)
+    found = alignment.digests(tokens, alignment.Counts(manifest)).collect()
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted((r.doc_id or 0, *(r[n] for n in names)) for r in found) == sorted((i or 0, *x) for (i, _), x in zip(rows, out))
     assert {(r.a_id, r.b_id): r.n for r in alignment.read_counts(manifest).collect()} == dict(count)
@@ -98,15 +99,16 @@ def test_equals_brute_force(spark, odd, documents):
 
 
 def test_empty(spark, odd):
-    none = odd.limit(0)
+    none = alignment.encoded(odd.limit(0))
     assert alignment.digests(none, alignment.Counts(alignment.pair_counts(none))).count() == 0
-    only = odd.where("text is null or text = ''")
+    only = alignment.encoded(odd.where("text is null or text = ''"))
     assert {(r.n_a, r.n_links, r.groups_sha256) for r in alignment.digests(only, alignment.Counts(alignment.pair_counts(only))).collect()} == {(0, 0, "")}
 
 
 def test_groups(odd):
-    for r in alignment.align(odd).collect():
-        text = next(t.text for t in odd.collect() if t.doc_id == r.doc_id) or ""
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in alignment.align(alignment.encoded(odd)).collect():
+        text = texts[r.doc_id]
         a, b = tokens(text)
         assert [i for g in r.groups for i in g.a] == [i for i, _ in a] and [i for g in r.groups for i in g.b] == [i for i, _ in b]
         assert len(r.groups) == len({e for *_, e in spans(a)} & {e for *_, e in spans(b)})
@@ -119,7 +121,7 @@ def test_counts_sent_on_early_and_many_shards(spark, documents, monkeypatch):
 
 
 def test_an_unknown_pair_is_an_error(spark, documents):
-    counts = alignment.Counts(alignment.pair_counts(documents.limit(5)))
+    counts = alignment.Counts(alignment.pair_counts(alignment.encoded(documents.limit(5))))
     known = counts.of(np.array([], np.int64))
     assert len(known) == 0
     for key in (-1, 1 << 60):

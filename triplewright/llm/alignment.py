@@ -9,8 +9,8 @@ by Spark names the shards, their bounds and each B id's highest count. Looking u
 are asked for are read, and workers of a machine share them. In a folder that isn't mounted, a shard is read whole, one at a time. The highest
 counts per B id are collected: at most as many as B has ids.
 
-A text is cut at blanks that follow a character other than white space. No token of either vocabulary has such a place within it, so that each
-distinct part of a slice is encoded and aligned once.
+Encoding. A text is cut at blanks that follow a character other than white space. No token of either vocabulary has such a place within it, so that each
+distinct part of a slice is encoded once. The ids are written as a table of a few bytes a token, from which pairs are counted and groups are told.
 
 Null and empty texts and those whose bytes differ (U+2581 in the text) have no tokens: zeros and ''. Repeated rows are counted as often as they come;
 ids are passed on, null or not. Other columns are ignored, whatever their names. Empty tables give no rows.
@@ -20,33 +20,32 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import shared_dir, stage, table, trimmed
 from triplewright.llm.files import create, local_path, read_stream
-from triplewright.llm.tokens import Memory, byte_encoder, slices, tokenizer_path
+from triplewright.llm.tokens import Memory, byte_encoder, ranges, slices, tokenizer_path
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Longest part that a worker remembers, in characters.
 REMEMBERED = 64
 #: Partial counts that a task holds before it sends them on.
 HELD = 2_000_000
+#: Bytes of text encoded at once, and of A's ids aligned at once.
+TEXT_SLICE, ID_SLICE = 4 << 20, 1 << 20
 _CUT = re.compile(r"(?<=\S) ")
-_LOOSE = re.compile(r"\s |^ ")
+#: A blank at the start or after white space (as Python's \s has it): such a text can't be cut at every blank.
+_LOOSE = r"^ |[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 _BYTE_PIECE = re.compile(r"<0x[0-9A-F]{2}>")
 
 
-def parts(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-
 def starts(lengths: np.ndarray) -> np.ndarray:
     """0 and the running sums."""
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
@@ -57,60 +56,10 @@ def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), "<u4").astype(np.int64), np.fromiter(map(len, values), np.int64, len(values)) // 4
 
 
-class Aligned:
-    """A slice of texts: distinct parts with their tokens, and each text as codes of parts."""
-
-    def __init__(self, aligner: Aligner, texts: list[str | None]):
-        lists = [parts(t) for t in texts]
-        index: dict[str, int] = {}
-        self.codes = np.fromiter((index.setdefault(p, len(index)) for x in lists for p in x), np.int64, sum(map(len, lists)))
-        self.docs = starts(np.fromiter(map(len, lists), np.int64, len(lists)))
-        found = aligner.ids(list(index))
-        self.bad = np.zeros(len(index), bool)
-        raw = [b" " + p.encode() for p in index]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        for _ in range(2):
-            self.a, self.n_a = joined([x for x, _ in found])
-            self.b, self.n_b = joined([x for _, x in found])
-            whole = b"".join(raw)
-            if aligner.text_a(self.a) == whole and aligner.text_b(self.b) == whole:
-                break
-            # some part's bytes differ: it has no tokens, and neither has a text that holds it
-            for i, (x, y) in enumerate(found):
-                if aligner.text_a(joined([x])[0]) != raw[i] or aligner.text_b(joined([y])[0]) != raw[i]:
-                    found[i], self.bad[i], raw[i], size[i] = (b"", b""), True, b"", 0
-        a_end, b_end, part_end = np.cumsum(aligner.length_a[self.a]), np.cumsum(aligner.length_b[self.b]), np.cumsum(size)
-        total = int(part_end[-1]) if len(part_end) else 0
-        in_a, in_b = np.zeros(total, bool), np.zeros(total, bool)
-        in_a[a_end - 1], in_b[b_end - 1] = True, True
-        links, self.group_end = np.flatnonzero(in_a | in_b) + 1, np.flatnonzero(in_a & in_b) + 1
-        self.keys = self.b[np.searchsorted(b_end, links)] << 32 | self.a[np.searchsorted(a_end, links)]
-        self.n_links = np.diff(np.searchsorted(links, part_end, side="right"), prepend=0)
-        self.n_groups = np.diff(np.searchsorted(self.group_end, part_end, side="right"), prepend=0)
-        self.group_a, self.group_b = np.searchsorted(self.group_end, a_end), np.searchsorted(self.group_end, b_end)
-        self.last_a, self.last_b = (end == self.group_end[of] for end, of in ((a_end, self.group_a), (b_end, self.group_b)))
-        self.good = self.sums(self.bad) == 0
-
-    def sums(self, of_part: np.ndarray) -> np.ndarray:
-        """Of a number per part the sum per text."""
-        whole = starts(of_part[self.codes])
-        return whole[self.docs[1:]] - whole[self.docs[:-1]]
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs and how often texts with tokens link them."""
-        codes = self.codes[np.repeat(self.good, np.diff(self.docs))]
-        return summed(self.keys, np.repeat(np.bincount(codes, minlength=len(self.bad)), self.n_links))
-
-    def written(self, aligner: Aligner) -> pa.LargeBinaryArray:
-        """Each part's groups as text, every group ending in a semicolon."""
-        at_a = np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a, side="left")
-        at_b = np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, side="right")
-        which = np.empty(len(self.a) + len(self.b), np.int64)
-        which[at_a] = self.a + self.last_a * aligner.size_a
-        which[at_b] = 2 * aligner.size_a + self.b + self.last_b * aligner.size_b
-        text = aligner.decimals.take(pa.array(which))
-        offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[starts(self.n_a + self.n_b)]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.bad), [None, pa.py_buffer(offsets), text.buffers()[2]])
+def packed(ids: np.ndarray, lengths: np.ndarray, width: str) -> pa.LargeBinaryArray:
+    """Runs of ids as binary values."""
+    data = ids.astype(width)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(starts(lengths) * data.itemsize), pa.py_buffer(data)])
 
 
 class Aligner:
@@ -128,6 +77,7 @@ class Aligner:
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (raw_a, raw_b))
         texts = [f"{i}{end}" for ends, n in ((",|", self.size_a), (",;", self.size_b)) for end in ends for i in range(n)]
         self.decimals = pa.array([t.encode() for t in texts], pa.large_binary())
+        self.width = "<u2" if max(self.size_a, self.size_b) <= 1 << 16 else "<u4"
         self.memory = Memory()
 
     def ids(self, distinct: list[str]) -> list[tuple[bytes, bytes]]:
@@ -136,18 +86,34 @@ class Aligner:
         if fresh:
             lists = [self.encoder.pieces_plain(" " + p) for p in fresh]
             of = self.encoder._all(lists).__getitem__
-            made = {p: (b"".join(map(of, x)), np.array(y, "<u4").tobytes()) for p, x, y in zip(fresh, lists, self.library.encode(fresh, num_threads=1))}
+            made = {p: (b"".join(map(of, x)), array("I", y).tobytes()) for p, x, y in zip(fresh, lists, self.library.encode(fresh, num_threads=1))}
             if "" in made:  # the blank at a text's end; alone, the library adds none
-                made[""] = made[""][0], np.array([self.library.piece_to_id("▁")], "<u4").tobytes()
+                made[""] = made[""][0], array("I", [self.library.piece_to_id("▁")]).tobytes()
             self.memory.add({p: v for p, v in made.items() if len(p) <= REMEMBERED})
             known |= made
         return [known[p] for p in distinct]
 
-    def text_a(self, ids: np.ndarray) -> bytes:
-        return _bytes(self.raw_a, ids)
-
-    def text_b(self, ids: np.ndarray) -> bytes:
-        return _bytes(self.raw_b, ids)
+    def encode(self, texts: pa.Array) -> tuple[pa.LargeBinaryArray, pa.LargeBinaryArray]:
+        """A's and B's ids of non-empty texts, none where the bytes differ."""
+        loose = pc.any(pc.match_substring_regex(texts, _LOOSE)).as_py()
+        lists = pa.array([_CUT.split(t) for t in texts.to_pylist()], pa.list_(pa.string())) if loose else pc.split_pattern(texts, " ")
+        flat, cuts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+        codes, distinct, cuts = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist(), cuts - cuts[0]
+        found = self.ids(distinct)
+        (a, n_a), (b, n_b) = joined([x for x, _ in found]), joined([x for _, x in found])
+        raw = [b" " + p.encode() for p in distinct]
+        whole, bad = b"".join(raw), np.zeros(len(distinct), bool)
+        if _bytes(self.raw_a, a) != whole or _bytes(self.raw_b, b) != whole:
+            # a text that holds a part whose bytes differ has no tokens
+            bad[:] = [_bytes(self.raw_a, joined([x])[0]) != r or _bytes(self.raw_b, joined([y])[0]) != r for (x, y), r in zip(found, raw)]
+        ends = starts(bad[codes])[cuts]
+        good = np.repeat(ends[1:] == ends[:-1], np.diff(cuts))
+        out = []
+        for ids, n in ((a, n_a), (b, n_b)):
+            taken = np.where(good, n[codes], 0)
+            at = starts(taken)[cuts]
+            out.append(packed(ids[ranges((starts(n)[:-1])[codes], taken)], np.diff(at), self.width))
+        return out[0], out[1]
 
 
 def _bytes(raw: pa.LargeBinaryArray, ids: np.ndarray) -> bytes:
@@ -161,36 +127,93 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def encoded(df: DataFrame, id: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
+    """(id, a, b) of each row: A's and B's ids as little-endian integers of two bytes (four for larger vocabularies)."""
+    paths = paths or default_paths()
+
+    def run(batches):
+        tool = aligner(*paths)
+        for batch in batches:
+            given = pc.fill_null(batch.column(1), "")
+            full = pc.greater(pc.binary_length(given), 0)
+            loose = pc.and_(full, pc.match_substring_regex(given, _LOOSE))
+            for kind in (pc.and_(full, pc.invert(loose)), loose):  # apart, as few texts are loose
+                rows = batch.filter(kind)
+                at = 0
+                for part in slices(rows.column(1), TEXT_SLICE):
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(at, len(part)), *(x.cast(pa.binary()) for x in tool.encode(part))], [id, "a", "b"])
+                    at += len(part)
+            rest = batch.filter(pc.invert(full))
+            yield pa.RecordBatch.from_arrays([rest.column(0), *[pa.array([b""] * rest.num_rows, pa.binary())] * 2], [id, "a", "b"])
+
+    return df.select(id, text).mapInArrow(lambda batches: trimmed(run(batches)), f"{id} {df.schema[id].dataType.simpleString()}, a binary, b binary")
+
+
+class Aligned:
+    """Texts' tokens side by side, all in one row of bytes."""
+
+    def __init__(self, tool: Aligner, a: pa.Array, b: pa.Array):
+        (self.a, self.n_a), (self.b, self.n_b) = ((np.frombuffer(b"".join(x.to_pylist()), tool.width).astype(np.int64), pc.binary_length(x).to_numpy().astype(np.int64) // int(tool.width[-1])) for x in (a, b))
+        a_end, b_end = np.cumsum(tool.length_a[self.a]), np.cumsum(tool.length_b[self.b])
+        total = int(a_end[-1]) if len(a_end) else 0
+        in_a, in_b = np.zeros(total, bool), np.zeros(total, bool)
+        in_a[a_end - 1], in_b[b_end - 1] = True, True
+        # how many tokens of either, links and groups have ended before each byte
+        links, self.group_end = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b) + 1
+        self.keys = self.b[np.searchsorted(b_end, links, side="right")] << 32 | self.a[np.searchsorted(a_end, links, side="right")]
+        text_end = np.concatenate([np.zeros(1, np.int64), a_end])[starts(self.n_a)]
+        self.links_at, self.groups_at = np.searchsorted(links + 1, text_end, side="right"), np.searchsorted(self.group_end, text_end, side="right")
+        self.group_a, self.group_b = np.searchsorted(self.group_end, a_end), np.searchsorted(self.group_end, b_end)
+        self.last_a, self.last_b = in_a[a_end - 1] & in_b[a_end - 1], in_a[b_end - 1] & in_b[b_end - 1]
+
+    def written(self, tool: Aligner) -> pa.LargeBinaryArray:
+        """Each text's groups, every group ending in a semicolon."""
+        which = np.empty(len(self.a) + len(self.b), np.int64)
+        which[np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a, side="left")] = self.a + self.last_a * tool.size_a
+        which[np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, side="right")] = 2 * tool.size_a + self.b + self.last_b * tool.size_b
+        text = tool.decimals.take(pa.array(which))
+        offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[starts(self.n_a + self.n_b)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.n_a), [None, pa.py_buffer(offsets), text.buffers()[2]])
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts; keys of count zero are left out."""
-    distinct, of = np.unique(keys[counts > 0], return_inverse=True)
-    sums = np.zeros(len(distinct), np.int64)
-    np.add.at(sums, of, counts[counts > 0])
-    return distinct, sums
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def partial_counts(df: DataFrame, paths: tuple[str, str], text: str = "text") -> DataFrame:
-    """(key, n): pairs with the links that hold them, summed within each task."""
+def _parts(batches):
+    """Slices of batches (..., a, b): the rows' other columns, a and b."""
+    for batch in batches:
+        at = 0
+        for a in slices(batch.column("a"), ID_SLICE):
+            yield batch.slice(at, len(a)), a, batch.column("b").slice(at, len(a))
+            at += len(a)
+
+
+def partial_counts(tokens: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(key, n): pairs with the links that hold them, summed within each task; tokens as encoded gives them."""
 
     def run(batches):
         tool, keys, counts, held = aligner(*paths), [], [], 0
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                k, n = Aligned(tool, part.to_pylist()).counted()
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > HELD:
-                    k, n = summed(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, held = [k], [n], len(k)
-                    if held > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
-                        keys, counts, held = [], [], 0
+        for _, a, b in _parts(batches):
+            k, n = np.unique(Aligned(tool, a, b).keys, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            held += len(k)
+            if held > HELD:
+                k, n = summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [k], [n], len(k)
+                if held > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
+                    keys, counts, held = [], [], 0
         if keys:
             k, n = summed(np.concatenate(keys), np.concatenate(counts))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
 
-    return df.select(F.col(text)).mapInArrow(lambda batches: trimmed(run(batches)), "key long, n long")
+    return tokens.select("a", "b").mapInArrow(lambda batches: trimmed(run(batches)), "key long, n long")
 
 
 _SHARDS = "keys string, counts string, first long, last long, pairs long, best array<struct<b: int, n: long>>"
@@ -267,10 +290,9 @@ class Counts:
         return out[back]
 
 
-def pair_counts(df: DataFrame, paths: tuple[str, str] | None = None, text: str = "text") -> DataFrame:
-    """The manifest of shards that hold each pair's count over all of df."""
-    partial = stage(partial_counts(df, paths or default_paths(), text))
-    return shards(partial, shared_dir(df.sparkSession))
+def pair_counts(tokens: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
+    """The manifest of shards that hold each pair's count over all of tokens (a, b)."""
+    return shards(stage(partial_counts(tokens, paths or default_paths())), shared_dir(tokens.sparkSession))
 
 
 def read_counts(manifest: DataFrame) -> DataFrame:
@@ -291,59 +313,43 @@ def default_paths() -> tuple[str, str]:
     return tokenizer_path(VOCABULARIES[0]), tokenizer_path(VOCABULARIES[1])
 
 
-def align(df: DataFrame, id: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
-    """(id, groups) of each row: the groups in order, each with its A and its B ids."""
+def align(tokens: DataFrame, id: str = "doc_id", paths: tuple[str, str] | None = None) -> DataFrame:
+    """(id, groups) of each row of tokens (id, a, b): the groups in order, each with its A and its B ids."""
     paths = paths or default_paths()
-    kind = df.schema[id].dataType.simpleString()
 
     def run(batches):
         tool = aligner(*paths)
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column(1)):
-                one = Aligned(tool, part.to_pylist())
-                n_group = len(one.group_end)
-                lists = [pa.ListArray.from_arrays(pa.array(starts(np.bincount(of, minlength=n_group)).astype(np.int32)), pa.array(ids.astype(np.int32))) for of, ids in ((one.group_a, one.a), (one.group_b, one.b))]
-                of_part = pa.ListArray.from_arrays(pa.array(starts(one.n_groups).astype(np.int32)), pa.StructArray.from_arrays(lists, ["a", "b"]))
-                codes = one.codes[np.repeat(one.good, np.diff(one.docs))]
-                n = np.where(one.good, one.sums(one.n_groups), 0)
-                groups = pa.ListArray.from_arrays(pa.array(starts(n).astype(np.int32)), of_part.take(pa.array(codes)).flatten())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), groups], [id, "groups"])
-                at += len(part)
-
-    return df.select(id, text).mapInArrow(lambda batches: trimmed(run(batches)), f"{id} {kind}, groups array<struct<a: array<int>, b: array<int>>>")
-
-
-def digests(df: DataFrame, counts: Counts, paths: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of df (doc_id, text)."""
+        for rows, a, b in _parts(batches):
+            one = Aligned(tool, a, b)
+            n = len(one.group_end)
+            lists = [pa.ListArray.from_arrays(pa.array(starts(np.bincount(of, minlength=n)).astype(np.int32)), pa.array(ids.astype(np.int32))) for of, ids in ((one.group_a, one.a), (one.group_b, one.b))]
+            groups = pa.ListArray.from_arrays(pa.array(one.groups_at.astype(np.int32)), pa.StructArray.from_arrays(lists, ["a", "b"]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), groups], [id, "groups"])
+
+    return tokens.select(id, "a", "b").mapInArrow(lambda batches: trimmed(run(batches)), f"{id} {tokens.schema[id].dataType.simpleString()}, groups array<struct<a: array<int>, b: array<int>>>")
+
+
+def digests(tokens: DataFrame, counts: Counts, paths: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of tokens (doc_id, a, b)."""
     paths = paths or default_paths()
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches):
         tool = aligner(*paths)
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column(1)):
-                one = Aligned(tool, part.to_pylist())
-                # pairs of texts without tokens may have no count: they are asked for in parts of other texts only
-                used = np.bincount(one.codes[np.repeat(one.good, np.diff(one.docs))], minlength=len(one.bad)) > 0
-                n = np.zeros(len(one.keys), np.int64)
-                asked = np.repeat(used, one.n_links)
-                n[asked] = counts.of(one.keys[asked])
-                best = n == counts.best[np.minimum(one.keys >> 32, len(counts.best) - 1)]
-                cut = starts(one.n_links)
-                best_of, n_of = (np.diff(starts(x)[cut]) for x in (best, n))
-                sums = [np.where(one.good, one.sums(x), 0) for x in (one.n_a, one.n_b, one.n_groups, one.n_links, best_of, n_of)]
-                text = one.written(tool).take(pa.array(one.codes))
-                data, ends = memoryview(text.buffers()[2] or b""), np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[one.docs].tolist()
-                hashes = [hashlib.sha256(data[lo : hi - 1]).hexdigest() if ok and hi > lo else "" for lo, hi, ok in zip(ends, ends[1:], one.good.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *map(pa.array, sums), pa.array(hashes, pa.string())], ["doc_id", *names, "groups_sha256"])
-                at += len(part)
+        for rows, a, b in _parts(batches):
+            one = Aligned(tool, a, b)
+            n = counts.of(one.keys)
+            best, total = (np.diff(starts(x)[one.links_at]) for x in (n == counts.best[one.keys >> 32], n))
+            sums = [one.n_a, one.n_b, np.diff(one.groups_at), np.diff(one.links_at), best, total]
+            text = one.written(tool)
+            data, ends = memoryview(text.buffers()[2] or b""), np.frombuffer(text.buffers()[1], np.int64, len(text) + 1).tolist()
+            hashes = [hashlib.sha256(data[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x.astype(np.int64)) for x in sums), pa.array(hashes, pa.string())], ["doc_id", *names, "groups_sha256"])
 
     schema = f"doc_id long, {', '.join(f'{n} long' for n in names)}, groups_sha256 string"
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: trimmed(run(batches)), schema)
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "a", "b").mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return digests(docs, Counts(pair_counts(docs)))
+    tokens = stage(encoded(table(spark, sf_dir, "documents")))
+    return digests(tokens, Counts(pair_counts(tokens)))
