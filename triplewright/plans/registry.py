@@ -438,3 +438,4 @@ query("missing_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (S
 
 from triplewright.plans import registry_browse  # noqa: E402, F401  adds its queries
 from triplewright.plans import registry_fleet  # noqa: E402, F401  adds its queries
+from triplewright.plans import registry_reasoning  # noqa: E402, F401  adds its queries
