@@ -152,15 +152,15 @@ SELECT id, CASE license WHEN '1-URGENT' THEN 'CC-BY-4.0' WHEN '2-HIGH' THEN 'CC0
 # search
 query("search_prefix", """
 SELECT 'http://ex/part/' || p_partkey AS iri, p_name AS label, 1 AS tier FROM part WHERE p_name LIKE 'red%' ORDER BY CASE WHEN p_name = 'red' THEN 0 ELSE 1 END, length(p_name), p_name, iri LIMIT 20""")(
-    lambda t: search.search(t.index, "Red", 20).select("iri", "label", "tier"))
+    lambda t: t.search_index.search("Red", 20).select("iri", "label", "tier"))
 query("search_text", """
 SELECT 'http://ex/part/' || p_partkey AS iri, p_name AS label, 2 AS tier FROM part WHERE p_name LIKE '%widget%' AND p_name LIKE 'blue%' ORDER BY length(p_name), p_name, iri LIMIT 20""")(
-    lambda t: search.search(t.index, "widget blu", 20).select("iri", "label", "tier"))
+    lambda t: t.search_index.search("widget blu", 20).select("iri", "label", "tier"))
 # a share of the query's seven trigrams in one word of a label
 query("search_fuzzy", f"""
 WITH w AS (SELECT iri, label, unnest(regexp_split_to_array(lower(label), '[^a-z0-9]+')) AS word FROM entities),
 g AS (SELECT iri, label, len(list_intersect(list_transform(range(1, length(word) + 2), lambda i: substr('  ' || word || ' ', i, 3)), ['  w', ' wi', 'wid', 'idg', 'dgi', 'git', 'it '])) / 7.0 AS share FROM w WHERE word <> '')
-SELECT iri FROM (SELECT iri, label, round(max(share), 6) AS share FROM g GROUP BY 1, 2) WHERE share >= {search.SIMILAR} ORDER BY share DESC, length(label), label, iri LIMIT 10""")(lambda t: search.autocomplete(t.index, "widgit", 10).select("iri"))
+SELECT iri FROM (SELECT iri, label, round(max(share), 6) AS share FROM g GROUP BY 1, 2) WHERE share >= {search.SIMILAR} ORDER BY share DESC, length(label), label, iri LIMIT 10""")(lambda t: t.search_index.autocomplete("widgit", 10).select("iri"))
 query("search_vectors", """
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7)
 SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[]))), 4) AS score
@@ -439,3 +439,4 @@ query("missing_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (S
 from triplewright.plans import registry_browse  # noqa: E402, F401  adds its queries
 from triplewright.plans import registry_fleet  # noqa: E402, F401  adds its queries
 from triplewright.plans import registry_reasoning  # noqa: E402, F401  adds its queries
+from triplewright.plans import registry_search  # noqa: E402, F401  adds its queries

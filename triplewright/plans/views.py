@@ -90,3 +90,17 @@ class Tables:
         from triplewright.functions import text as X
 
         return self.entities.withColumn("norm", X.normalise_label(F.col("label"))).withColumn("search_text", X.search_text(F.col("label"), F.col("short"), F.array("definition"), F.array("source")))
+
+    @property
+    def search_index(self):
+        """The written search index of this folder's entities: made once a session, then read."""
+        from triplewright.operators.search_index import SearchIndex
+
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = SearchIndex.build(self.index)
+        return _INDEXES[key]
+
+
+#: (application, folder) -> its index.
+_INDEXES: dict = {}
