@@ -81,6 +81,19 @@ sparql_query("sparql_exists", "SELECT ?n WHERE { ?n a owl:Class FILTER EXISTS {
 SELECT 'http://ex/nation/' || n_nationkey AS n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) UNION SELECT 'http://ex/region/' || n_regionkey FROM nation""")
 sparql_query("sparql_filter", "SELECT ?s WHERE { ?s :size ?z ; rdfs:label ?l FILTER((?z >= 10 && ?z < 20 || ?z = 50) && !CONTAINS(?l, 'ring')) }", """
 SELECT 'http://ex/part/' || p_partkey AS s FROM part WHERE (p_size >= 10 AND p_size < 20 OR p_size = 50) AND p_name NOT LIKE '%ring%'""")
+# literals of seven kinds by the part's key; what has no order or can't be told apart is an error, which leaves a variable unbound
+_KINDS = """SELECT '<urn:g:v>' AS g, '<http://ex/part/' || p_partkey || '>' AS s, '<http://ex/value>' AS p, CASE p_partkey % 7 WHEN 0 THEN '"' || p_size || '"^^<http://www.w3.org/2001/XMLSchema#integer>'
+WHEN 1 THEN '"' || p_size || '.5"^^<http://www.w3.org/2001/XMLSchema#decimal>' WHEN 2 THEN '"' || p_name || '"' WHEN 3 THEN '"' || p_name || '"@en' WHEN 4 THEN '"19' || lpad(p_size, 2, '0') || '-01-02T00:00:00Z"^^<http://www.w3.org/2001/XMLSchema#dateTime>'
+WHEN 5 THEN CASE WHEN p_size < 25 THEN '"true"' ELSE '"false"' END || '^^<http://www.w3.org/2001/XMLSchema#boolean>' ELSE '"' || p_size || '"^^<http://ex/own>' END AS o FROM {part}"""
+query("sparql_kinds", """SELECT 'http://ex/part/' || p_partkey AS s, CASE k WHEN 0 THEN p_size > 20 WHEN 1 THEN p_size >= 20 END::VARCHAR AS a, CASE k WHEN 2 THEN p_name < 'old' END::VARCHAR AS b,
+CASE k WHEN 4 THEN p_size > 50 END::VARCHAR AS c, CASE k WHEN 5 THEN p_size >= 25 END::VARCHAR AS d, CASE WHEN k = 6 THEN NULL WHEN k = 0 THEN p_size <> 20 ELSE true END::VARCHAR AS e, CASE WHEN k = 6 AND p_size = 7 THEN true END::VARCHAR AS f,
+CASE WHEN k = 0 AND p_size > 20 OR k = 1 AND p_size >= 20 THEN 'more' WHEN k < 2 THEN 'less' END AS i FROM (SELECT *, p_partkey % 7 AS k FROM part)""")(
+    lambda t: sparql.run(t.spark.sql(_KINDS, part=t.part), PRE + """SELECT ?s (?v > 20 AS ?a) (?v < "old" AS ?b) (?v > "1950-01-02T01:00:00+01:00"^^xsd:dateTime AS ?c) (?v < true AS ?d) (?v != 20 AS ?e) (?v = "7"^^:own AS ?f) (IF(?v > 20, "more", "less") AS ?i) WHERE { ?s :value ?v }""", decode=True, disjoint=True))
+query("sparql_kinds_filter", """SELECT 'http://ex/part/' || p_partkey AS s FROM part WHERE p_partkey % 7 = 0 AND p_size > 1 OR p_partkey % 7 = 1 AND p_size >= 1""")(
+    lambda t: sparql.run(t.spark.sql(_KINDS, part=t.part), PRE + "SELECT ?s WHERE { ?s :value ?v FILTER(?v > 1) }", decode=True, disjoint=True))
+# a sum over what isn't all numbers is an error
+query("sparql_sum_error", "SELECT p_brand AS b, CASE WHEN bool_and(p_partkey % 7 < 1) THEN sum(p_size)::VARCHAR END AS n FROM part GROUP BY 1")(
+    lambda t: sparql.run(t.spark.sql(_KINDS, part=t.part).unionByName(t.quads.where("p = '<http://ex/brand>'")), PRE + "SELECT ?b (SUM(?v) AS ?n) WHERE { ?s :value ?v ; :brand ?b } GROUP BY ?b", decode=True, disjoint=True))
 sparql_query("sparql_bind", "SELECT ?s ?d WHERE { ?s :size ?z BIND(?z * 2 - 1 AS ?d) }", "SELECT 'http://ex/part/' || p_partkey AS s, CAST(p_size * 2 - 1 AS VARCHAR) AS d FROM part")
 sparql_query("sparql_values", "SELECT ?s ?k WHERE { VALUES (?b ?k) { ('Brand#1' 'one') ('Brand#2' 'two') } ?s :brand ?b }", """
 SELECT 'http://ex/part/' || p_partkey AS s, CASE p_brand WHEN 'Brand#1' THEN 'one' ELSE 'two' END AS k FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')""")

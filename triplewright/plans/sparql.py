@@ -31,11 +31,17 @@ class Solutions:
     pending: list = field(default_factory=list)
 
 
+#: Kinds of values that have an order.
+ORDERED = ("num", "str", "bool", "dateTime", "date")
+
+
 class Value:
     """A compiled expression: a term, or a native boolean, number or string that becomes a term when needed."""
 
-    def __init__(self, kind: str, column: Column, whole: Column | None = None):
+    def __init__(self, kind: str, column: Column, whole: Column | None = None, constant: str | None = None):
         self.kind, self.column = kind, column
+        #: The term itself, if it is one and the same for all rows.
+        self.constant = constant
         #: Of a number: its value as an integer of up to 38 digits, null if it isn't one by its type.
         self._whole = whole
 
@@ -59,6 +65,26 @@ class Value:
             return F.lit(None).cast("decimal(38,0)") if self._whole is None else self._whole
         return T.integer(self.term)
 
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        """Kinds of values that it can have, as far as comparing goes."""
+        if self.kind != "term":
+            return (self.kind,)
+        return ORDERED if self.constant is None else (T.kind_of(self.constant),)
+
+    def as_kind(self, kind: str) -> Column:
+        """Its value if it is of a kind, else null."""
+        if kind == self.kind != "term":
+            return self.column
+        if kind == "num":
+            return self.num if self.constant is None else F.lit(float(T.lexical_of(self.constant)))
+        return {"str": T.string, "bool": T.boolean}[kind](self.term) if kind in ("str", "bool") else T.moment(self.term, kind)
+
+    @property
+    def small(self) -> bool:
+        """A constant number that a double holds exactly, with all its neighbours among the integers."""
+        return self.constant is not None and T.kind_of(self.constant) == "num" and abs(float(T.lexical_of(self.constant))) < 1 << 53
+
     @property
     def bool(self) -> Column:
         """Effective boolean value; null is an error."""
@@ -335,7 +361,7 @@ class Compiler:
         if isinstance(e, Var):
             return Value("term", F.col(e.name) if e.name in names else F.lit(None).cast("string"))
         if isinstance(e, str):
-            return Value("term", F.lit(e))
+            return Value("term", F.lit(e), constant=e)
         if aggregates is not None and id(e) in aggregates:
             return aggregates[id(e)]
         if isinstance(e, Exists):
@@ -432,19 +458,34 @@ class Compiler:
         return e[1 : e.rindex('"')]
 
     def compare(self, op: str, x: Value, y: Value) -> Column:
-        def apply(a, b):
-            return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
-
-        if "num" in (x.kind, y.kind):
-            return F.coalesce(apply(x.whole, y.whole), apply(x.num, y.num))
-        if x.kind == y.kind == "bool":
-            return apply(x.column, y.column)
-        if x.kind == y.kind == "str":
-            return apply(x.column, y.column)
+        """Numbers, strings, booleans, dateTimes and dates with their like; null, an error, where there is no order between two terms.
+
+        Terms of different known kinds are different; a literal of an unknown type is equal to itself, different from what is no literal, and an error otherwise.
+        """
+
+        def apply(op, a, b):
+            return {"=": a == b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
+
+        def values(op):
+            for kind in ORDERED:
+                if kind in x.kinds and kind in y.kinds:
+                    # integers beyond a double's exactness count by their digits
+                    if kind == "num" and not (x.small or y.small):
+                        yield apply(op, x.whole, y.whole)
+                    yield apply(op, x.as_kind(kind), y.as_kind(kind))
+
+        if op not in ("=", "!="):
+            return F.coalesce(*values(op), F.lit(None).cast("boolean"))
         a, b = x.term, y.term
-        both = F.coalesce(x.num.isNotNull() & y.num.isNotNull(), F.lit(False))
-        rest = apply(a, b) if op in ("=", "!=") else F.when(T.is_literal(a) & T.is_literal(b), apply(T.lexical(a), T.lexical(b)))
-        return F.when(both, F.coalesce(apply(x.whole, y.whole), apply(x.num, y.num))).otherwise(rest)
+        if {"iri", "blank"} & {*x.kinds, *y.kinds}:
+            equal = a == b
+        else:
+            open_ = [T.unknown(v.term) & T.is_literal(w.term) for v, w in ((x, y), (y, x)) if v.kinds == ORDERED or v.kinds == ("other",)]
+            rest = F.when(a.isNull() | b.isNull(), None).when(a == b, True)
+            if open_:
+                rest = rest.when(functools.reduce(lambda p, q: p | q, open_), None)
+            equal = F.coalesce(*values("="), rest.otherwise(False))
+        return ~equal if op == "!=" else equal
 
     # queries
     def aggregate(self, call: Call, names: list[str]) -> tuple[str, Column]:
@@ -457,7 +498,9 @@ class Compiler:
         if f in ("SUM", "AVG"):
             total = F.sum_distinct(v.num) if call.distinct else F.sum(v.num)
             n = F.count_distinct(v.num) if call.distinct else F.count(v.num)
-            return "num", F.coalesce(total if f == "SUM" else total / F.nullif(n, F.lit(0)), F.lit(0.0))
+            out = F.coalesce(total if f == "SUM" else total / F.nullif(n, F.lit(0)), F.lit(0.0))
+            # a value that is no number is an error, not nothing
+            return "num", out if v.kind == "num" else F.when(F.count(v.term) == F.count(v.num), out)
         if f in ("MIN", "MAX"):
             keyed = F.struct(v.num.alias("n"), v.text.alias("x"), v.term.alias("t"))
             return "term", (F.min if f == "MIN" else F.max)(F.when(v.term.isNotNull(), keyed))["t"]
