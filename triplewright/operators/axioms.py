@@ -124,10 +124,10 @@ def property_chains(quads: DataFrame) -> DataFrame:
     return named.select("prop", F.array_join(F.col("c.n"), " o ").alias("chain"))
 
 
-def manchester(quads: DataFrame, labels: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+def manchester(quads: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(g, node, text) of anonymous class expressions in Manchester syntax, rendered from the leaves upwards.
 
-    A round renders every node whose parts are rendered; what is deeper than `rounds` stays unrendered. labels (iri, label) replace local names.
+    A round renders every node whose parts are rendered, until nothing is new. labels (iri, label) replace local names.
     """
     terms = quads.select(F.col("o").alias("t")).unionByName(quads.select(F.col("s").alias("t"))).where("not startswith(t, '_:')").distinct()
     name = X.local_name(T.lexical(F.col("t")))
@@ -143,7 +143,7 @@ def manchester(quads: DataFrame, labels: DataFrame | None = None, rounds: int =
     negated = quads.where(F.col("p") == f"<{OWL}complementOf>").select("g", F.col("s").alias("node"), F.col("o").alias("item"))
     known, r, members, sizes = stage(known), stage(r), stage(members), stage(sizes)
     found = None
-    for _ in range(rounds):
+    while True:
         bracket = F.when(F.col("complex"), F.concat(F.lit("("), "text", F.lit(")"))).otherwise(F.col("text"))
         inner = known.select(F.col("t").alias("item"), "text", "complex")
         prop = known.where("startswith(t, '<')").select(F.col("t").alias("prop"), F.col("text").alias("prop_text"))

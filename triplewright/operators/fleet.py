@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triplewright.functions import text as X
 from triplewright.functions import terms as T
-from triplewright.operators.hierarchy import reachable
+from triplewright.operators.hierarchy import distances
 from triplewright.operators.versions import latest_by_time
 
 RDFS, SCHEMA = "http://www.w3.org/2000/01/rdf-schema#", "https://schema.org/"
@@ -135,8 +135,8 @@ def inherited_schema_properties(quads: DataFrame, edges: DataFrame, cls: str, mo
     """
     term = f"<{cls}>"
     seeds = edges.where(F.col("child") == term).select("g", "child").distinct()
-    up = reachable(edges, "child", "parent", seeds, ["g"]).select("g", F.col("parent").alias("ancestor")).where(F.col("ancestor") != term)
-    some = up.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy("ancestor"))).where(F.col("_n") <= most).drop("_n")
+    up = distances(edges, "child", "parent", seeds, ["g"]).select("g", F.col("parent").alias("ancestor"), "steps").where(F.col("ancestor") != term)
+    some = up.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy("steps", "ancestor"))).where(F.col("_n") <= most).drop("_n", "steps")
     of = lambda *names: [f"<{n}>" for n in names]
     domain = quads.where(F.col("p").isin(*of(RDFS + "domain", SCHEMA + "domainIncludes")) & F.col("s").startswith("<")).select("g", F.col("s").alias("prop"), F.col("o").alias("ancestor"))
     ranges = quads.where(F.col("p").isin(*of(RDFS + "range", SCHEMA + "rangeIncludes")) & F.col("o").startswith("<")).select("g", F.col("s").alias("prop"), F.col("o").alias("range"))

@@ -98,7 +98,7 @@ def walk(entities: DataFrame, edges: DataFrame, iri: str, direction: str = "desc
 def reduce_direct(closure: DataFrame, unsatisfiable: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """(child, parent): nearest inferred parents from a transitive closure (child, parent).
 
-    owl:Thing is dropped; a parent is direct if no other parent of the child lies below it; unsatisfiable classes hang below owl:Nothing alone;
+    owl:Thing is dropped; a parent is direct if no other parent of the child that isn't equivalent to either lies below it; equivalent classes are each other's parents; unsatisfiable classes hang below owl:Nothing alone;
     parents that aren't declared give way to their nearest declared ancestors.
     """
     pairs = closure.where((F.col("parent") != THING) & (F.col("child") != F.col("parent")))
@@ -106,26 +106,43 @@ def reduce_direct(closure: DataFrame, unsatisfiable: DataFrame | None = None, de
         pairs = pairs.join(declared.select(F.col("iri").alias("parent")), "parent", "left_semi").select("child", "parent")
     if unsatisfiable is not None:
         pairs = pairs.join(unsatisfiable.select(F.col("iri").alias("child")), "child", "left_anti").select("child", "parent")
-    # parents of a child that are ancestors of another of its parents (and not equivalent to it)
-    lower = pairs.select("child", F.col("parent").alias("q"))
-    above = pairs.select(F.col("child").alias("q"), "parent")
-    mutual = pairs.select(F.col("parent").alias("q"), F.col("child").alias("parent"))
-    strict = above.join(mutual, ["q", "parent"], "left_anti")
-    far = lower.join(strict, "q").select("child", "parent").distinct()
-    out = pairs.join(far, ["child", "parent"], "left_anti").distinct()
+    # classes that reach each other are one: the graph of their least names has no cycles, and is reduced in their place
+    both = stage(equivalents(pairs))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("one"))
+    for c in ("child", "parent"):
+        pairs = pairs.join(least.select(F.col("a").alias(c), F.col("one").alias(f"{c}_one")), c, "left").withColumn(f"{c}_one", F.coalesce(f"{c}_one", c))
+    pairs = stage(pairs.distinct())
+    ones = stage(pairs.where("child_one <> parent_one").select(F.col("child_one").alias("child"), F.col("parent_one").alias("parent")).distinct())
+    far = ones.withColumnRenamed("parent", "q").join(ones.withColumnRenamed("child", "q"), "q").select("child", "parent").distinct()
+    near = ones.join(far, ["child", "parent"], "left_anti").select(F.col("child").alias("child_one"), F.col("parent").alias("parent_one"))
+    out = pairs.join(near, ["child_one", "parent_one"], "left_semi").select("child", "parent").unionByName(both.select(F.col("a").alias("child"), F.col("b").alias("parent"))).distinct()
     if unsatisfiable is not None:
         out = out.unionByName(unsatisfiable.select(F.col("iri").alias("child"), F.lit(NOTHING).alias("parent")))
     return out
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 20) -> list[str] | None:
-    """Nodes of a shortest path from child to ancestor; of several the smallest by its nodes."""
+def distances(edges: DataFrame, source: str, target: str, seeds: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(*by, source, target, steps): what the seeds (source, by) reach, and by how many edges at least."""
+    by = list(by)
+    edges = stage(edges.select(*by, source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull()).distinct())
+    found = front = stage(edges.join(seeds.select(*by, source).distinct(), [*by, source], "left_semi").withColumn("steps", F.lit(1)))
+    steps = 1
+    while not front.isEmpty():
+        steps += 1
+        step = front.select(*by, source, F.col(target).alias("_m")).join(edges.withColumnRenamed(source, "_m"), [*by, "_m"]).select(*by, source, target).distinct()
+        front = stage(step.join(found, [*by, source, target], "left_anti").withColumn("steps", F.lit(steps)))
+        found = stage(found.unionByName(front))
+    return found
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str] | None:
+    """Nodes of a shortest path from child to ancestor; of several the smallest by its nodes. None if there is no path."""
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = frontier.select("node")
     if start == goal:
         return [start]
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(edges, frontier.node == edges.child).groupBy(F.col("parent").alias("node")).agg(F.min(F.concat("path", F.array("parent"))).alias("path"))
         frontier = stage(step.join(seen, "node", "left_anti"))
         hit = frontier.where(F.col("node") == goal).select("path").first()
@@ -134,7 +151,6 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 20)
         if frontier.isEmpty():
             return None
         seen = stage(seen.unionByName(frontier.select("node")))
-    return None
 
 
 def equivalents(closure: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions import terms as T
-from triplewright.operators import axioms
+from triplewright.operators import axioms, expressions
 from triplewright.operators.hierarchy import reachable
 from triplewright.operators.staging import stage
 
@@ -232,6 +232,26 @@ def resolve(index: DataFrame, refs: set[str]) -> dict[str, str]:
     return out
 
 
+def expression_key(node, names: dict[str, str]) -> tuple[str, str | None, list[str]]:
+    """(key, kind, members) of an expression, as expressions.keys has it for stored ones."""
+    if isinstance(node, Named):
+        return f"<{names[node.ref]}>", None, []
+    if isinstance(node, Literal):
+        return node.term, None, []
+    if isinstance(node, Datatype):
+        return (expressions.key_of_data(f"<{node.name}>", [(f"<{f}>", v) for f, v in node.facets]) if node.facets else f"<{node.name}>"), None, []
+    if isinstance(node, And | Or):
+        kind = "and" if isinstance(node, And) else "or"
+        return expressions.key_of_set(kind, [expression_key(node.left, names), expression_key(node.right, names)])
+    if isinstance(node, Not):
+        return expressions.key_of("not", expression_key(node.inner, names)[0]), None, []
+    if node.kind == "self":
+        filler = f'"true"^^<{XSD}boolean>'
+    else:
+        filler = expression_key(node.filler, names)[0] if node.filler is not None else f"<{axioms.OWL}Thing>"
+    return expressions.key_of_restriction(node.kind, f"<{names[node.prop]}>", bool(node.inverse), node.n if node.kind in ("min", "max", "exactly") else None, filler), None, []
+
+
 class Evaluator:
     """Tables of a quad store for evaluation; all versions (graphs) at once."""
 
@@ -247,7 +267,7 @@ class Evaluator:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = stage({"restrictions": axioms.restrictions, "asserters": axioms.asserters, "facets": axioms.facets}[name](self.quads))
+            self._tables[name] = stage({"restrictions": axioms.restrictions, "asserters": axioms.asserters, "facets": axioms.facets, "expressions": expressions.keys}[name](self.quads))
         return self._tables[name]
 
     def below(self, classes: DataFrame, direct: bool = False) -> DataFrame:
@@ -306,7 +326,9 @@ class Evaluator:
             if node.kind == "min" and node.n <= 1:  # some is min 1
                 kinds = kinds.unionByName(rows.where("kind = 'some'"))
             # an unqualified restriction is one of owl:Thing
-            return kinds.where(F.col("filler") == (f"<{names[f.ref]}>" if isinstance(f, Named) else thing))
+            if f is None or isinstance(f, Named):
+                return kinds.where(F.col("filler") == (f"<{names[f.ref]}>" if f is not None else thing))
+            return self.by_key(kinds, f, names)
         rows = rows.where(F.col("kind") == node.kind)
         if node.kind == "self":
             return rows.where(F.col("filler") == f'"true"^^<{XSD}boolean>')
@@ -322,7 +344,12 @@ class Evaluator:
                 hit = hit | ((F.col("facet") == f"<{facet}>") & (F.col("value") == value))
             nodes = self.table("facets").where(F.col("base") == f"<{f.name}>").where(hit).groupBy("g", F.col("node").alias("filler")).agg(F.count_distinct("facet").alias("k")).where(F.col("k") == len({x for x, _ in f.facets}))
             return rows.join(nodes.select("g", "filler"), ["g", "filler"], "left_semi")
-        return rows  # any filler of the kind: complex fillers are not compared
+        return self.by_key(rows, f, names)
+
+    def by_key(self, rows: DataFrame, filler, names: dict[str, str]) -> DataFrame:
+        """Rows whose filler is the same expression."""
+        same = self.table("expressions").where(F.col("key") == expression_key(filler, names)[0]).select("g", F.col("node").alias("filler"))
+        return rows.join(same, ["g", "filler"], "left_semi")
 
     def inverse(self, node: Restriction, names: dict[str, str], props: DataFrame) -> DataFrame:
         """Fillers of the forward restriction that the filler class or a class below it holds."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,13 +132,13 @@ def header_values(quads: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
     return found.groupBy("g", "role").agg(F.min_by(T.lexical(F.col("o")), F.struct("rank", F.when(tag == "en", 0).otherwise(1), "o")).alias("value"))
 
 
-def import_closure(imports: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(iri, import_iri, depth): what each start (iri) imports, directly or not, by the shortest way."""
+def import_closure(imports: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(iri, import_iri, depth): what each start (iri) imports, directly or not, by the shortest way; all of it, or up to max_depth."""
     from triplewright.operators.staging import stage
 
     found = stage(imports.join(starts, "iri", "left_semi").select("iri", "import_iri", F.lit(1).alias("depth")).distinct())
     frontier = found
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         step = frontier.select(F.col("iri").alias("start"), F.col("import_iri").alias("iri")).join(imports, "iri").select(F.col("start").alias("iri"), "import_iri", F.lit(depth).alias("depth")).distinct()
         frontier = stage(step.join(found, ["iri", "import_iri"], "left_anti"))
         if frontier.isEmpty():

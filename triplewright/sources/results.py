@@ -1,6 +1,7 @@
 """Query results as text: JSON, XML, CSV and TSV of solutions, a line or an element per row, made in the rows' own tasks.
 
-Each function gives one column `line`; `write` puts head, lines and foot into files. Terms are as in functions.terms; null is unbound.
+Each function gives one column `line`; `write` puts head, lines and foot into files whose contents, in the order of their names, are one document.
+Terms are as in functions.terms; null is unbound.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions import terms as T
+from triplewright.operators.staging import stage
 
 #: Media types of the formats, the first of which is the default.
 MEDIA = {"json": "application/sparql-results+json", "xml": "application/sparql-results+xml", "csv": "text/csv", "tsv": "text/tab-separated-values"}
@@ -71,13 +73,16 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 
 def tsv_lines(df: DataFrame) -> DataFrame:
-    """Terms as they are written in queries, tabs and line ends escaped; unbound is empty."""
+    """Terms as they are written in queries; backslashes, quotes, tabs and line ends in a literal are escaped; unbound is empty."""
 
     def cell(name: str) -> Column:
-        c = F.col(f"`{name}`")
-        for sign, name_ in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-            c = F.replace(c, F.lit(sign), F.lit(name_))
-        return F.coalesce(c, F.lit(""))
+        t = F.col(f"`{name}`")
+        inner = T.lexical(t)
+        shown = inner
+        for sign, name_ in (("\\", "\\\\"), ('"', '\\"'), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            shown = F.replace(shown, F.lit(sign), F.lit(name_))
+        literal = F.concat(F.lit('"'), shown, t.substr(F.length(inner) + 2, F.length(t)))
+        return F.coalesce(F.when(T.is_literal(t), literal).otherwise(t), F.lit(""))
 
     return df.select(F.concat_ws("\t", *map(cell, df.columns)).alias("line"))
 
@@ -98,11 +103,20 @@ def foot(kind: str) -> str:
     return {"json": "]}}", "xml": "</results></sparql>"}.get(kind, "")
 
 
-def document(df: DataFrame, kind: str) -> str:
-    """A whole document of a result that is bounded by its query's LIMIT; larger ones go to files by write()."""
-    return head(df.columns, kind) + ("" if kind in ("json", "xml") else "\n") + ("," if kind == "json" else "\n").join(r.line for r in LINES[kind](df).collect()) + foot(kind)
+def document(df: DataFrame, kind: str, most: int = 100_000) -> str:
+    """A whole document of a result of up to `most` rows; a larger one is an error here and goes to files by write()."""
+    lines = [r.line for r in LINES[kind](df).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"the result has more than {most} rows: write it to files")
+    return head(df.columns, kind) + ("" if kind in ("json", "xml") else "\n") + ("," if kind == "json" else "\n").join(lines) + foot(kind)
 
 
 def write(df: DataFrame, path: str, kind: str = "json") -> None:
-    """The lines as text files, as many as the result has partitions."""
-    LINES[kind](df).write.text(path)
+    """The document as text files below path: head, lines and foot in the order of the files' names, lines in the order of the result's partitions."""
+    lines = stage(LINES[kind](df).withColumn("at", F.monotonically_increasing_id()))
+    if kind == "json":  # every line but the first follows a comma
+        first = lines.agg(F.min("at")).first()[0]
+        lines = lines.withColumn("line", F.when(F.col("at") == first, F.col("line")).otherwise(F.concat(F.lit(","), "line")))
+    ends = [(head(df.columns, kind), -1), (foot(kind), (1 << 63) - 1)]
+    whole = lines.unionByName(df.sparkSession.createDataFrame([x for x in ends if x[0]], "line string, at long"))
+    whole.repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(path)

@@ -159,17 +159,18 @@ class _JsonLd:
                 self.node(x, ctx, s)
         return s
 
-    @staticmethod
-    def each(v) -> list:
-        return [] if v is None else v if isinstance(v, list) else [v]
+    @classmethod
+    def each(cls, v) -> list:
+        """The members of a list or set, a set's sets among them; anything else is a single one."""
+        if isinstance(v, dict) and "@set" in v:
+            v = v["@set"]
+        return [] if v is None else [x for y in v for x in (cls.each(y) if isinstance(y, dict) and "@set" in y else [y])] if isinstance(v, list) else [v]
 
     def value(self, v, rule: dict, ctx: dict, graph) -> str | None:
         if isinstance(v, dict) and "@value" in v:
             x, kind, lang = v["@value"], v.get("@type"), v.get("@language")
             return None if x is None else self.literal(x, self.expand(kind, ctx, True) if kind else None, lang)
-        if isinstance(v, dict) and ("@list" in v or "@set" in v):
-            if "@set" in v:
-                raise ValueError("a set inside a value is not read")
+        if isinstance(v, dict) and "@list" in v:
             head = f"<{RDF}nil>"
             for x in reversed(self.each(v["@list"])):
                 if (o := self.value(x, rule, ctx, graph)) is not None:
@@ -190,9 +191,10 @@ class _JsonLd:
     def literal(x, datatype: str | None, lang: str | None) -> str:
         if isinstance(x, bool):
             return S.literal("true" if x else "false", datatype=datatype or S.XSD + "boolean")
-        if isinstance(x, int) or isinstance(x, float) and x.is_integer() and datatype is None:
+        whole = isinstance(x, int) or isinstance(x, float) and x.is_integer()
+        if isinstance(x, int | float) and abs(x) < 1e21 and (whole and datatype is None or isinstance(x, int)):
             return S.literal(str(int(x)), datatype=datatype or S.XSD + "integer")
-        if isinstance(x, float):
+        if isinstance(x, int | float):
             digits, power = f"{x:.15E}".split("E")
             digits = digits.rstrip("0")
             return S.literal(f"{digits + '0' if digits.endswith('.') else digits}E{int(power)}", datatype=datatype or S.XSD + "double")
