@@ -78,6 +78,38 @@ def test_rules_and_references():
         assert html_text.extract(source) == text, source
 
 
+def test_names_in_articles_are_words_of_the_text():
+    """Ids made from headings, and classes within sentences, state nothing; a class of a section does."""
+    kept = ["<section id='search'><h2>Search</h2><p>How</p></section>", "<section id='navigation'><p>ship navigation</p></section>", "<h2 id='search'>S</h2>", "<h2 id='comments'>C</h2>", "<section id='sharing'><p>s</p></section>", "<p id='notice'>n</p>", "<p class='banner'>b</p>",
+            "<p>a <mark class='skip'>b</mark> <b class='promotion'>c</b> <i class='rail'>d</i> <a id='reply'>e</a></p>"]
+    for inner in kept:
+        text = "\n".join(" ".join(x.split()) for x in re.sub(r"</?(?:section|mark|b|i|a)(?: [^>]*)?>", "", inner).replace("</h2>", "\n").split("\n"))
+        text = "\n".join(x for x in re.sub(r"<[^>]*>", "", text).split("\n") if x)
+        assert html_text.extract(f"<article>{inner}</article>") == text, inner
+    assert html_text.extract("<article><p>x</p><section class='comments'><p>y</p></section></article>") == "x"
+
+
+def test_parts_of_names_of_containers():
+    for name in ("user-comments", "post-comments", "article-comments", "fb-comments", "comment-respond", "google-ads", "c-ad", "ad-300x250", "adsbygoogle", "blog-sidebar", "cookie-policy-bar"):
+        for t in (f"<p>text</p><div class='{name}'><p>no</p></div>", f"<article><p>text</p><div class='{name}'><p>no</p></div></article>", f"<p>text</p><section id='{name}'>no</section>"):
+            assert html_text.extract(t) == "text", t
+    for t in ("<div class='has-sidebar'><p>text</p></div>", "<body class='no-sidebar'><p>text</p>", "<div class='blog-sidebar-layout'><article><p>text</p></article></div>", "<div class='blog-sidebar'><p>text</p></div>", "<article><section class='ad-hoc-networks'><p>text</p></section></article>"):
+        assert html_text.extract(t) == "text", t
+
+
+def test_the_tree_changes_pages_of_the_tables(spark, sf_dir):
+    """Without the tree's branches other text is left by importance alone, with them what the rules leave too."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet".replace("sf0.001", "sf0.1")).withColumn("host", html_text.host_of())
+    low: dict = {}
+    for r in html_text.style_tree(pages).collect():
+        low.setdefault(r.host, set()).add(r.sig)
+    rows = [r for r in pages.collect() if r.host in low]
+    assert len(rows) > 100
+    changed = sum(html_text.extract(r.html, frozenset(low[r.host]), rules=False) != html_text.extract(r.html, rules=False) for r in rows)
+    assert changed > 0
+    assert all(html_text.extract(r.html, frozenset(low[r.host])) == plain(r.html) for r in rows)
+
+
 def test_odd_pages(spark):
     long = "<p>word &amp; more</p>" * 60_000
     rows = [(1, None, None, 1, "k"), (2, None, "<p>x</p>", 1, "k"), (None, "u", "<p>y</p>", 1, "k"), (3, "http://a/", "", 1, "k"), (4, "http://a/", long, 1, "k"), (2, None, "<p>x</p>", 1, "k")]
@@ -105,6 +137,7 @@ def test_importance_alone_decides_without_rules(spark, sf_dir):
 
 def test_long_pages_are_linear():
     shapes = ("<" * 200_000, "<a " * 100_000, "<b>" * 50_000, "<p>" * 50_000, "<!--" * 50_000, "<a href='" * 50_000, "</p>" * 50_000, "<div>" * 3_000 + "x", "<b>x<p>y</p>" * 8_000, "<div>x" * 16_000)
+    shapes += ("<!" * 60_000, "<?" * 60_000, "<!" * 60_000 + ">", "<a" * 60_000)
     shapes += ("<p><button>" + "<ul>" * 10_000 + "<p></p>" * 10_000, "<li><i>x" * 12_000)
     for t in shapes:
         began = time.process_time()

@@ -3,16 +3,19 @@
 Pages of a host are merged by element signatures (paths of block-level tags, classes and ids). For each signature of a host two
 importances come from entropies to the base of its number of pages: that of presentation (how evenly its sequences
 of children differ) and that of content (how few pages share the text below it). They are mixed with the weight GAMMA per
-child: a node without children counts by content alone. Branches below LEAST_IMPORTANCE go from each page, if enough pages of
-the host have them.
-
-Importance is asked first. What it leaves on a page is then cut by what pages state: elements that are menus, headers, footers, forms,
-adverts, comments and so on by tag, role, or the name of a class or id; this decides alone on hosts of few pages, and where boilerplate varies
-so much that importance can't tell it from content. A name states something if all of its parts do (cookie-notice, ad_slot),
-so that related-work or rail-transport state nothing. Last, if what is left holds an article or main element with more than headings,
+child: a node without children counts by content alone. A branch goes from each page if it and all below it are of an importance below
+LEAST_IMPORTANCE and enough pages of the host have it: so a block of text goes by its own element, and within an article by a container around it.
+
+Importance decides first, on hosts of LEAST_PAGES pages and more. What it leaves on a page is then cut by what pages state: elements that are menus, headers, footers, forms,
+adverts, comments and so on by tag, role, or the name of a class or id; this decides alone on hosts of few pages. A name states something if all of its
+parts do (cookie-notice, ad_slot), so that related-work or rail-transport state nothing; ids of headings and paragraphs, which are made of their words,
+never do, and inside an article classes of headings and paragraphs and ids of sections don't either. Within a line only a class of span, a and ins counts. A part that
+stands for comments, adverts or notices of a site (blog-sidebar, google-ads) is enough on containers; what is in these goes too, but for articles inside
+them. Last, if what is left holds an article or main element with more than headings,
 only what is inside stays. Importance touches there only containers that carry a class or id, so that pages whose articles are copies
-of each other keep their text. If importance leaves nothing of a page, its other text stays.
+of each other keep their text. If importance, or a part of a name, leaves nothing of a page, its other text stays: a page of boilerplate alone keeps what nothing else states.
 
+Rows repeated as a whole give a row each; other columns are ignored, whatever their names. Empty tables give no rows.
 What isn't shown (scripts, hidden elements) and inline elements that state an advert or a form's part are left out of their
 block, which goes on after them. White space within a block becomes one space, blocks are joined by line ends. Null pages give an empty text.
 """
@@ -32,7 +35,7 @@ from triplewright.llm.common import stage, table
 from triplewright.llm.markup import HIDDEN
 
 GAMMA = 0.9
-LEAST_IMPORTANCE = 0.2
+LEAST_IMPORTANCE = 0.75
 #: A branch is judged if it is on so many pages of its host, however many pages that has.
 LEAST_PAGES = 10
 #: Low branches of a host that go to its pages as one list; beyond that each page gets those of its own branches.
@@ -46,6 +49,12 @@ STATED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar rail menu nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead comment comments commentlist reply replies disqus share sharing social related recommended widget toolbar pagination pager login signup search skip alert disclaimer copyright".split()
 )
+#: Enough as one part of a container's name.
+STRONG_PARTS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored comment comments commentlist disqus cookie cookies gdpr sidebar newsletter breadcrumb breadcrumbs navbar".split())
+#: Containers inside an article whose name's parts count, and inline elements whose class does.
+_BOXES, _MARKED = frozenset("div ul ol".split()), frozenset("span a ins".split())
+#: Names of layouts that hold the main text beside what they name.
+_LAYOUT = frozenset("has with without no single main content page wrapper layout".split())
 #: Parts of names that state nothing by themselves and don't keep a name from stating something.
 _NEUTRAL = frozenset(
     "area bar block body bottom box button buttons col column container content desktop fixed full global group holder icons inner item items label left link links list main mobile module outer page panel placeholder primary region right row"
@@ -57,8 +66,8 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_]+")
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody tfoot tr td th dl dt dd figure figcaption hr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: What is known of an element and those around it: stated, of low importance, inside an article or main element, inside a heading.
-STATED, LOW, MAIN, HEADING = 1, 2, 4, 8
+#: What is known of an element and those around it: stated, of low importance, inside an article or main element, inside a heading, stated by a part of a name.
+STATED, LOW, MAIN, HEADING, PART = 1, 2, 4, 8, 16
 
 
 @lru_cache(maxsize=20_000)
@@ -72,6 +81,27 @@ def stated(names: str, inside: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=20_000)
+def stated_by_part(names: str) -> bool:
+    for name in names.split():
+        words = {p.lower() for p in _PARTS.findall(name)}
+        if words & STRONG_PARTS and not words & _LAYOUT:
+            return True
+    return False
+
+
+def naming(tag: str, attrs: dict, inside: bool) -> str:
+    """The names of an element that may state something; inside: of an article or main element."""
+    classes, ident = attrs.get("class", ""), attrs.get("id", "")
+    if tag in ("html", "body", "main") or tag in _HEADINGS:
+        return ""
+    if tag in markup.INLINE:
+        return classes if tag in _MARKED else ""
+    if tag == "p":
+        return "" if inside else classes
+    return classes if inside and tag == "section" else f"{classes} {ident}".strip()
+
+
 def enter(tag: str, attrs: dict, outer, signature: int = 0, low=frozenset()):
     """HIDDEN for what isn't shown, else the flags that hold for an element; low: signatures of low importance on the page's host."""
     state = outer or 0
@@ -83,16 +113,20 @@ def enter(tag: str, attrs: dict, outer, signature: int = 0, low=frozenset()):
             return HIDDEN
         if attrs.get("role", "").lower() in STATED_ROLES:
             is_stated = True
-        elif (names := f"{attrs.get('class', '')} {attrs.get('id', '')}") != " " and tag not in ("html", "body", "main"):
+        elif names := naming(tag, attrs, bool(state & MAIN)):
             is_stated = is_stated or stated(names, bool(state & MAIN) or tag == "article")
+            if tag in _BOXES or tag not in _PROSE and not state & MAIN:
+                state |= PART * stated_by_part(names)
     if tag in markup.INLINE:
-        return HIDDEN if is_stated else state
+        return HIDDEN if is_stated else state & ~PART | (outer or 0) & PART
     if is_stated:
         state |= STATED
     if tag in ("article", "main") or attrs.get("role") == "main":
-        return state & ~LOW | MAIN
+        return state & ~(LOW | PART) | MAIN
     if tag in _HEADINGS:
         state |= HEADING
+    if not state & MAIN:
+        state &= ~LOW  # a branch goes if all below it is low: each block is judged by its own element
     if signature in low and (not state & MAIN or tag not in _PROSE and bool(attrs.get("class") or attrs.get("id"))):
         state |= LOW
     return state
@@ -134,9 +168,10 @@ def statistics(html: str) -> set[tuple[int, int, int, int]]:
 def extract(html: str, low=frozenset(), rules: bool = True) -> str:
     """The main text, low being the signatures of low importance on the page's host. Without rules, importance alone decides."""
     blocks = [b for b in markup.read(html or "", lambda *a: enter(*a, low)) if b.kind == "text"]
+    blocks = [b for b in blocks if not (b.element.state or 0) & LOW] or blocks
     if rules:
         blocks = [b for b in blocks if not (b.element.state or 0) & STATED]
-    blocks = [b for b in blocks if not (b.element.state or 0) & LOW] or blocks
+        blocks = [b for b in blocks if not (b.element.state or 0) & PART] or blocks
     if rules and any((b.element.state or 0) & (MAIN | HEADING) == MAIN for b in blocks):
         blocks = [b for b in blocks if (b.element.state or 0) & MAIN]
     return "\n".join(b.text for b in blocks)

@@ -99,6 +99,7 @@ def read(html: str, enter, leave=None):
         if leave:
             leave(element)
 
+    last = html.rfind(">")  # no tag ends behind it
     while True:
         lt = html.find("<", at)
         shown = stack[-1].state is not HIDDEN
@@ -112,9 +113,9 @@ def read(html: str, enter, leave=None):
             end = html.find("-->", lt + 4)
             at = len(html) if end < 0 else end + 3
             continue
-        m = _TAG.match(html, lt)
+        m = _TAG.match(html, lt) if lt < last else None
         if not m:
-            m = _DECLARATION.match(html, lt)
+            m = _DECLARATION.match(html, lt) if lt < last else None
             if m:
                 at = m.end()
             else:

@@ -9,7 +9,7 @@ than D the balls have radius 0: the value itself, one look-up a segment, D + 1 o
 A table entry of more than MOST fingerprints is not joined: the bits in which its fingerprints vary are cut into D + 1 segments, one of which
 is equal in two that are within the distance; so they meet under longer keys, until entries are small or vary in few bits. So no
 entry makes pairs of a large group, and no pair is lost. Links between texts of equal fingerprints need no pairs: documents
-are reduced to distinct fingerprints first.
+are reduced to distinct fingerprints first. Other columns are ignored, whatever their names; rows repeated as a whole give a row each.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from triplewright.llm.common import components, drop_path, shared_dir, stage, ta
 SEED = 42
 SHINGLE = 3
 BITS = 64
-SEGMENTS = 3
+#: Two halves: at a billion fingerprints an entry of 32 bits holds few others, one of 21 bits would hold hundreds.
+SEGMENTS = 2
 DISTANCE = 2
 #: Fingerprints of a table entry that are compared with each other; a larger entry is cut anew.
 MOST = 256
