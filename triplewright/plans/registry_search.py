@@ -47,3 +47,11 @@ def _agreement(t):
 
 
 query("search_index_agrees", " UNION ALL ".join(f"SELECT '{w}' AS word" for w in _WORDS))(_agreement)
+
+# vectors by the index: the same rows as a scan of all
+_NEAR = """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = {of}) SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[]))), 4) AS score
+FROM embeddings, q WHERE vec_id <> {of} AND {where} ORDER BY score DESC, vec_id LIMIT {k}"""
+query("vector_index_neighbours", _NEAR.format(of=7, where="true", k=15))(lambda t: t.vector_index.neighbours(7, 15).select("vec_id", "score"))
+query("vector_index_scoped", _NEAR.format(of=11, where="label % 2 = 1", k=20))(lambda t: t.vector_index.neighbours(11, 20, F.col("label") % 2 == 1).select("vec_id", "score"))
+query("vector_index_cells", "SELECT count(*) AS n, true AS whole FROM embeddings")(
+    lambda t: t.vector_index.vectors.agg(F.count("*").alias("n")).withColumn("whole", F.lit(sum(c.n for c in t.vector_index.cells)) == F.col("n")))

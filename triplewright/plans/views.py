@@ -91,16 +91,27 @@ class Tables:
 
         return self.entities.withColumn("norm", X.normalise_label(F.col("label"))).withColumn("search_text", X.search_text(F.col("label"), F.col("short"), F.array("definition"), F.array("source")))
 
+    def _written(self, kind: str, build):
+        """What build() has written for this folder, once a session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, kind)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = build()
+        return _WRITTEN[key]
+
     @property
     def search_index(self):
-        """The written search index of this folder's entities: made once a session, then read."""
+        """The written search index of this folder's entities."""
         from triplewright.operators.search_index import SearchIndex
 
-        key = (self.spark.sparkContext.applicationId, self.dir)
-        if key not in _INDEXES:
-            _INDEXES[key] = SearchIndex.build(self.index)
-        return _INDEXES[key]
+        return self._written("search", lambda: SearchIndex.build(self.index))
+
+    @property
+    def vector_index(self):
+        """The written index of this folder's vectors."""
+        from triplewright.operators.vector_index import VectorIndex
+
+        return self._written("vectors", lambda: VectorIndex.build(self.embeddings))
 
 
-#: (application, folder) -> its index.
-_INDEXES: dict = {}
+#: (application, folder, kind) -> what is written for it.
+_WRITTEN: dict = {}
