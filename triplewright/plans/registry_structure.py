@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import expressions, fleet, hierarchy
+from triplewright.operators import expressions, fleet, hierarchy, profiles
 from triplewright.operators.axioms import OWL, RDF, RDFS
 from triplewright.operators.staging import shared_dir
 from triplewright.plans import mos
-from triplewright.plans.registry import EX, PRE, query
-from triplewright.plans.registry_reasoning import _LINKS, G, ORDERED, SUPPLIED, frame, iri, leads
+from triplewright.plans.registry import EX, PRE, _related, query
+from triplewright.plans.registry_reasoning import _LINKS, G, frame, iri, leads, stated
 from triplewright.plans.sparql_update import QuadStore
+from triplewright.sources import splitting
 
 _SUB = f"<{RDFS}subClassOf>"
 
@@ -66,3 +67,31 @@ def _far(t):
 
 
 query("inherited_schema_nearest", "SELECT 'http://ex/p' || p_partkey AS prop_iri FROM part WHERE p_partkey BETWEEN 2 AND 31")(_far)
+
+
+# profiles: parts lead to suppliers by an existential restriction on the right, which RL doesn't have; of other kinds each position has its own rules
+_GRAPHS = "(VALUES ('<urn:g:geo>'), ('<urn:g:org>'), ('<urn:g:parts>')) g(g) CROSS JOIN (VALUES ('EL'), ('QL'), ('RL'), ('DL')) p(profile)"
+query("owl_profile_verdicts", f"SELECT g, profile, NOT (g = '<urn:g:parts>' AND profile = 'RL') AS conforms, CASE WHEN g = '<urn:g:parts>' AND profile = 'RL' THEN (SELECT count(DISTINCT l_partkey) FROM lineitem) ELSE 0 END AS violations FROM {_GRAPHS}")(
+    lambda t: profiles.verdicts(t.quads))
+query("owl_profile_positions", """WITH k AS (SELECT p_partkey % 7 AS k, p_size % 5 AS n FROM part), v AS (
+SELECT 'EL' AS profile, CASE k WHEN 0 THEN 'only' WHEN 3 THEN 'max' WHEN 4 THEN 'exactly' ELSE 'min' END AS kind FROM k WHERE k IN (0, 3, 4, 5, 6)
+UNION ALL SELECT 'QL', CASE k WHEN 0 THEN 'only' WHEN 1 THEN 'value' WHEN 2 THEN 'self' WHEN 3 THEN 'max' WHEN 4 THEN 'exactly' ELSE 'min' END FROM k
+UNION ALL SELECT 'RL', CASE k WHEN 2 THEN 'self' WHEN 3 THEN 'max' WHEN 4 THEN 'exactly' ELSE 'min' END FROM k WHERE k IN (2, 4, 5, 6) OR k = 3 AND n > 1)
+SELECT profile, kind || ' on the right' AS kind, count(*) AS n FROM v GROUP BY 1, 2""")(lambda t: profiles.violations(_related(t).quads).groupBy("profile", "kind").agg(F.count("*").alias("n")))
+# a chain of places of which one is transitive, counted by customers: not simple, so outside DL
+query("owl_profile_dl", "SELECT 'not simple: cardinality' AS kind, 'http://ex/within' AS term FROM customer GROUP BY 1, 2")(lambda t: profiles.violations(frame(t, [
+    (f"'{G}'", "'_:c' || c_custkey", f"'<{OWL}onProperty>'", "'<http://ex/within>'", "{customer}"), (f"'{G}'", "'_:c' || c_custkey", f"'<{OWL}maxCardinality>'", "'\"1\"^^<http://www.w3.org/2001/XMLSchema#integer>'", "{customer}"),
+    (f"'{G}'", iri("customer", "c_custkey"), f"'{_SUB}'", "'_:c' || c_custkey", "{customer}"), *stated(("<http://ex/within>", f"<{RDF}type>", f"<{OWL}TransitiveProperty>"))])).where("profile = 'DL'").select("kind", F.expr("substring(term, 2, length(term) - 2)").alias("term")))
+
+
+def _split(t):
+    """Triples of two graphs as Turtle files with a prefix, read back in pieces."""
+    path = shared_dir(t.spark)
+    short = lambda c: F.when(F.col(c).startswith("<http://ex/nation/"), F.concat(F.lit("n:"), F.expr(f"substring({c}, 19, length({c}) - 19)"))).otherwise(F.col(c))
+    body = t.quads.where("g <> '<urn:g:parts>'").select(F.concat_ws(" ", short("s"), "p", short("o"), F.lit(".")).alias("value"))
+    head = t.spark.createDataFrame([("@prefix n: <http://ex/nation/> .",)], "value string")
+    head.unionByName(body).coalesce(1).sortWithinPartitions(~F.col("value").startswith("@")).write.text(path)  # one file, so that there is something to cut
+    return splitting.load(t.spark, path, "turtle", "<urn:g:all>").select("s", "p", "o")
+
+
+query("rdf_turtle_in_pieces", "SELECT s, p, o FROM quads WHERE g <> '<urn:g:parts>'")(_split)
