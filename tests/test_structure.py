@@ -164,3 +164,19 @@ def test_jsonld_sets_and_large_numbers():
     found = {(p, o) for _, s, p, o in syntaxes.jsonld(text) if s == "<http://e/s>" and not o.startswith("_:")}
     xsd = terms.XSD
     assert found == {("<http://e/p>", f'"1"^^<{xsd}integer>'), ("<http://e/p>", '"x"'), *(("<http://e/q>", f'"{v}"^^<{xsd}{t}>') for v, t in (("1.0E21", "double"), ("100000000000000000000", "integer"), ("5", "integer")))}
+
+
+def test_names_are_read_by_version(spark):
+    """One label, two terms in two versions; a third version doesn't know it; a name twice in one version is an error."""
+    sub, typ, cls = SUB, f"<{RDF}type>", f"<{OWL}Class>"
+    rows = [(g, iri(c), typ, cls) for g, c in (("v1", "A1"), ("v1", "K1"), ("v2", "A2"), ("v2", "K2"), ("v3", "A1"), ("v3", "K3"))]
+    rows += [("v1", iri("K1"), sub, iri("A1")), ("v2", iri("K2"), sub, iri("A2")), ("v3", iri("K3"), sub, iri("A1"))]
+    index = [("v1", EX + "A1", "A1", "heart"), ("v2", EX + "A2", "A2", "heart"), ("v3", EX + "A1", "A1", "other"), ("v2", EX + "X", "X", "twice"), ("v2", EX + "Y", "Y", "twice"), ("v1", EX + "X", "X", "only here")]
+    e = mos.Evaluator(spark.createDataFrame(rows, "g string, s string, p string, o string"), spark.createDataFrame(index, "version_id string, iri string, short string, norm string"))
+    found = lambda text: {(r.g, r.cls.rpartition("/")[2][:-1]) for r in e.run(text).collect()}
+    assert found("heart") == {("v1", "A1"), ("v1", "K1"), ("v2", "A2"), ("v2", "K2")}
+    assert found("A1") == {("v1", "A1"), ("v1", "K1"), ("v3", "A1"), ("v3", "K3")}
+    assert found("heart or 'only here'") == {("v1", "A1"), ("v1", "K1")} and found("A2 and 'only here'") == set()
+    for text, error in (("nowhere", mos.ParseError), ("twice", mos.AmbiguousLabel)):
+        with pytest.raises(error):
+            e.run(text)

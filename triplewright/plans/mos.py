@@ -212,24 +212,45 @@ def references(node) -> set[str]:
     return set()
 
 
-def resolve(index: DataFrame, refs: set[str]) -> dict[str, str]:
-    """reference -> IRI by IRI, local name or normalised label; unknown labels are errors, ambiguous ones too."""
+def _wanted(refs: set[str]) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
+    """References that are IRIs, and of the others what local name and what normalised label they stand for."""
     from triplewright.operators.search import normalise
 
     direct = {r: r for r in refs if re.match(r"[a-z][a-z0-9+.-]*:", r)}
-    plain = [r for r in refs if r not in direct]
-    wanted = {r: (re.sub(r"^.*\((\w+):(\w+)\)$", r"\1_\2", r) if r.endswith(")") else r.replace(":", "_"), normalise(r)) for r in plain}
-    shorts, norms = [s for s, _ in wanted.values()], [n for _, n in wanted.values()]
-    rows = index.where(F.col("short").isin(shorts) | F.col("norm").isin(norms)).select("iri", "short", "norm").distinct().collect() if plain else []  # a row per name written in the expression
-    out = dict(direct)
-    for r, (short, norm) in wanted.items():
-        hits = {x.iri for x in rows if x.short == short} or {x.iri for x in rows if x.norm == norm}
-        if not hits:
+    return direct, {r: (re.sub(r"^.*\((\w+):(\w+)\)$", r"\1_\2", r) if r.endswith(")") else r.replace(":", "_"), normalise(r)) for r in refs if r not in direct}
+
+
+def resolve_versions(index: DataFrame, refs: set[str]) -> list[tuple[dict[str, str], DataFrame | None]]:
+    """(reference -> IRI, versions (g) in which the references stand for these), as many as there are ways to read them.
+
+    Each version reads a name by local name, else by normalised label, in its own entities; versions that don't know every name are left out. A name that
+    no version knows is an error, as is one that stands for several terms of one version. References that are IRIs alone hold in all versions (None).
+    """
+    direct, wanted = _wanted(refs)
+    if not wanted:
+        return [(direct, None)]
+    names = index.sparkSession.createDataFrame([(r, *x) for r, x in wanted.items()], "ref string, wanted_short string, wanted_norm string")  # a row per name written
+    rows = index.select(F.col("version_id").alias("g"), "iri", "short", "norm")
+    hits = [rows.join(F.broadcast(names), F.col(c) == F.col(f"wanted_{c}")).select("g", "ref", "iri", F.lit(i).alias("rank")) for i, c in enumerate(("short", "norm"))]
+    found = stage(hits[0].unionByName(hits[1]).groupBy("g", "ref", "rank").agg(F.array_sort(F.collect_set("iri")).alias("iris")).groupBy("g", "ref").agg(F.min_by("iris", "rank").alias("iris")))
+    known = {r.ref for r in found.select("ref").distinct().collect()}  # at most the names written
+    for r in wanted:
+        if r not in known:
             raise ParseError(f"unknown name {r!r}")
-        if len(hits) > 1:
-            raise AmbiguousLabel(f"{r!r} stands for {', '.join(sorted(hits))}")
-        out[r] = hits.pop()
-    return out
+    if several := found.where("size(iris) > 1").first():
+        raise AmbiguousLabel(f"{several.ref!r} stands for {', '.join(several.iris)}")
+    able = found.groupBy("g").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ref", F.col("iris")[0].alias("iri")))).alias("read")).where(F.col("n") == len(wanted))
+    able = stage(able.select("g", "read"))
+    ways = able.select("read").distinct().collect()
+    return [(direct | {x.ref: x.iri for x in w.read}, able.where(F.col("read") == F.array(*(F.struct(F.lit(x.ref).alias("ref"), F.lit(x.iri).alias("iri")) for x in w.read))).select("g")) for w in ways]
+
+
+def resolve(index: DataFrame, refs: set[str]) -> dict[str, str]:
+    """reference -> IRI, where all versions read them in one way; names that stand for different terms are an error."""
+    ways = resolve_versions(index, refs)
+    if len(ways) > 1:
+        raise AmbiguousLabel(f"versions read {', '.join(sorted(r for r in ways[0][0] if any(w[0][r] != ways[0][0][r] for w in ways)))} in different ways")
+    return ways[0][0] if ways else _wanted(refs)[0]
 
 
 def expression_key(node, names: dict[str, str]) -> tuple[str, str | None, list[str]]:
@@ -283,10 +304,13 @@ class Evaluator:
         return self.quads.select("g").distinct()
 
     def run(self, text: str, direct: bool = False) -> DataFrame:
-        """(g, cls) of an expression's named subclasses."""
-        node = parse(text)
-        names = resolve(self.index, references(node))
-        return self.evaluate(node, names, direct)
+        """(g, cls) of an expression's named subclasses; each version reads names in its own way, and one that doesn't know them all has no answers."""
+        node, out = parse(text), None
+        for names, versions in resolve_versions(self.index, references(node)):
+            found = self.evaluate(node, names, direct)
+            found = found if versions is None else found.join(versions, "g", "left_semi").select("g", "cls")
+            out = found if out is None else out.unionByName(found)
+        return self.all.limit(0) if out is None else out
 
     def evaluate(self, node, names: dict[str, str], direct: bool = False) -> DataFrame:
         if isinstance(node, Named):
