@@ -22,15 +22,23 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.operators.axioms import OWL, RDF, RDFS, lists, restrictions
+from triplewright.operators.axioms import KINDS, OWL, RDF, RDFS, lists, restrictions
 from triplewright.operators.hierarchy import reachable
 from triplewright.operators.staging import stage
 
 THING, NOTHING = f"<{OWL}Thing>", f"<{OWL}Nothing>"
+#: Forms of facts: subsumptions, successors, tags of successors.
+FORMS = frozenset(("below", "leads", "tag"))
 FACT = ["g", "x", "p", "c"]
 _BUILT_IN = (f"<{OWL}", f"<{RDF}", f"<{RDFS}", "<http://www.w3.org/2001/XMLSchema#")
 
 
+#: Predicates that axioms and class expressions are written with.
+_SCHEMA = [f"<{OWL}{n}>" for n in (
+    *KINDS, "equivalentClass", "equivalentProperty", "intersectionOf", "unionOf", "disjointUnionOf", "disjointWith", "members", "complementOf", "propertyChainAxiom", "onProperty", "onClass", "onDataRange", "inverseOf",
+)] + [f"<{RDFS}{n}>" for n in ("subClassOf", "subPropertyOf", "domain", "range")] + [f"<{RDF}{n}>" for n in ("type", "first", "rest")]
+
+
 def _owl(name: str) -> str:
     return f"<{OWL}{name}>"
 
@@ -45,7 +53,8 @@ def axioms(quads: DataFrame) -> DataFrame:
     sub (a below b), isa (a is a b), and (intersection a has b), to (a leads by b to d), from (a is led to by b into d), subprop, chain (a of b after d), domain, range (property a,
     class b), set (b is in the disjoint set a), tag (node a is a b-successor), rel (a leads by b to d, stated of individuals).
     """
-    stated = F.concat_ws(" ", "s", "p", "o")
+    stated, whole = F.concat_ws(" ", "s", "p", "o"), quads
+    quads = stage(quads.where(F.col("p").isin(*_SCHEMA)).select("g", "s", "p", "o"))  # read once; what follows reads little
     by = lambda *names: quads.where(F.col("p").isin(*names)).withColumn("ax", stated)
 
     def rows(df: DataFrame, kind: str, a, b, d=None, ax="ax") -> DataFrame:
@@ -72,7 +81,8 @@ def axioms(quads: DataFrame) -> DataFrame:
     negated = by(_owl("complementOf"))
     out += [rows(negated, "set", F.concat(F.lit("not "), "s"), x, ax=None) for x in ("s", "o")]
     objects = typed.where(F.col("o") == _owl("ObjectProperty")).select("g", F.col("s").alias("p")).distinct()
-    out.append(rows(quads.withColumn("ax", stated).join(objects, ["g", "p"]), "rel", "s", "p", "o"))
+    if not objects.isEmpty():
+        out.append(rows(whole.withColumn("ax", stated).join(objects, ["g", "p"]), "rel", "s", "p", "o"))
 
     some = stage(restrictions(quads).where("not inverse and (kind in ('some', 'value') or (kind = 'min' and n = 1))").select("g", "node", "prop", "filler").distinct())
     out += [rows(some, kind, "node", "prop", "filler", ax=None) for kind in ("to", "from")]
@@ -123,9 +133,10 @@ def starting(axioms: DataFrame) -> DataFrame:
     ])
 
 
-def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], every: DataFrame | None = None) -> DataFrame:
+def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], every: DataFrame | None = None, new_has: frozenset[str] = FORMS, known_has: frozenset[str] = FORMS) -> DataFrame:
     """Every use of a rule with an axiom of `axioms` and facts of `known`, one of `new` at least among them. kinds: those that axioms hold.
 
+    new_has, known_has: forms of facts among them; rules that ask for others are left out.
     every: all axioms, where `axioms` are only some; a disjoint set's and an intersection's other members come from there.
     """
     every = axioms if every is None else every
@@ -134,51 +145,58 @@ def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], e
     leads = lambda frame, x="x", p="p", y="y": frame.where("p <> '' and c <> ''").select("g", F.col("x").alias(x), F.col("p").alias(p), F.col("c").alias(y))
     out = []
     # of two facts either may be the new one
-    sides = ((new, known), (known, new)) if new is not known else ((new, known),)
+    sides = ((new, new_has, known, known_has), (known, known_has, new, new_has)) if new is not known else ((new, new_has, known, known_has),)
+    pairs = lambda second: [(r, s) for r, in_r, s, in_s in sides if "leads" in in_r and second in in_s]
 
     up = axioms.where("kind in ('sub', 'isa')").select("g", F.col("a").alias("c"), "b", "ax")
     out.append(_row(below(new).join(up, ["g", "c"]), "below", "x", None, "b", [_premise("x", None, "c")]))
-    if "and" in kinds:
+    if "and" in kinds and "below" in new_has:
         members = of("and").select("g", F.col("a").alias("node")).distinct().join(of("and", every).select("g", F.col("a").alias("node"), F.col("b").alias("c")), ["g", "node"])
         touched = below(new).join(members, ["g", "c"]).select("g", "x", "node").distinct()
         lacking = touched.join(members, ["g", "node"]).join(below(known), ["g", "x", "c"], "left_anti").select("g", "x", "node").distinct()
         whole = members.groupBy("g", "node").agg(F.array_sort(F.collect_set("c")).alias("items"))  # as many as one expression has
         met = touched.join(lacking, ["g", "x", "node"], "left_anti").join(whole, ["g", "node"])
         out.append(_row(met, "and", "x", None, "node", F.transform("items", lambda i: _premise("x", None, i)), None))
-    if "to" in kinds:
+    if "to" in kinds and "below" in new_has:
         led = of("to").select("g", F.col("a").alias("c"), "b", "d", "ax")
         out.append(_row(below(new).join(led, ["g", "c"]), "to", "x", "b", "d", [_premise("x", None, "c")]))
     if "from" in kinds:
         into = of("from").select("g", F.col("a").alias("node"), F.col("b").alias("p"), F.col("d").alias("c"), "ax")
-        for r, s in sides:
+        for r, s in pairs("below"):
             held = below(s, "y").join(into, ["g", "c"])
             out.append(_row(leads(r).join(held, ["g", "p", "y"]), "from", "x", None, "node", [_premise("x", "p", "y"), _premise("y", None, "c")]))
-    if "subprop" in kinds:
+    if "subprop" in kinds and new_has & {"leads", "tag"}:
         wider = of("subprop").select("g", F.col("a").alias("p"), "b", "ax")
         out.append(_row(new.where("p <> ''").select(*FACT).join(wider, ["g", "p"]), "subprop", "x", "b", "c", [_premise("x", "p", "c")]))
     if "chain" in kinds:
         chains = of("chain").select("g", F.col("a").alias("of"), F.col("b").alias("p"), F.col("d").alias("q"), "ax")
-        for r, s in sides:
+        for r, s in pairs("leads"):
             half = leads(r).join(chains, ["g", "p"])
             out.append(_row(half.join(leads(s, "y", "q", "z"), ["g", "y", "q"]), "chain", "x", "of", "z", [_premise("x", "p", "y"), _premise("y", "q", "z")]))
-    if "domain" in kinds:
+    if "domain" in kinds and "leads" in new_has:
         out.append(_row(leads(new).join(of("domain").select("g", F.col("a").alias("p"), "b", "ax"), ["g", "p"]), "domain", "x", None, "b", [_premise("x", "p", "y")]))
-    if "range" in kinds:
+    if "range" in kinds and "tag" in new_has:
         tags = new.where("p <> '' and c = ''").select("g", "x", "p")
         out.append(_row(tags.join(of("range").select("g", F.col("a").alias("p"), "b", "ax"), ["g", "p"]), "range", "x", None, "b", [_premise("x", "p", F.lit(""))]))
-    if "set" in kinds:
+    if "set" in kinds and "below" in new_has:
         sets = lambda frame: frame.select("g", F.col("a").alias("set"), F.col("b").alias("c"), "ax")
         touched = below(new).join(sets(of("set")), ["g", "c"])
         other = below(known, "x", "k").join(sets(of("set", every)).select("g", "set", F.col("c").alias("k")), ["g", "k"])
         met = touched.join(other, ["g", "x", "set"]).where("c <> k").withColumns({"one": F.least("c", "k"), "two": F.greatest("c", "k")})
         out.append(_row(met, "disjoint", "x", None, F.lit(NOTHING), [_premise("x", None, "one"), _premise("x", None, "two")]))
     if "bottom" in kinds:
-        for r, s in sides:
+        for r, s in pairs("below"):
             empty = below(s, "y").where(F.col("c") == NOTHING).select("g", "y")
             out.append(_row(leads(r).join(empty, ["g", "y"]), "bottom", "x", None, F.lit(NOTHING), [_premise("x", "p", "y"), _premise("y", None, F.lit(NOTHING))], None))
     return _union(out)
 
 
+def forms_of(facts: DataFrame) -> frozenset[str]:
+    """Forms of facts that there are; none if there are no facts."""
+    form = F.when(F.col("p") == "", "below").when(F.col("c") == "", "tag").otherwise("leads")
+    return frozenset(r.form for r in facts.select(form.alias("form")).distinct().collect())
+
+
 def kinds_of(axioms: DataFrame) -> set[str]:
     """Kinds of axioms there are (twelve at most), and 'bottom' if anything can be unsatisfiable."""
     found = {r.kind for r in axioms.select("kind").distinct().collect()}
@@ -205,17 +223,20 @@ class Closure:
         """The closure, facts `new` of it not having been joined yet."""
         kinds, keep = kinds_of(self.axioms), self.derivations is not None
         parts, uses = [self.facts], [self.derivations] if keep else []
+        known_has, new_has = forms_of(self.facts), forms_of(new)
         for _ in range(max_rounds):
+            if not new_has:
+                return replace(self, facts=_union(parts), derivations=stage(_union(uses).distinct()) if keep else None)
             known = _union(parts)
-            found = fire(new, known, self.axioms, kinds)
+            found = fire(new, known, self.axioms, kinds, None, new_has, known_has)
             if keep:
                 found = stage(found.distinct())
                 uses.append(found)
             new = stage(found.select(*FACT).distinct().join(known, FACT, "left_anti"))
-            if new.isEmpty():
-                return replace(self, facts=known, derivations=stage(_union(uses).distinct()) if keep else None)
+            new_has = forms_of(new)
+            known_has |= new_has
             parts.append(new)
-            if len(parts) > 12:
+            if len(parts) > 4:  # every rule reads all that is known
                 parts = [stage(_union(parts))]
         raise RuntimeError(f"the classification did not end in {max_rounds} rounds")
 
