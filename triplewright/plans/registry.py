@@ -58,7 +58,7 @@ SELECT 'http://ex/customer/' || c_custkey AS s FROM customer UNION ALL SELECT 'h
 sparql_query("sparql_graph_path", "SELECT ?g ?s ?o WHERE { GRAPH ?g { ?s rdfs:subClassOf+ ?o . ?s a owl:Class } }", """
 SELECT 'urn:g:geo' AS g, 'http://ex/nation/' || n_nationkey AS s, 'http://ex/region/' || n_regionkey AS o FROM nation UNION ALL SELECT 'urn:g:org', 'http://ex/supplier/' || s_suppkey, 'http://ex/nation/' || s_nationkey FROM supplier
 UNION ALL SELECT 'urn:g:parts', 'http://ex/part/' || l_partkey, NULL FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
-sparql_query("sparql_optional_twice", "SELECT ?s ?l ?r WHERE { ?s rdfs:subClassOf ?x . ?s a owl:Class OPTIONAL { ?x a owl:Class . ?x rdfs:label ?l FILTER(?l < 'F') } OPTIONAL { ?x rdfs:label ?l . ?x rdfs:subClassOf ?y . ?y rdfs:label ?r } }", """
+sparql_query("sparql_optional_twice", "SELECT ?s ?l ?r WHERE { ?s rdfs:subClassOf ?x . ?s a owl:Class OPTIONAL { ?x a owl:Class . ?x rdfs:label ?l FILTER(STR(?l) < 'F') } OPTIONAL { ?x rdfs:label ?l . ?x rdfs:subClassOf ?y . ?y rdfs:label ?r } }", """
 SELECT 'http://ex/nation/' || n_nationkey AS s, CASE WHEN r_name < 'F' THEN r_name END AS l, NULL AS r FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'http://ex/supplier/' || s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'http://ex/part/' || l_partkey, NULL, NULL FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
