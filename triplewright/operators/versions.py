@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triplewright.operators.staging import stage
+
 NOT_READY = ("pending", "needs_review", "failed", "deprecated")
 TOP = ("http://www.w3.org/2002/07/owl#Thing", "http://www.w3.org/2002/07/owl#topObjectProperty", "http://www.w3.org/2002/07/owl#topDataProperty")
 
@@ -93,14 +95,16 @@ def fingerprints(triples: DataFrame, depth: int = 10) -> DataFrame:
     """(node, print): a hash of what hangs below each blank node, equal for nodes that differ in name only.
 
     Bottom-up rounds: a round hashes a node's sorted predicate-object lines, blank objects standing by the round before; what is deeper than
-    `depth`, or circular, reads as max.
+    `depth`, or circular, reads as max. Rounds are written, and end when none of the prints changes.
     """
-    blank = triples.where("startswith(s, '_:')").select("s", "p", "o")
+    blank = stage(triples.where("startswith(s, '_:')").select("s", "p", "o"))
     nodes = blank.select(F.col("s").alias("node")).distinct().withColumn("print", F.lit("max"))
     for _ in range(depth):
         known = nodes.select(F.col("node").alias("o"), F.col("print").alias("_print"))
         lines = blank.join(known, "o", "left").select("s", F.concat_ws("\t", "p", F.coalesce("_print", "o")).alias("line"))
-        nodes = lines.groupBy(F.col("s").alias("node")).agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("line")), "\n")), 1, 16).alias("print"))
+        before, nodes = nodes, stage(lines.groupBy(F.col("s").alias("node")).agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("line")), "\n")), 1, 16).alias("print")))
+        if nodes.join(before, ["node", "print"], "left_anti").isEmpty():
+            break
     return nodes
 
 

@@ -454,3 +454,4 @@ from triplewright.plans import registry_fleet  # noqa: E402, F401  adds its quer
 from triplewright.plans import registry_reasoning  # noqa: E402, F401  adds its queries
 from triplewright.plans import registry_search  # noqa: E402, F401  adds its queries
 from triplewright.plans import registry_structure  # noqa: E402, F401  adds its queries
+from triplewright.plans import registry_records  # noqa: E402, F401  adds its queries
