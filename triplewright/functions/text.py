@@ -135,12 +135,25 @@ def spdx(text: Column) -> Column:
     return F.coalesce(exact, by_address, by_name, by_text)
 
 
+#: Media types that are RDF, and those that may be.
+RDF_TYPES = (
+    "text/turtle", "application/x-turtle", "application/rdf+xml", "application/ld+json",
+    "application/n-triples", "application/n-quads", "application/trig",
+    "text/n3", "text/rdf+n3", "application/owl+xml", "application/xml",
+)
+GENERIC_TYPES = ("application/octet-stream", "text/plain")
+#: Fixed value: what RDF has among its first bytes, in any case.
+RDF_MARKERS = r'(?i)@prefix|@base|rdf:RDF|<rdf:|owl:Ontology|<owl:|"@context"'
+
+
 def rdf_media(content_type: Column, head: Column) -> Column:
-    """Whether a response is RDF by its media type, or by the look of its first characters where the type is generic."""
+    """Whether a response is RDF: by its media type, or by its first 4,096 bytes where the type is generic or missing. Never null."""
     kind = F.trim(F.lower(F.split_part(content_type, F.lit(";"), F.lit(1))))
-    exact = kind.isin("text/turtle", "application/rdf+xml", "application/owl+xml", "application/ld+json", "application/n-triples", "application/n-quads", "application/trig", "text/n3")
-    generic = kind.isin("text/plain", "application/octet-stream", "text/xml", "application/xml", "")
-    return exact | (generic & F.substring(head, 1, 4096).rlike(r"@prefix|<rdf:RDF|<Ontology|\"@context\"|^<[^>]+> <[^>]+>"))
+    read = F.decode(F.substring(F.encode(head, "UTF-8"), 1, 4096), "ISO-8859-1")  # what is looked for is ASCII
+    start = F.lower(F.regexp_replace(read, r"^\s+", ""))
+    looks = read.rlike(RDF_MARKERS) | read.rlike(r"<https?://[^>\s]+>\s+<https?://[^>\s]+>") | (start.startswith("<?xml") & (start.contains("rdf") | start.contains("owl")))
+    missing = content_type.isNull() | (content_type == "")
+    return F.coalesce(kind.isin(*RDF_TYPES), F.lit(False)) | ((missing | kind.isin(*GENERIC_TYPES)) & F.coalesce(looks, F.lit(False)))
 
 
 def word_similarity(query: str, label: Column) -> Column:

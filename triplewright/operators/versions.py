@@ -108,8 +108,18 @@ def fingerprints(triples: DataFrame, depth: int = 10) -> DataFrame:
     return nodes
 
 
+def reasoning_status(version_ids: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(version_id, status): ready, pending, failed or missing by the best of each version's reasoning jobs (version_id, type, status)."""
+    best = jobs.where("type = 'reason'").groupBy("version_id").agg(F.max(status_rank(F.col("status"))).alias("rank"))
+    names = F.array(*map(F.lit, ("missing", "failed", "pending", "ready")))
+    return version_ids.select("version_id").distinct().join(best, "version_id", "left").select("version_id", F.element_at(names, F.coalesce("rank", F.lit(0)) + 1).alias("status"))
+
+
 def stale_diffs(diffs: DataFrame, ready_ids: DataFrame) -> DataFrame:
-    """Finished differences computed while a side wasn't ready that is ready now."""
-    r = ready_ids.select("id")
-    stale = diffs.where("status = 'ready' and (from_state <> 'ready' or to_state <> 'ready')")
-    return stale.join(r.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(r.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    """Finished differences (from_id, to_id, from_state, to_state) one of whose sides wasn't ready when they were made, and is now. A null state wasn't ready."""
+    ready = ready_ids.select("id").distinct()
+    out = diffs.where("status = 'ready'")
+    for side in ("from", "to"):
+        out = out.join(ready.select(F.col("id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}")), f"{side}_id", "left")
+    late = [F.col(f"_{side}") & ~F.col(f"{side}_state").eqNullSafe("ready") for side in ("from", "to")]
+    return out.where(F.coalesce(late[0], F.lit(False)) | F.coalesce(late[1], F.lit(False))).select(*diffs.columns)

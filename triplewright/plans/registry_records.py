@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import indexing
+from triplewright.functions import text as X
+from triplewright.operators import indexing, versions
 from triplewright.plans.registry import query
 from triplewright.sources import headers, records
 from triplewright.sources.headers import DC, DCT, MOD, OWL, RDF, RDFS, SCHEMA, SKOS, VANN
 from triplewright.sources.records import DCAT, FOAF, HYDRA, PROV, SD, VOID
+from triplewright.streaming import usage
 
 _INT, _TIME = "^^<http://www.w3.org/2001/XMLSchema#integer>", "+00:00\"^^<http://www.w3.org/2001/XMLSchema#dateTime>"
 
@@ -150,3 +152,31 @@ CASE WHEN k % 4 = 0 THEN 'Titel' WHEN k % 2 = 0 THEN p_name END AS label_de, p_t
 CASE WHEN k % 5 = 0 THEN 'first' WHEN k % 3 = 0 THEN 'second' WHEN k % 2 = 0 THEN 'third' ELSE 'fourth' END AS definition FROM (SELECT *, p_partkey AS k FROM part) WHERE k % 7 > 0""")(
     lambda t: indexing.entity_index(t.spark.sql(_ANNOTATED, part=t.part)).select("iri", "label", F.col("labels")["en"].alias("label_en"), F.col("labels")["de"].alias("label_de"), F.array_join("synonyms", "|").alias("synonyms"), "definition"))
 query("deprecated_entities", "SELECT '<urn:g:x>' AS g, '<http://ex/part/' || p_partkey || '>' AS s FROM part WHERE p_partkey % 7 = 0")(lambda t: indexing.deprecated(t.spark.sql(_ANNOTATED, part=t.part)))
+
+# Housekeeping by the key of an order or a part
+_TYPES = ("text/turtle; charset=utf-8", "Application/XML", "text/xml", "text/plain", "", " application/octet-stream ", "text/html", None)
+_HEADS = ("@PREFIX x: <y> .", "<http://a/b>  <http://c> 1 .", " <?XML version='1.0'?><x xmlns='owl'/>", "plain words", "<HTTP://a> <http://b>")
+query("rdf_media", """SELECT k, coalesce(t IN (0, 1) OR t IN (3, 4, 5, 7) AND h IN (0, 1, 2) AND NOT far, false) AS is_rdf FROM (SELECT o_orderkey AS k, o_orderkey % 8 AS t, o_orderkey % 5 AS h, o_orderkey % 3 = 0 AS far FROM orders)""")(
+    lambda t: t.orders.select(F.col("o_orderkey").alias("k"), X.rdf_media(
+        F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("o_orderkey") % 8 + 1).cast("int")),
+        F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.repeat(F.lit("\u00e9 "), 1366)).otherwise(""), F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("o_orderkey") % 5 + 1).cast("int")))).alias("is_rdf")))
+query("checks_retryable", """SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 5 = 1 AND o_orderkey % 3 = 0) AND (o_orderkey % 7 > 0 OR o_orderdate <= TIMESTAMP '1995-01-01')
+ORDER BY CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END NULLS FIRST, o_orderkey LIMIT 50""")(
+    lambda t: (lambda k: usage.retryable(t.orders.select(
+        k.alias("id"), F.when(k % 4 != 1, k % 2 == 1).alias("resolvable"), F.when(k % 5 == 0, 503).when(k % 5 > 1, 404).alias("http_status"), F.when(k % 3 == 0, "no answer").alias("error"),
+        F.when(k % 7 == 0, F.col("o_orderdate")).alias("retry_after"), F.when(k % 11 > 0, F.col("o_orderdate")).alias("checked_at")), F.lit("1995-01-01").cast("timestamp_ntz"), 50).select("id"))(F.col("o_orderkey")))
+_JOBS = "SELECT l_orderkey AS version_id, CASE WHEN l_quantity < 45 THEN 'reason' ELSE 'index' END AS type, CASE l_partkey % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status FROM {lineitem}"
+_STATES = f"""s AS (SELECT o_orderkey AS version_id, CASE WHEN bool_or(status = 'done') THEN 'ready' WHEN bool_or(status IN ('running', 'pending')) THEN 'pending' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'missing' END AS status
+FROM orders LEFT JOIN ({_JOBS.format(lineitem="lineitem")}) j ON version_id = o_orderkey AND type = 'reason' GROUP BY 1)"""
+
+
+def _states(t):
+    return versions.reasoning_status(t.orders.select(F.col("o_orderkey").alias("version_id")), t.spark.sql(_JOBS, lineitem=t.lineitem))
+
+
+query("reasoning_status", f"WITH {_STATES} SELECT * FROM s")(_states)
+query("diffs_stale", f"""WITH {_STATES}, d AS (SELECT o_orderkey AS from_id, o_orderkey + 1 AS to_id, CASE o_orderkey % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' END AS from_state, CASE WHEN o_orderkey % 2 = 0 THEN 'ready' ELSE 'failed' END AS to_state FROM orders WHERE o_orderstatus = 'F')
+SELECT from_id, to_id FROM d WHERE coalesce(from_state, '') <> 'ready' AND from_id IN (SELECT version_id FROM s WHERE status = 'ready') OR to_state <> 'ready' AND to_id IN (SELECT version_id FROM s WHERE status = 'ready')""")(
+    lambda t: (lambda k: versions.stale_diffs(t.orders.select(
+        k.alias("from_id"), (k + 1).alias("to_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("pending").alias("status"), F.when(k % 3 == 0, "ready").when(k % 3 == 1, "pending").alias("from_state"),
+        F.when(k % 2 == 0, "ready").otherwise("failed").alias("to_state")), _states(t).where("status = 'ready'").withColumnRenamed("version_id", "id")).select("from_id", "to_id"))(F.col("o_orderkey")))

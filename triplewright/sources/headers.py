@@ -1,8 +1,8 @@
 """What graphs say of themselves: the header's node, its roles, annotations, version and namespace, for all graphs in one pass.
 
 `catalogue` holds a row per graph, (g, iri): the IRI by which the ontology is known. Quads may repeat; those without a subject or
-object state nothing. Where several values
-are as good as each other, the smallest term is taken, so that results don't depend on the order of rows.
+object state nothing. Where several values are as good as each other, the smallest term is taken, so that results don't depend
+on the order of rows.
 """
 
 from __future__ import annotations

@@ -112,10 +112,15 @@ def host_schedule(due: DataFrame, interval_s: int, host: str = "host", order: st
 TRANSIENT = (429, 500, 502, 503, 504, 520, 522, 524)
 
 
-def retryable(jobs: DataFrame, now: Column, cooldown_s: int = 3600) -> DataFrame:
-    """Failed jobs of a transient status (or none at all) whose cooldown has passed."""
-    transient = F.col("http_status").isin(*TRANSIENT) | F.col("http_status").isNull()
-    return jobs.where((F.col("status") == "failed") & transient & (F.col("finished_at") < now - F.expr(f"interval {cooldown_s} seconds")))
+def retryable(checks: DataFrame, now: Column, most: int) -> DataFrame:
+    """The `most` longest unchecked of the ontologies whose last check failed in passing: (id, resolvable, http_status, error, retry_after, checked_at).
+
+    In passing: a transient status, or an error without any, with no time to wait for or one that has come. Rows never checked come first,
+    ids decide among equals; a null `resolvable` hasn't failed.
+    """
+    transient = F.col("http_status").isin(*TRANSIENT) | (F.col("http_status").isNull() & F.col("error").isNotNull())
+    due = F.col("retry_after").isNull() | (F.col("retry_after") <= now)
+    return checks.where(~F.col("resolvable") & transient & due).orderBy(F.asc_nulls_first("checked_at"), "id").limit(most)
 
 
 def held_action(age_days: Column, nudged: Column, nudge_after: int = 7, retire_after: int = 30) -> Column:
