@@ -1,10 +1,14 @@
 """Headers and records on odd input: nulls, repeats, empty tables, blank headers, other time zones, columns that are not there."""
 
+import glob
+import json
+
 from pyspark.sql import functions as F
 
 from triplewright.operators import versions
 from triplewright.sources import headers, records
 from triplewright.sources.headers import DC, DCT, OWL, RDF, RDFS
+from triplewright.streaming import usage
 
 TYPE, ONTOLOGY = f"<{RDF}type>", f"<{OWL}Ontology>"
 
@@ -91,3 +95,22 @@ def test_fingerprints_stop_when_nothing_changes(spark):
         return hashlib.sha1("\n".join(lines).encode()).hexdigest()[:16]
 
     assert got == {n: plain(n, 10) for n in got}
+
+
+def test_export_is_one_document(spark, tmp_path):
+    table = spark.createDataFrame([(i, None if i % 3 else 'say "x", a comma', f"2024-01-{i + 1:02}") for i in range(9)], "n long, kind string, day string").withColumn("day", F.to_date("day")).repartition(3)
+    for name, rows_of in (("whole", table), ("empty", table.limit(0))):
+        n = usage.export(rows_of, f"{tmp_path}/{name}", "2024-01-01T00:00:00+00:00")
+        text = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/{name}/part-*")))
+        found = json.loads(text)
+        assert found["exported_at"] == "2024-01-01T00:00:00+00:00" and found["count"] == n == len(found["rows"]) == rows_of.count()
+        assert sorted((r["n"], r["kind"], r["day"]) for r in found["rows"]) == sorted((r.n, r.kind, str(r.day)) for r in rows_of.collect())
+
+
+def test_resolvability_and_stale_differences(spark):
+    from triplewright.functions import text as X
+
+    heads = spark.createDataFrame([(None, "@prefix a: <b> ."), (None, None), ("text/plain", " \n<?xml?><x>OWL</x>"), ("text/plain", "<https://a> <https://b> <c> ."), (" ", "@base"), ("text/xml", "<rdf:RDF"), ("application/n-quads;q=1", None)], "t string, h string")
+    assert [r[0] for r in heads.select(X.rdf_media(F.col("t"), F.col("h"))).collect()] == [True, False, True, True, False, False, True]
+    diffs = spark.createDataFrame([(1, 2, "ready", "failed", "ready"), (1, 3, "ready", "ready", "failed"), (3, 1, "ready", "missing", "missing"), (1, 2, "failed", "failed", "failed"), (2, 1, "ready", "ready", None)], "from_id int, to_id int, status string, from_state string, to_state string")
+    assert sorted((r.from_id, r.to_id) for r in versions.stale_diffs(diffs, spark.createDataFrame([(1,), (1,)], "id int")).collect()) == [(1, 2), (2, 1), (3, 1)]

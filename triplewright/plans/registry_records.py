@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triplewright.functions import text as X
 from triplewright.operators import indexing, versions
+from triplewright.operators.staging import shared_dir
 from triplewright.plans.registry import query
 from triplewright.sources import headers, records
 from triplewright.sources.headers import DC, DCT, MOD, OWL, RDF, RDFS, SCHEMA, SKOS, VANN
@@ -180,3 +181,14 @@ SELECT from_id, to_id FROM d WHERE coalesce(from_state, '') <> 'ready' AND from_
     lambda t: (lambda k: versions.stale_diffs(t.orders.select(
         k.alias("from_id"), (k + 1).alias("to_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("pending").alias("status"), F.when(k % 3 == 0, "ready").when(k % 3 == 1, "pending").alias("from_state"),
         F.when(k % 2 == 0, "ready").otherwise("failed").alias("to_state")), _states(t).where("status = 'ready'").withColumnRenamed("version_id", "id")).select("from_id", "to_id"))(F.col("o_orderkey")))
+
+
+def _exported(t):
+    """Usage by day as a written document, its rows read back."""
+    path = f"{shared_dir(t.spark)}/export"
+    usage.export(t.usage.groupBy(F.col("ontology").alias("ontology_id"), "kind", "day").agg(F.count_distinct("user_id").alias("unique_count"), F.count("*").alias("total_count")), path, "2024-01-01T00:00:00+00:00")
+    lines = t.spark.read.text(path).where("value like '%ontology_id%'").select(F.regexp_replace("value", "^,", "").alias("line"))
+    return lines.select(F.from_json("line", "ontology_id long, kind string, day string, unique_count long, total_count long").alias("x")).select("x.*")
+
+
+query("usage_export", "SELECT ontology AS ontology_id, kind, strftime(day, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS unique_count, count(*) AS total_count FROM usage GROUP BY 1, 2, day")(_exported)

@@ -113,10 +113,14 @@ def document(df: DataFrame, kind: str, most: int = 100_000) -> str:
 
 def write(df: DataFrame, path: str, kind: str = "json") -> None:
     """The document as text files below path: head, lines and foot in the order of the files' names, lines in the order of the result's partitions."""
-    lines = stage(LINES[kind](df).withColumn("at", F.monotonically_increasing_id()))
-    if kind == "json":  # every line but the first follows a comma
+    write_lines(stage(LINES[kind](df).withColumn("at", F.monotonically_increasing_id())), path, head(df.columns, kind), foot(kind), kind == "json")
+
+
+def write_lines(lines: DataFrame, path: str, before: str, after: str, commas: bool) -> None:
+    """Written (line, at) as text files below path by `at`, between two more lines if those aren't empty; with commas, every line but the first follows one."""
+    if commas:
         first = lines.agg(F.min("at")).first()[0]
         lines = lines.withColumn("line", F.when(F.col("at") == first, F.col("line")).otherwise(F.concat(F.lit(","), "line")))
-    ends = [(head(df.columns, kind), -1), (foot(kind), (1 << 63) - 1)]
-    whole = lines.unionByName(df.sparkSession.createDataFrame([x for x in ends if x[0]], "line string, at long"))
+    ends = [(before, -1), (after, (1 << 63) - 1)]
+    whole = lines.unionByName(lines.sparkSession.createDataFrame([x for x in ends if x[0]], "line string, at long"))
     whole.repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(path)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triplewright.operators.staging import stage
+from triplewright.sources import results
+
 #: What marks an agent as no person, in lower case.
 BOTS = ("bot", "crawl", "spider", "slurp", "headless", "python-requests", "curl", "wget", "httpx", "scrapy", "facebookexternalhit", "bingpreview", "monitor", "uptime", "pingdom", "gptbot")
 
@@ -94,6 +98,16 @@ def overwrite(stored_path: str, keys: list[str]):
     return run
 
 
+def export(rows: DataFrame, path: str, exported_at: str) -> int:
+    """A usage table as one JSON document in text files below path, in the order of their names: when it was made, how many rows, the rows. Gives
+    their number. Nulls are stated; days are written as dates."""
+    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    lines = stage(rows.select(line.alias("line")).withColumn("at", F.monotonically_increasing_id()))
+    n = lines.count()
+    results.write_lines(lines, path, f'{{"exported_at":{json.dumps(exported_at)},"count":{n},"rows":[', "]}", True)
+    return n
+
+
 def trend(usage: DataFrame, start: str, end: str, unit: str = "week", value: str = "total") -> DataFrame:
     """Sums per bucket from start to end, buckets without usage counting zero. Weeks begin on Mondays."""
     spark = usage.sparkSession
