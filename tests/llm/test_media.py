@@ -82,3 +82,9 @@ def test_sources_of_media():
     a = hashlib.sha256(b"a.mp4").hexdigest()
     assert digests("<video><source src=a.mp4><source src=b.mp4></video>") == digests("<img srcset='a.mp4 2x, b 1x'>") == digests("<picture><source srcset='a.mp4 1x'><img></picture>") == [a]
     assert digests("<img alt=x>") == [None] and digests("<video src=sha256:00><source src=a.mp4></video>") == ["00"]
+
+
+def test_sequences_take_one_worker_a_task(spark, odd):
+    found = media.sequences(odd)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(found.collect()) == sorted(media.interleave(media.pages(odd)).collect())

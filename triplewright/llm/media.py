@@ -162,19 +162,19 @@ def items(html: str) -> list[dict]:
     return out
 
 
+def _interleaved(batches, rest: list[str], html: str, into: str):
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column(html)):
+            rows, found = batch.slice(at, len(part)), pa.array([items(h.as_py()) for h in part], _ITEM)
+            at += len(part)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), found], [*rest, into])
+
+
 def interleave(df: DataFrame, html: str = "html", into: str = "items") -> DataFrame:
     """df with an array of items (kind, position, text, digest, caption) in place of its HTML."""
     rest = [c for c in df.columns if c not in (html, into)]
-
-    def run(batches):
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column(html)):
-                rows, found = batch.slice(at, len(part)), pa.array([items(h.as_py()) for h in part], _ITEM)
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), found], [*rest, into])
-
-    return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*(df.schema[c] for c in rest), T.StructField(into, T.ArrayType(ITEM))]))
+    return df.mapInArrow(lambda batches: trimmed(_interleaved(batches, rest, html, into)), T.StructType([*(df.schema[c] for c in rest), T.StructField(into, T.ArrayType(ITEM))]))
 
 
 def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> None:
@@ -203,7 +203,7 @@ def store(df: DataFrame, base: str, id: str = "doc_id", text: str = "text") -> N
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "digest", "media"])
 
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    source.mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary").write.option("compression", "lz4").parquet(base)
+    source.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_bytes long, digest string, media binary").write.option("compression", "lz4").parquet(base)
 
 
 def payload_features(stored: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def payload_features(stored: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    return stored.where("media is not null").select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
+    return stored.where("media is not null").select("digest", "media").mapInArrow(lambda batches: trimmed(run(batches)), schema).dropDuplicates(["digest"])
 
 
 def page_of(text: str, digest: str, n_bytes: int) -> str:
@@ -235,25 +235,34 @@ def page_of(text: str, digest: str, n_bytes: int) -> str:
     return f"<article>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</article>"
 
 
+def _as_pages(batches):
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column("text")):
+            texts = [t or "" for t in part.to_pylist()]
+            sizes, html = [], []
+            for t in texts:
+                data = t.encode()
+                sizes.append(len(data))
+                html.append(page_of(t, hashlib.sha256(payload(data)).hexdigest(), len(data)))
+            docs = batch.column("doc_id").slice(at, len(part))
+            at += len(part)
+            yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
+
+
 def pages(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, html): the whole text of each document as the page_of it."""
+    source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
+    return source.mapInArrow(lambda batches: trimmed(_as_pages(batches)), "doc_id long, n_bytes long, html string")
 
-    def run(batches):
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column("text")):
-                texts = [t or "" for t in part.to_pylist()]
-                sizes, html = [], []
-                for t in texts:
-                    data = t.encode()
-                    sizes.append(len(data))
-                    html.append(page_of(t, hashlib.sha256(payload(data)).hexdigest(), len(data)))
-                docs = batch.column("doc_id").slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
 
+def sequences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, items): what interleave gives for pages, by one worker instead of two, which hold pages and their Arrow batches twice.
+    """
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    return source.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_bytes long, html string")
+    rest = ["doc_id", "n_bytes"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in rest), T.StructField("items", T.ArrayType(ITEM))])
+    return source.mapInArrow(lambda batches: trimmed(_interleaved(_as_pages(batches), rest, "html", "items")), schema)
 
 
 def resolve(df: DataFrame, features: DataFrame) -> DataFrame:
@@ -272,6 +281,6 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = stage(payload_features(spark.read.parquet(base)))
     drop_path(spark, base)
     texts = F.transform(F.filter("items", lambda x: x.kind == "text"), lambda x: x.text)
-    sequences = interleave(pages(documents)).withColumns({"n_items": F.size("items").cast("long"), "text_sha256": F.sha2(F.array_join(texts, "\n"), 256)})
-    found = resolve(sequences, features)
+    found = sequences(documents).withColumns({"n_items": F.size("items").cast("long"), "text_sha256": F.sha2(F.array_join(texts, "\n"), 256)})
+    found = resolve(found, features)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "text_sha256")
