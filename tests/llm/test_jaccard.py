@@ -1,8 +1,10 @@
 import random
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from triplewright.llm import jaccard
+from triplewright.llm import jaccard, simhash
 
 
 def plain(text):
@@ -59,3 +61,26 @@ def test_parities_lose_no_pair():
         x, y = jaccard.shingles(a), jaccard.shingles(" ".join(words))
         odd = sum((int(p) & (1 << 64) - 1 ^ int(q) & (1 << 64) - 1).bit_count() for p, q in zip(jaccard.parities(x), jaccard.parities(y)))
         assert odd <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_fingerprints_propose_without_bands(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(words[:-1] + [f"x{i}"]) for words in base for i in range(6)] + [" ".join(words) for words in base]
+    prints = [simhash.majority(jaccard.shingles(t)) for t in texts]
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= jaccard.DISTANCE}
+    alone = [Fraction(len(plain(texts[a]) & plain(texts[b])), len(plain(texts[a]) | plain(texts[b]))) for a, b in near]
+    assert len(near) > 150 and min(alone) >= Fraction(4, 5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = jaccard.sketches(df).withColumn("keys", F.array().cast("array<long>"))
+    assert 0 < jaccard.near_prints(prints).count() <= len(near)  # of sets with one fingerprint the least stands for all
+    id_of = {bytes(r.fp): r.doc_id for r in prints.collect()}
+    edges = [(id_of[bytes(r.a)], id_of[bytes(r.b)]) for r in jaccard.links(prints, jaccard.rows(df).select("row", "text")).collect()]
+
+    def joined(pairs):
+        out = list(range(len(texts)))
+        for a, b in [tuple(sorted(p)) for p in pairs] * len(texts):
+            out[a] = out[b] = min(out[a], out[b])
+        return out
+
+    assert joined(edges) == joined(near)

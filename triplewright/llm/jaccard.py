@@ -1,7 +1,12 @@
-"""Texts linked by the Jaccard similarity of their word shingles: MinHash bands propose, whole shingle sets decide.
+"""Texts linked by the Jaccard similarity of their word shingles: SimHash fingerprints propose first, MinHash bands what those can't reach; whole
+shingle sets decide.
 
-Equal sets are reduced first; rows and sets are told apart by hashes of 128 bits. Each set has a key per band; sets of similarity LEAST meet under none of them with a chance of
-(1 - LEAST ** ROWS) ** BANDS, about 3e-6. Members of a key are compared in chains first, in two rounds, so that dense groups
+Equal sets are reduced first; rows and sets are told apart by hashes of 128 bits. Each set has a SimHash fingerprint of its shingles; the fingerprints within
+DISTANCE bits are found by multi-index hashing (see simhash), and of each the nearest one is compared first. The other
+pairs of fingerprints are compared later, if their sets lie in two components still; so dense groups cost few comparisons.
+
+At similarity LEAST fingerprints differ in about 10 bits, so bands have to propose too. Each set has a key per band; sets of similarity LEAST meet under none of them with a chance of
+(1 - LEAST ** ROWS) ** BANDS, about 3e-6. Members of a key are compared in chains, in two rounds, so that dense groups
 become one component at few comparisons; a key of many members is shared out to chains of about CHAIN by the members' hashes, which differ
 from round to round. After that every pair of a key that still lies in two components is compared. So
 groups are those of all pairs that meet, though no pairs are made within a group that is known already. Sets are fetched only
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triplewright.llm import simhash
 from triplewright.llm.common import components, stage, trimmed
 
 SEED = 42
@@ -27,6 +33,8 @@ SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 5
+#: Bits in which fingerprints that propose may differ, and the segments of their tables: balls of radius 1, 66 look-ups a fingerprint.
+DISTANCE, SEGMENTS = 5, 3
 #: Bands of the first chain.
 FIRST = 8
 #: Members of a key that one chain takes, about.
@@ -94,12 +102,13 @@ def print_of(grams: np.ndarray) -> bytes:
 
 
 def sketches(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, fp, n, keys, odd): the row's hash, one of its shingle set (zeros: empty), the set's size, keys and parities."""
+    """(row, id, fp, n, keys, odd, bits): the row's hash, one of its shingle set (zeros: empty), the set's size, keys, parities and fingerprint."""
 
     def columns(sets):
-        return [print_of(s) for s in sets], np.array([len(s) for s in sets], np.int64), [keys(s) for s in sets], [parities(s) for s in sets]
+        bits = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+        return [print_of(s) for s in sets], np.array([len(s) for s in sets], np.int64), [keys(s) for s in sets], [parities(s) for s in sets], bits
 
-    return _arrow(rows(df, id, text), f"row binary, {id} long, fp binary, n long, keys array<long>, odd array<long>", columns)
+    return _arrow(rows(df, id, text), f"row binary, {id} long, fp binary, n long, keys array<long>, odd array<long>, bits long", columns)
 
 
 def close(a: str, b: str) -> str:
@@ -119,22 +128,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(LEAST[1] * both >= LEAST[0] * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
 
 
+def near_prints(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b, apart): sets of distinct (fp, bits) whose fingerprints differ in so many bits.
+
+    Sets that share a fingerprint are paired with the least of them, and this one stands for them.
+    """
+    prints = distinct.select("fp", "bits")
+    firsts = stage(prints.groupBy("bits").agg(F.min("fp").alias("first"), F.count("*").alias("held")))
+    equal = prints.join(firsts.where("held > 1"), "bits").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"), F.lit(0).alias("apart"))
+    met = simhash.links(firsts.select(F.col("bits").alias("fp")), distance, segments).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    for name, of in (("x", "a"), ("y", "b")):
+        met = met.join(firsts.select(F.col("bits").alias(name), F.col("first").alias(of)), name)
+    return equal.unionByName(met.select("a", "b", F.expr("bit_count(x ^ y)").alias("apart")))
+
+
 def links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all sets of distinct (fp, row, n, keys, odd) whose similarity is LEAST or more and that share a key.
+    """Edges (a, b) that connect all sets of distinct (fp, row, n, keys, odd, bits) whose similarity is LEAST or more and that share a key or are near by fingerprint.
 
     texts: (row, text) of those rows at least.
     """
+    near = stage(near_prints(distinct))
     members = distinct.select("fp", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     members = stage(members.join(shared, "key"))
-    facts = stage(distinct.join(members.select("fp").distinct(), "fp"))
+    met = members.select("fp").unionByName(near.select(F.col("a").alias("fp"))).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    facts = stage(distinct.drop("bits").join(met, "fp"))
     fetched = texts.join(facts.select("row", "fp").hint("merge"), "row").select("fp", "text")
     sets = stage(_arrow(fetched, "fp binary, grams array<long>", lambda sets: [sets]).dropDuplicates(["fp"]))
     facts_of = facts.select("fp", "n", "odd")
     found: list[DataFrame] = []
 
-    def placed() -> DataFrame:
-        of = stage(components(reduce(DataFrame.unionByName, found)))
+    def joined() -> DataFrame:
+        return stage(components(reduce(DataFrame.unionByName, found)))
+
+    def placed(of: DataFrame) -> DataFrame:
         return stage(members.join(of.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
 
     def chain(placed: DataFrame, seed: int) -> None:
@@ -144,18 +171,25 @@ def links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
         propose(before.where("component <> other_component").select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct())
 
     def propose(pairs: DataFrame) -> None:
-        pairs = pairs.join(_named(facts_of, "a"), "a").join(_named(facts_of, "b"), "b").where(close("a_", "b_")).select("a", "b")
-        found.append(stage(verified(stage(pairs), sets)))
+        found.append(stage(verified(stage(passing(pairs)), sets)))
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        return pairs.join(_named(facts_of, "a"), "a").join(_named(facts_of, "b"), "b").where(close("a_", "b_")).select("a", "b")
 
+    propose(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("of")).select("of.a", "b"))
     chain(members.where(F.col("band") < FIRST).withColumn("component", F.col("fp")), 0)
-    chain(placed(), 1)
-    left = placed()
+    chain(placed(joined()), 1)
+    of = joined()
+    for name in "ab":
+        near = near.join(of.select(F.col("id").alias(name), F.col("component").alias(f"in_{name}")), name, "left")
+    near = passing(near.where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b"))
+    left = placed(of)
     mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = stage(left.join(mixed, "key").join(facts.select("fp", "n", "odd", "keys"), "fp"))
     a, b = (_named(left.select("fp", "component", "n", "odd", "keys", "key"), x) for x in "ab")
     # a pair counts under the first key that it shares
     met = a.join(b, F.expr(f"a_key = b_key and a_component < b_component and {close('a_', 'b_')} and array_intersect(a_keys, b_keys)[0] = a_key"))
-    found.append(stage(verified(stage(met.select("a", "b")), sets)))
+    found.append(stage(verified(stage(met.select("a", "b").unionByName(near)), sets)))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -167,7 +201,7 @@ def group(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     prints = stage(sketches(df, id, text))
     named = F.when(F.col(id).isNotNull(), F.struct(F.col(id).alias("component_id"), F.col("row").alias("lead")))
     firsts = stage(prints.groupBy("fp").agg(F.min(named).alias("first"), F.min("row").alias("row")))
-    distinct = stage(prints.select("row", "fp", "n", "keys", "odd").join(firsts.select("row"), "row").dropDuplicates(["fp"]))
+    distinct = stage(prints.select("row", "fp", "n", "keys", "odd", "bits").join(firsts.select("row"), "row").dropDuplicates(["fp"]))
     joined = components(links(distinct, rows(df, id, text).select("row", "text")))
     found = firsts.join(joined, firsts.fp == joined.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     groups = found.join(found.groupBy("root").agg(F.min("first").alias("of")), "root").select("fp", "of.component_id", "of.lead")

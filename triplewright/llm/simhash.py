@@ -113,8 +113,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
         # counted before anything is moved; where only a value itself is asked for, entries of one fingerprint are left out
         sizes = held.groupBy("mask", "value").agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("vary"))
         sizes = stage(sizes.where("n > 1") if exact else sizes, f"{base}/{level}/sizes")
-        held = stage(held.join(sizes, ["mask", "value"]), f"{base}/{level}/held")
-        asked = held if exact else stage(asked.join(sizes, ["mask", "value"]), f"{base}/{level}/asked")
+        # exploded rows count as small as what they come from: without a hint millions of look-ups are broadcast
+        held = stage(held.hint("merge").join(sizes, ["mask", "value"]), f"{base}/{level}/held")
+        asked = held if exact else stage(asked.hint("merge").join(sizes, ["mask", "value"]), f"{base}/{level}/asked")
         a, b = (x.where(small).select(F.col("fp").alias(name), "mask", "value") for x, name in ((asked, "a"), (held, "b")))
         found.append(stage(a.join(b, ["mask", "value"]).where(f"a < b and bit_count(a ^ b) <= {distance}").select("a", "b")))
         large = sizes.where(f"not {small}").select("mask", "value", F.expr(cut).alias("parts"))
@@ -142,8 +143,8 @@ def group(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int =
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, id, component_id, lead): groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Fingerprints can't decide that: at a similarity of 0.8 they differ in about 10 of 64 bits, too many for tables of segments, and what lies within
-    DISTANCE the bands find too. So bands propose and whole shingle sets decide (see jaccard).
+    Fingerprints of those shingles propose first, by the tables above. Alone they don't reach that similarity, at which they differ in about 10 of
+    64 bits, too many for tables of segments; so MinHash bands propose what is left, and whole shingle sets decide (see jaccard).
     """
     from triplewright.llm import jaccard
 
