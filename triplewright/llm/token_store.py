@@ -39,6 +39,8 @@ END = 2
 WIDTH = 2
 #: Ids of the rolling window; a cut where the mixed sum's low bits are zero; least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 2048
+#: Bytes of a chunk in a leaf: its digest and length.
+ENTRY = 16 + 4
 #: Digests a task remembers so as not to send a chunk twice; others are made unique later.
 REMEMBERED = 200_000
 _RECIPE = "array<struct<digest: binary, n: int>>"
@@ -67,8 +69,25 @@ def boundaries(ids: np.ndarray) -> list[int]:
 
 
 def leaf(doc: int | None, n_tokens: int, recipe: list[tuple[bytes, int]]) -> bytes:
+    return leaf_of(doc, n_tokens, b"".join(d + n.to_bytes(4, "little") for d, n in recipe))
+
+
+def leaf_of(doc: int | None, n_tokens: int, recipe: bytes) -> bytes:
+    """The leaf of a recipe that is packed already: digest and length of each chunk, ENTRY bytes together."""
     head = b"\0" + (b"-" if doc is None else doc.to_bytes(8, "little", signed=True)) + n_tokens.to_bytes(8, "little")
-    return hashlib.sha256(head + b"".join(d + n.to_bytes(4, "little") for d, n in recipe)).digest()
+    return hashlib.sha256(head + recipe).digest()
+
+
+def packed(recipes: pa.ListArray) -> tuple[bytes, list[int]]:
+    """Recipes one after the other as leaf_of takes them, and where each begins and the last ends."""
+    entries = recipes.flatten()
+    digests, sizes = b"".join(entries.field("digest").to_pylist()), entries.field("n").to_numpy(zero_copy_only=False)
+    out = np.empty((len(sizes), ENTRY), np.uint8)
+    out[:, :-4] = np.frombuffer(digests, np.uint8).reshape(-1, ENTRY - 4)
+    out[:, -4:] = sizes.astype("<u4").view(np.uint8).reshape(-1, 4)
+    bounds = np.zeros(len(recipes) + 1, np.int64)
+    np.cumsum(recipes.value_lengths().to_numpy(zero_copy_only=False), out=bounds[1:])
+    return out.tobytes(), (ENTRY * bounds).tolist()
 
 
 class Merkle:
@@ -136,7 +155,6 @@ def _before():
 def write(df: DataFrame, base: str, end: int = END, path: str | None = None) -> None:
     """Writes documents df (doc_id, text) as a store below base."""
     spark, path = df.sparkSession, path or tokenizer_path(VOCABULARY)
-    recipe_type = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))
 
     def encoded(batches):
         encoder, known = word_encoder(path), set()
@@ -190,21 +208,21 @@ def write(df: DataFrame, base: str, end: int = END, path: str | None = None) ->
         part, row, start, tree, held = TaskContext.get().partitionId(), 0, 0, Merkle(), None
         names = ["part", "row", "doc_id", "local", "n_tokens", "recipe", "leaf", "root"]
 
-        def batch_of(rows, root=None):
-            columns = list(zip(*rows))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), recipe_type, pa.binary()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([None] * (len(rows) - 1) + [root], pa.binary())], names)
+        def batch_of(columns, root=None):
+            n = len(columns[0])
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), *columns, pa.array([None] * (n - 1) + [root], pa.binary())], names)
 
         for batch in (b for b in batches if b.num_rows):
-            rows = []
-            for doc, n, recipe in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "recipe"))):
-                digest = leaf(doc, n, [(c["digest"], c["n"]) for c in recipe])
-                tree.add(digest)
-                rows.append((part, part << 40 | row, doc, start, n, recipe, digest))
-                row, start = row + 1, start + n
+            recipes, leaves, tokens = batch.column("recipe"), [], batch.column("n_tokens").to_numpy()
+            raw, bounds = packed(recipes)
+            for doc, n, a, b in zip(batch.column("doc_id").to_pylist(), tokens.tolist(), bounds, bounds[1:]):
+                leaves.append(leaf_of(doc, n, raw[a:b]))
+                tree.add(leaves[-1])
+            ends = start + np.cumsum(tokens)
             if held:
                 yield batch_of(held)
-            held = rows
+            held = [pa.array(np.arange(row, row + len(leaves)) + (part << 40)), batch.column("doc_id"), pa.array(ends - tokens), batch.column("n_tokens"), recipes, pa.array(leaves, pa.binary())]
+            row, start = row + len(leaves), int(ends[-1])
         if held:
             yield batch_of(held, tree.root())
 
@@ -233,19 +251,22 @@ def verified(spark: SparkSession, base: str) -> DataFrame:
 
     def checked(batches):
         for batch in batches:
-            found = []
-            for digest, data in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist()):
+            found, chunks, at = [], batch.column("data").to_pylist(), 0
+            wide = memoryview(np.frombuffer(b"".join(chunks), f"<u{WIDTH}").astype("<u4").tobytes())
+            for digest, data in zip(batch.column("digest").to_pylist(), chunks):
                 if hashlib.blake2b(data, digest_size=16).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} doesn't match its digest")
-                found.append(zlib.crc32(np.frombuffer(data, f"<u{WIDTH}").astype("<u4").tobytes()))
+                end = at + 4 // WIDTH * len(data)
+                found.append(zlib.crc32(wide[at:end]))
+                at = end
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.int64())], ["digest", "crc"])
 
     def assembled(batches):
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-        row, head, crc, recipe = None, None, 0, []
+        row, head, crc, recipe, total = None, None, 0, [], 0
 
         def done():
-            if leaf(head[0], head[2], recipe) != head[3] or sum(n for _, n in recipe) != head[2]:
+            if leaf_of(head[0], head[2], b"".join(recipe)) != head[3] or total != head[2]:
                 raise ValueError(f"the recipe of document {head[0]} doesn't match the manifest's leaf")
             return (*head[:3], crc)
 
@@ -257,9 +278,10 @@ def verified(spark: SparkSession, base: str) -> DataFrame:
                 if r != row:
                     if row is not None:
                         out.append(done())
-                    row, head, crc, recipe = r, (doc, start, n, mark), 0, []
+                    row, head, crc, recipe, total = r, (doc, start, n, mark), 0, [], 0
                 crc = combined(crc, part, 4 * size) if recipe else part
-                recipe.append((digest, size))
+                recipe += digest, size.to_bytes(4, "little")
+                total += size
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
         if row is not None:
