@@ -62,3 +62,9 @@ def test_equals_sql(spark, sf_dir):
 def test_shares_are_exact_beyond_longs(spark):
     row = spark.sql("select 4000000000000000000L n, 4100000000000000000L total, 7L kept").select(divergence.share("n", "total", "kept").alias("p")).first()
     assert row.p == 1 + 10**9 * (4 * 10**18 + 5) // (41 * 10**17 + 35)
+
+
+def test_only_ascii_is_lowered(spark):
+    texts = ["ABC xYz 19", "ÉTÉ Straße K İ A", "", "Ωm Z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", divergence.lowered().alias("low")).collect()
+    assert {r.text: r.low for r in rows} == {t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts}

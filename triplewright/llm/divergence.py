@@ -38,9 +38,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
+def lowered(text: str = "text"):
+    """A-Z lower-cased, other letters as they are: lower() does that where all is ASCII, at a small part of translate's time."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that have the term; docs as keyed gives them."""
-    found = docs.select("lang", "source", F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(TERM), F.lit(0)).alias("terms"))
+    found = docs.select("lang", "source", F.regexp_extract_all(lowered(), F.lit(TERM), F.lit(0)).alias("terms"))
     # each row's terms twice: as they come (n) and without repeats (docs), from one scan
     both = found.select("lang", "source", F.explode(F.array(F.struct("terms", F.lit(0).alias("once")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(1).alias("once")))).alias("e"))
     terms = both.select("lang", "source", "e.once", F.explode("e.terms").alias("term"))
