@@ -1,11 +1,13 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from triplewright.llm import bpe, packing
-from triplewright.llm.tokens import tokenizer_path
+from triplewright.llm.tokens import Memory, WordEncoder, tokenizer_path
 
 from .conftest import TEXTS
 
@@ -66,3 +68,38 @@ def test_packing_is_a_partition_of_all_ids(spark, odd, documents):
             used += at
             padding += 0 if at & (at - 1) == 0 else 2048 - at
         assert padding < 0.01 * used
+
+
+def test_word_encoder_equals_the_library():
+    """Every character up to U+2FFF beside letters and digits, mixtures with contractions and marks, slices of columns."""
+    encoder, rng = WordEncoder(tokenizer_path("word_bpe_49k.json")), random.Random(3)
+    some = [*"abAB  \n\t\r''stSrvemlD019.,_-<|>!\x00\x85\xa0²ªº¼×÷éÉßŸĿıŉſ’€日Σς😀", "<|endoftext|>", "'s", "'RE", "''ve"]
+    texts = [f"a{chr(i)}B {chr(i)}{chr(i)}\t1{chr(i)}." for i in range(0x3000)] + ["".join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(3000)] + TEXTS
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        ids, offsets = encoder.encode(column)
+        assert len(offsets) == len(texts) + 1 and offsets[-1] == len(ids)
+        for text, a, b in zip(texts, offsets, offsets[1:]):
+            assert ids[a:b].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids, text
+    for texts in ([], [None], ["", ""]):
+        ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+        assert len(ids) == 0 and offsets.tolist() == [0] * (len(texts) + 1)
+
+
+def test_pieces_not_parts_are_looked_up(monkeypatch):
+    """Words with different marks and capitals before or after them are one piece each, so work follows distinct words."""
+    asked, encoded = [], WordEncoder._encoded
+    monkeypatch.setattr(WordEncoder, "_encoded", lambda self, keys, *rest: asked.extend(keys) or encoded(self, keys, *rest))
+    words = [f"{a}{b}ou" for a in "bcdfghjklm" for b in ("ae", "io", "ré", "tü")]
+    text = " ".join(f"{before}{form(w)}{after}" for w in words for before in ("", "(") for after in ("", ",", ".", "!!") for form in (str, str.title))
+    WordEncoder(tokenizer_path("word_bpe_49k.json")).encode(pa.array([text]))
+    assert len(asked) == len(words) + 4
+
+
+def test_what_is_met_again_outlives_two_generations():
+    memory = Memory(3)
+    memory.add({"common": b"1"})
+    for i in range(20):
+        assert memory.find(["common", f"rare {i}"]) == [b"1", None]
+        memory.add({f"rare {i}": b"2"})
+    assert len(memory.young) + len(memory.old) <= 8

@@ -78,18 +78,47 @@ class Memory:
         known = {k: v for k in keys if (v := young(k) or old(k)) is not None}
         return known, [k for k in keys if k not in known] if len(known) < len(keys) else []
 
+    def find(self, keys: list) -> list:
+        """What is known of each key, else None; what only the old generation knew goes into the young one."""
+        out = list(map(self.young.get, keys))
+        if self.old:
+            old = self.old.get
+            again = {keys[i]: found for i, v in enumerate(out) if v is None and (found := old(keys[i])) is not None}
+            if again:
+                out = [v if v is not None else again.get(k) for k, v in zip(keys, out)]
+                self.add(again)
+        return out
+
     def add(self, more: dict) -> None:
         self.young.update(more)
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
 
 
+#: Kinds of characters; digits are pieces of their own, neighbours of the other kinds make pieces. WHITE is dropped.
+WHITE, LETTER, DIGIT, OTHER, UNCOMMON = range(5)
+
+
+@lru_cache
+def _byte_tables() -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """Kind and lower case of each byte, and of each pair of bytes that begins a character beyond ASCII (lower case as a number)."""
+    kinds, lower = np.full(1 << 16, UNCOMMON, np.uint8), np.arange(1 << 16, dtype=np.uint16)
+    for code in range(1 << 11):
+        char = chr(code)
+        raw, low = (int.from_bytes(c.encode()) for c in (char, char.lower()))
+        if not _ODD.search(char) and (raw < 128) == (low < 128) and low < 1 << 16:
+            kinds[raw] = WHITE if char.isspace() else DIGIT if "0" <= char <= "9" else LETTER if char.isalpha() else OTHER
+            lower[raw] = low
+    return kinds[:256].tobytes(), lower[:256].astype(np.uint8).tobytes(), kinds, lower
+
+
 class WordEncoder:
     """Ids of the word vocabulary (lower case, white space dropped, word ends marked).
 
     The library's result for a text is the concatenation of its results for the parts between blanks and line
-    ends: white space is dropped, no composition crosses it, and merges stay within words. So each distinct part of a slice is encoded
-    once; parts with uncommon characters or special-token marks go to the library as they are.
+    ends: white space is dropped, no composition crosses it, and merges stay within words. Texts are cut into pieces by the kinds of
+    their bytes, on arrays, and each distinct piece of a slice is encoded once. Parts with uncommon characters, contractions or
+    special-token marks stay whole: they are split by the pattern, or go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -106,11 +135,11 @@ class WordEncoder:
         self.merger = Tokenizer(self.library.model)
         self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.letters = {b: c for b, c in byte_letters().items() if b != 32}
-        self.parts, self.pieces = Memory(), Memory()
+        self.memory = Memory(2 * MEMORY_PIECES)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         out, groups = {}, [pieces[i : i + 32] for i in range(0, len(pieces), 32)]
-        mapped = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
+        mapped = [b" ".join(g).decode("latin-1").translate(self.letters) for g in groups]
         for group, found in zip(groups, self.merger.encode_batch_fast(mapped, add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -119,51 +148,99 @@ class WordEncoder:
                 for piece, end in zip(group, (4 * cuts).tolist()):
                     out[piece], at = raw[at:end], end
             else:
-                out.update((p, self._whole(p)) for p in group)
+                out.update((p, self._whole(p.decode())) for p in group)
         return out
 
     def _whole(self, part: str) -> bytes:
         return np.array(self.library.encode(part, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        """Ids of each of the distinct parts."""
-        out = list(map(self.parts.young.get, parts))
-        old = self.parts.old.get
-        for i in [i for i, v in enumerate(out) if v is None]:
-            out[i] = old(parts[i])
-        at = [i for i, v in enumerate(out) if v is None]
-        if at:
-            odd, find = _ODD.search, _WORD_PIECE.findall
-            split = [None if odd(p := parts[i]) or "<|" in p else find(p.lower()) for i in at]
-            pieces, unseen = self.pieces.split({x for v in split if v for x in v})
-            learned = self._learn(unseen)
-            self.pieces.add(learned)
-            pieces |= learned
-            get = pieces.__getitem__
-            made = [self._whole(parts[i]) if v is None else b"".join(map(get, v)) for i, v in zip(at, split)]
-            for i, v in zip(at, made):
-                out[i] = v
-            self.parts.add({parts[i]: v for i, v in zip(at, made)})
+    def _encoded(self, pieces: list[bytes], whole: np.ndarray) -> list[bytes]:
+        """Ids of each of the distinct pieces; whole: which of them are parts that weren't cut."""
+        out = self.memory.find(pieces)
+        fresh = [i for i, v in enumerate(out) if v is None]
+        if fresh:
+            learned = self._learn([pieces[i] for i in fresh if not whole[i]])
+            parts = {pieces[i]: pieces[i].decode() for i in fresh if whole[i]}
+            if parts:
+                split = {p: [x.encode() for x in _WORD_PIECE.findall(t.lower())] for p, t in parts.items() if not _ODD.search(t) and "<|" not in t}
+                inner = list({x for v in split.values() for x in v}.difference(learned))
+                known = learned | {x: v for x, v in zip(inner, self.memory.find(inner)) if v is not None}
+                more = self._learn([x for x in inner if x not in known])
+                learned, get = learned | more, (known | more).__getitem__
+                learned |= {p: b"".join(map(get, split[p])) if p in split else self._whole(t) for p, t in parts.items()}
+            for i in fresh:
+                out[i] = learned[pieces[i]]
+            self.memory.add(learned)
         return out
 
+    def _cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pieces of all texts one after the other, as a dictionary array; which of its values are parts left whole; before
+        how many pieces each text begins, and their number."""
+        kind_of, lower_of, pair_kinds, pair_lower = _byte_tables()
+        column = column.cast(pa.large_string())
+        _, at, data = column.buffers()
+        at = np.frombuffer(at, np.int64)[column.offset :][: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        text = bytearray(memoryview(data)[at[0] : at[-1]]) if data else bytearray()
+        n, at = len(text), at - at[0]
+        raw, kind, lower = (np.frombuffer(x, np.uint8) for x in (text, text.translate(kind_of), text.translate(lower_of)))
+        leads = np.flatnonzero(raw >= 0xC0)
+        pairs = raw[leads].astype(np.uint16) << 8 | raw[leads + 1]
+        kind[leads] = kind[leads + 1] = pair_kinds[pairs]
+        pairs = pair_lower[pairs]
+        lower[leads], lower[leads + 1] = pairs >> 8, pairs & 0xFF
+        begins = np.empty(n, bool)
+        begins[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == DIGIT
+        begins[at[at < n]] = True
+        keep = kind != WHITE
+        first, last = self._parts(raw, kind, lower, at)
+        if len(first):
+            inside = np.zeros(n + 1, np.int8)
+            inside[first] = 1
+            inside[last] -= 1  # where the next one begins it stays inside
+            inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            begins &= ~inside
+            begins[first] = True
+            keep |= inside
+            np.copyto(lower, raw, where=inside)
+            del inside
+        begins &= keep
+        del raw, kind, text
+        letters = lower[keep]
+        offsets = np.append(np.flatnonzero(begins[keep]).astype(np.int32), np.int32(len(letters)))
+        starts = np.flatnonzero(begins).astype(np.int32)
+        del lower, begins, keep
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        whole = np.zeros(len(pieces.dictionary), bool)
+        whole[pieces.indices.to_numpy()[np.searchsorted(starts, first.astype(np.int32))]] = True
+        return pieces, whole, np.searchsorted(starts, at.astype(np.int32))
+
+    @staticmethod
+    def _parts(raw: np.ndarray, kind: np.ndarray, lower: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each part that isn't cut by kinds: uncommon characters, a possible contraction, a special token's mark."""
+        odd = kind == UNCOMMON
+        for char, after in ((b"'", b"strvmld"), (b"<", b"|")):
+            found = np.flatnonzero(raw[:-1] == char[0])
+            odd[found[np.isin(lower[found + 1], np.frombuffer(after, np.uint8))]] = True
+        if not odd.any():
+            return at[:0], at[:0]
+        blank = (raw == 32) | (raw == 10)
+        first = np.append(True, blank[:-1])
+        first[at[at < len(raw)]] = True
+        first = np.flatnonzero(first)
+        last = np.append(first[1:], len(raw))
+        last -= blank[last - 1]
+        held = np.flatnonzero(np.logical_or.reduceat(odd, first))
+        return first[held], last[held]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]. Null texts are empty."""
-        column = pc.fill_null(column, "")
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-        flat = lists.flatten().dictionary_encode()
-        code = flat.indices.to_numpy()
-        encoded = self._encoded(flat.dictionary.to_pylist())
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        start = np.cumsum(length) - length
-        pool = np.frombuffer(b"".join(encoded), np.uint32)
-        words = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(length[code], out=words[1:])
-        ids = np.empty(words[-1], np.uint32)
-        for i in range(0, len(code), 1 << 19):  # a block's indices at a time
-            block = code[i : i + (1 << 19)]
-            ids[words[i] : words[min(len(code), i + (1 << 19))]] = pool[ranges(start[block], length[block])]
-        at = lists.offsets.to_numpy().astype(np.int64)
-        return ids, words[at - at[0]]
+        pieces, whole, at = self._cut(pc.fill_null(column, ""))
+        encoded = pa.array(self._encoded(pieces.dictionary.to_pylist(), whole), pa.large_binary())
+        _, ends, data = encoded.take(pieces.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[at] // 4 if len(pieces) else at
+        return np.frombuffer(data or b"", np.uint32)[: at[-1]], at
 
 
 class ByteEncoder:
