@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from triplewright.llm.common import stage, table
 
-#: What separates terms: all of ASCII but letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters and all beyond ASCII: the same characters as [^\x00-\x40\x5B-\x60\x7B-\x7F], which takes Java about ten times as long to match.
+TERM = r"[A-Za-z\x80-\x{10FFFF}]+"
 LEAST_ROWS = 30
 SCALE, SMOOTH = 1_000_000_000, 5
 TOP = 50
