@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from triplewright.llm.common import stage, table
 
-#: ASCII letters and all beyond ASCII: the same characters as [^\x00-\x40\x5B-\x60\x7B-\x7F], which takes Java about ten times as long to match.
+#: ASCII letters and all beyond ASCII: the same characters as [^\x00-\x40\x5B-\x60\x7B-\x7F], which takes Java longer to match.
 TERM = r"[A-Za-z\x80-\x{10FFFF}]+"
 LEAST_ROWS = 30
 SCALE, SMOOTH = 1_000_000_000, 5
@@ -60,12 +60,13 @@ def share(count: str, total: str, kept: str):
 def shares(counts: DataFrame, groups: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """(lang, source, term, n, p, q): for each group (lang, source) and kept term its count there, its share there and in the language."""
     vocabulary = stage(counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"))
+    known = stage(counts.join(vocabulary.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"))
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("total_lang"))
-    totals = counts.join(vocabulary.select("lang", "term"), ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     facts = groups.join(kept, "lang").join(totals, ["lang", "source"], "left").na.fill({"total": 0})
     salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dense = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
-    dense = dense.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").na.fill({"n": 0})
+    dense = dense.join(known, ["lang", "source", "term"], "left").na.fill({"n": 0})
     return dense.select("lang", "source", "term", "n", share("n", "total", "kept").alias("p"), share("n_lang", "total_lang", "kept").alias("q"))
 
 
