@@ -23,12 +23,13 @@ def wanted(agent: Column, dnt: Column, gpc: Column) -> Column:
 
 
 def hmac_sha256(key: Column, message: Column) -> Column:
-    """HMAC-SHA-256 in hexadecimal; key is of up to 64 bytes, in hexadecimal."""
+    """HMAC-SHA-256 in hexadecimal; key is of up to 64 bytes, in hexadecimal. Pads meet the key by words of seven bytes (a long holds them), so that all of it is compiled."""
     block = F.rpad(key, 128, "0")
 
     def padded(pad: int) -> Column:
-        byte = lambda i: F.conv(F.substr(block, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(pad)).cast("long")), 2, "0")), ""))
+        words = [(i, min(14, 128 - i)) for i in range(0, 128, 14)]
+        word = lambda i, n: F.conv(F.substr(block, F.lit(i + 1), F.lit(n)), 16, 10).cast("long").bitwiseXOR(F.lit(int.from_bytes(bytes([pad]) * (n // 2))))
+        return F.unhex(F.concat(*(F.lpad(F.hex(word(i, n)), n, "0") for i, n in words)))
 
     return F.sha2(F.concat(padded(0x5C), F.unhex(F.sha2(F.concat(padded(0x36), F.encode(message, "utf-8")), 256))), 256)
 
