@@ -20,6 +20,7 @@ import functools
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplewright.operators.axioms import KINDS, OWL, RDF, RDFS, lists, restrictions
@@ -27,9 +28,11 @@ from triplewright.operators.hierarchy import reachable
 from triplewright.operators.staging import stage
 
 THING, NOTHING = f"<{OWL}Thing>", f"<{OWL}Nothing>"
-#: Forms of facts: subsumptions, successors, tags of successors.
-FORMS = frozenset(("below", "leads", "tag"))
+#: Forms of facts: subsumptions, those by owl:Nothing, successors, tags of successors.
+FORMS = frozenset(("below", "empty", "leads", "tag"))
 FACT = ["g", "x", "p", "c"]
+#: Axioms of a kind that are broadcast: a few MB at most.
+FEW = 10_000
 _BUILT_IN = (f"<{OWL}", f"<{RDF}", f"<{RDFS}", "<http://www.w3.org/2001/XMLSchema#")
 
 
@@ -48,61 +51,130 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def axioms(quads: DataFrame) -> DataFrame:
-    """(g, kind, a, b, d, ax): axioms in the forms that rules take; ax is the stated triple, null for what a class expression means by itself.
+    """(g, kind, a, b, d, ax): axioms in the forms that rules take; ax is the stated triple, null for what a class expression means by itself. A row may be there twice.
 
     sub (a below b), isa (a is a b), and (intersection a has b), to (a leads by b to d), from (a is led to by b into d), subprop, chain (a of b after d), domain, range (property a,
     class b), set (b is in the disjoint set a), tag (node a is a b-successor), rel (a leads by b to d, stated of individuals).
+
+    Blank restrictions of the same property and filler are one node: each by itself they would all be below each other.
     """
     stated, whole = F.concat_ws(" ", "s", "p", "o"), quads
-    quads = stage(quads.where(F.col("p").isin(*_SCHEMA)).select("g", "s", "p", "o"))  # read once; what follows reads little
+    typing, told_of = F.col("p") == f"<{RDF}type>", [_owl(n) for n in ("TransitiveProperty", "AllDisjointClasses", "ObjectProperty")]
+    user = ~functools.reduce(Column.__or__, (F.col("o").startswith(x) for x in _BUILT_IN))
+    # read once, and each predicate's files alone; what follows reads little
+    quads = stage(quads.where(F.col("p").isin(*_SCHEMA) & (~typing | user | F.col("o").isin(*told_of))).select("g", "s", "p", "o"), by="p")
+    there = {r.p for r in quads.select("p").distinct().collect()}
+    has = lambda *names: bool(there.intersection(names))
     by = lambda *names: quads.where(F.col("p").isin(*names)).withColumn("ax", stated)
 
     def rows(df: DataFrame, kind: str, a, b, d=None, ax="ax") -> DataFrame:
         column = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
         return df.select("g", F.lit(kind).alias("kind"), column(a).alias("a"), column(b).alias("b"), column(d).alias("d"), column(ax).alias("ax"))
 
-    items = stage(lists(quads))
+    items = stage(lists(quads)) if has(f"<{RDF}first>") else None
     listed = lambda name: by(name).join(items.withColumnRenamed("head", "o"), ["g", "o"])
+    has_lists = lambda name: items is not None and has(name)
     same, both = by(_owl("equivalentClass")), by(_owl("equivalentProperty"))
-    parts, united, divided = listed(_owl("intersectionOf")), listed(_owl("unionOf")), listed(_owl("disjointUnionOf"))
-    out = [
-        rows(by(f"<{RDFS}subClassOf>").unionByName(same), "sub", "s", "o"), rows(same, "sub", "o", "s"), rows(parts, "sub", "s", "item", ax=None), rows(united, "sub", "item", "s", ax=None), rows(divided, "sub", "item", "s"),
-        rows(parts, "and", "s", "item", ax=None), rows(divided, "set", "o", "item"),
-        rows(by(f"<{RDFS}subPropertyOf>").unionByName(both), "subprop", "s", "o"), rows(both, "subprop", "o", "s"), rows(by(f"<{RDFS}domain>"), "domain", "s", "o"), rows(by(f"<{RDFS}range>"), "range", "s", "o"),
-    ]
-    typed = by(f"<{RDF}type>")
-    user = ~functools.reduce(Column.__or__, (F.col("o").startswith(x) for x in _BUILT_IN))
-    out.append(rows(typed.where(user), "isa", "s", "o"))
-    out.append(rows(typed.where(F.col("o") == _owl("TransitiveProperty")), "chain", "s", "s", "s"))
-    apart = by(_owl("disjointWith"))
-    out += [rows(apart, "set", "ax", "s"), rows(apart, "set", "ax", "o")]
-    groups = typed.where(F.col("o") == _owl("AllDisjointClasses")).select("g", "s", "ax")
-    out.append(rows(groups.join(listed(_owl("members")).drop("ax"), ["g", "s"]), "set", "s", "item"))
-    negated = by(_owl("complementOf"))
-    out += [rows(negated, "set", F.concat(F.lit("not "), "s"), x, ax=None) for x in ("s", "o")]
-    objects = typed.where(F.col("o") == _owl("ObjectProperty")).select("g", F.col("s").alias("p")).distinct()
-    if not objects.isEmpty():
-        out.append(rows(whole.withColumn("ax", stated).join(objects, ["g", "p"]), "rel", "s", "p", "o"))
-
-    some = stage(restrictions(quads).where("not inverse and (kind in ('some', 'value') or (kind = 'min' and n = 1))").select("g", "node", "prop", "filler").distinct())
-    out += [rows(some, kind, "node", "prop", "filler", ax=None) for kind in ("to", "from")]
-
-    # p1 after p2 after ... are read from the left, with a property of their own for every beginning
-    chains = listed(_owl("propertyChainAxiom")).select("g", "s", "o", "ax", "pos", "item")
-    ends = chains.groupBy("g", "o").agg(F.max("pos").alias("end"), F.min_by("item", "pos").alias("first"))
-    steps = chains.join(ends, ["g", "o"])
-    begun = lambda k: F.concat(F.lit("_:chain:"), "o", F.lit(":"), k.cast("string"))
-    steps_of = steps.where("pos > 0")
-    out.append(rows(steps_of, "chain", F.when(F.col("pos") == F.col("end"), F.col("s")).otherwise(begun(F.col("pos"))), F.when(F.col("pos") == 1, F.col("first")).otherwise(begun(F.col("pos") - 1)), "item"))
-    out.append(rows(steps.where("end = 0"), "subprop", "item", "s"))
-
-    ranges = quads.where(F.col("p") == f"<{RDFS}range>").select("g", F.col("s").alias("wider")).distinct()
-    if not some.isEmpty() and not ranges.isEmpty():
+    out = [rows(quads.where(F.lit(False)).withColumn("ax", stated), "sub", "s", "o")]
+    if has(f"<{RDFS}subClassOf>", _owl("equivalentClass")):
+        out.append(rows(by(f"<{RDFS}subClassOf>", _owl("equivalentClass")), "sub", "s", "o"))
+    if has(_owl("equivalentClass")):
+        out.append(rows(same, "sub", "o", "s"))
+    if has_lists(_owl("intersectionOf")):
+        parts = listed(_owl("intersectionOf"))
+        out += [rows(parts, "sub", "s", "item", ax=None), rows(parts, "and", "s", "item", ax=None)]
+    if has_lists(_owl("unionOf")):
+        out.append(rows(listed(_owl("unionOf")), "sub", "item", "s", ax=None))
+    if has_lists(_owl("disjointUnionOf")):
+        divided = listed(_owl("disjointUnionOf"))
+        out += [rows(divided, "sub", "item", "s"), rows(divided, "set", "o", "item")]
+    if has(f"<{RDFS}subPropertyOf>", _owl("equivalentProperty")):
+        out += [rows(by(f"<{RDFS}subPropertyOf>").unionByName(both), "subprop", "s", "o"), rows(both, "subprop", "o", "s")]
+    out += [rows(by(f"<{RDFS}{kind}>"), kind, "s", "o") for kind in ("domain", "range") if has(f"<{RDFS}{kind}>")]
+    if has(f"<{RDF}type>"):
+        typed = by(f"<{RDF}type>")
+        out += [rows(typed.where(user), "isa", "s", "o"), rows(typed.where(F.col("o") == _owl("TransitiveProperty")), "chain", "s", "s", "s")]
+        if has_lists(_owl("members")):
+            groups = typed.where(F.col("o") == _owl("AllDisjointClasses")).select("g", "s", "ax")
+            out.append(rows(groups.join(listed(_owl("members")).drop("ax"), ["g", "s"]), "set", "s", "item"))
+        objects = typed.where(F.col("o") == _owl("ObjectProperty")).select("g", F.col("s").alias("p")).distinct()
+        if not objects.isEmpty():
+            out.append(rows(whole.withColumn("ax", stated).join(objects, ["g", "p"]), "rel", "s", "p", "o"))
+    if has(_owl("disjointWith")):
+        apart = by(_owl("disjointWith"))
+        out += [rows(apart, "set", "ax", "s"), rows(apart, "set", "ax", "o")]
+    if has(_owl("complementOf")):
+        negated = by(_owl("complementOf"))
+        out += [rows(negated, "set", F.concat(F.lit("not "), "s"), x, ax=None) for x in ("s", "o")]
+    if has_lists(_owl("propertyChainAxiom")):
+        # p1 after p2 after ... are read from the left, with a property of their own for every beginning
+        chains = listed(_owl("propertyChainAxiom")).select("g", "s", "o", "ax", "pos", "item")
+        ends = chains.groupBy("g", "o").agg(F.max("pos").alias("end"), F.min_by("item", "pos").alias("first"))
+        steps = chains.join(ends, ["g", "o"])
+        begun = lambda k: F.concat(F.lit("_:chain:"), "o", F.lit(":"), k.cast("string"))
+        steps_of = steps.where("pos > 0")
+        out.append(rows(steps_of, "chain", F.when(F.col("pos") == F.col("end"), F.col("s")).otherwise(begun(F.col("pos"))), F.when(F.col("pos") == 1, F.col("first")).otherwise(begun(F.col("pos") - 1)), "item"))
+        out.append(rows(steps.where("end = 0"), "subprop", "item", "s"))
+    told = _union(out)
+    some = stage(restrictions(quads).where("not inverse and (kind in ('some', 'value') or (kind = 'min' and n = 1))").select("g", "node", "prop", "filler")) if has(_owl("onProperty")) else None
+    if some is None or some.isEmpty():
+        return told
+
+    names, rest = _shared_names(some)
+    told = stage(_renamed(told, names.select("g", "node", "name")), by="kind")
+    some = stage(names.select("g", F.col("name").alias("node"), "prop", "filler").unionByName(_renamed(rest, names.select("g", "node", "name"), "node", "filler")).distinct())
+    if has(f"<{RDFS}range>"):
+        ranges = quads.where(F.col("p") == f"<{RDFS}range>").select("g", F.col("s").alias("wider")).distinct()
         wider = _union([by(f"<{RDFS}subPropertyOf>").unionByName(both).select("g", F.col("s").alias("prop"), F.col("o").alias("wider")), both.select("g", F.col("o").alias("prop"), F.col("s").alias("wider"))])
-        ranged = _union([reachable(wider, "prop", "wider", by=["g"]), ranges.select("g", F.col("wider").alias("prop"), "wider")]).join(ranges, ["g", "wider"]).select("g", "prop").distinct()
+        ranged = stage(_union([reachable(wider, "prop", "wider", by=["g"]), ranges.select("g", F.col("wider").alias("prop"), "wider")]).join(ranges, ["g", "wider"]).select("g", "prop").distinct())
+    # that something is below a restriction matters where that is a condition; elsewhere it says less than the successor does. A range is known of
+    # the filler's own successor only, and relations are stated of the individual itself: there the restriction says more
+    blank = lambda c: F.col(c).startswith("_:")
+    at = lambda kinds, c: told.where(F.col("kind").isin(*kinds) & blank(c)).select("g", F.col(c).alias("node"))
+    asked = _union([at(("sub", "isa", "rel"), "a"), at(("and", "set"), "b"), at(("rel",), "d"), some.where(blank("filler")).select("g", F.col("filler").alias("node"))]).distinct()
+    met = [some.where(~blank("node")), some.join(asked, ["g", "node"], "left_semi")]
+    if has(f"<{RDFS}range>"):
+        met.append(some.join(ranged, ["g", "prop"], "left_semi"))
+    if has(f"<{RDF}type>"):
+        met.append(some.join(told.where("kind = 'rel'").select("g", F.col("a").alias("filler")).distinct(), ["g", "filler"], "left_semi"))
+    out = [told, rows(some, "to", "node", "prop", "filler", ax=None), rows(_union([m.select(*some.columns) for m in met]).distinct(), "from", "node", "prop", "filler", ax=None)]
+    if has(f"<{RDFS}range>"):
         own = some.join(ranged, ["g", "prop"]).withColumn("own", F.concat(F.lit("_:range:"), "prop", F.lit(":"), "filler"))
         out += [rows(own, "to", "node", "prop", "own", ax=None), rows(own, "sub", "own", "filler", ax=None), rows(own, "tag", "own", "prop", ax=None)]
-    return _union(out).distinct()
+    return _union(out)
+
+
+def _shared_names(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, node, name, prop, filler): blank restrictions and the name that all of the same property and filler share, made of these; the filler is under its own.
+    And restrictions without such a name: those of named classes, and those that are their own fillers."""
+    name = F.concat(F.lit("_:some:"), "prop", F.lit(":"), "filler").alias("name")
+    named = lambda df: df.select("g", "node", name, "prop", "filler")
+    is_blank = F.col("node").startswith("_:")
+    blank, rest = some.where(is_blank), some.where(~is_blank)
+    nested = stage(blank.where("startswith(filler, '_:')").join(blank.select("g", F.col("node").alias("filler")), ["g", "filler"], "left_semi").select(*some.columns))
+    if nested.isEmpty():
+        return named(blank), rest
+    names = [stage(named(blank.join(nested.select("g", "node"), ["g", "node"], "left_anti")))]
+    while True:
+        inner = names[-1].select("g", F.col("node").alias("filler"), F.col("name").alias("inner"))
+        new = stage(named(nested.join(inner, ["g", "filler"]).select("g", "node", "prop", F.col("inner").alias("filler"))))
+        if new.isEmpty():
+            found = _union(names)
+            return found, rest.unionByName(nested.join(found.select("g", "node"), ["g", "node"], "left_anti").select(*some.columns))
+        names.append(new)
+
+
+def _renamed(df: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """df with blank nodes in its columns (a, b and d unless given) under the names that they share. Rows in which the only blank node is the second column's, the common case, meet the names once."""
+    first, second, *rest = columns = columns or ("a", "b", "d")
+    blank = lambda c: F.coalesce(F.col(c).startswith("_:"), F.lit(False))
+    others = functools.reduce(Column.__or__, map(blank, (first, *rest)))
+
+    def under(part: DataFrame, column: str) -> DataFrame:
+        met = part.join(names.withColumnRenamed("node", column), ["g", column], "left")
+        return met.withColumn(column, F.coalesce("name", column)).select(*df.columns)
+
+    return _union([df.where(~others & ~blank(second)), under(df.where(~others & blank(second)), second), functools.reduce(under, columns, df.where(others))])
 
 
 def _column(value, if_none: str | None = None) -> Column:
@@ -121,10 +193,10 @@ def _row(df: DataFrame, rule: str, x, p, c, premises: list[Column] | Column, ax=
     return df.select("g", _column(x).alias("x"), _column(p, "").alias("p"), _column(c).alias("c"), F.lit(rule).alias("rule"), premises.alias("premises"), _column(ax).alias("ax"))
 
 
-def starting(axioms: DataFrame) -> DataFrame:
-    """What holds without premises: each node is below itself (and owl:Thing, where that is used as a condition), stated relations, tags."""
+def starting(axioms: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """What holds without premises: each node (those of `more` too, if given: g, x) is below itself (and owl:Thing, where that is used as a condition), stated relations, tags."""
     at = lambda kinds, c: axioms.where(F.col("kind").isin(*kinds)).select("g", F.col(c).alias("x"))
-    nodes = _union([at(("sub", "isa", "and", "rel"), "a"), at(("sub", "isa", "and", "set", "domain", "range"), "b"), at(("to", "from", "rel"), "d")]).distinct()
+    nodes = _union([at(("sub", "isa", "and", "rel"), "a"), at(("sub", "isa", "and", "set", "domain", "range"), "b"), at(("to", "from", "rel"), "d"), *([] if more is None else [more])]).distinct()
     used = axioms.where(f"(kind in ('sub', 'isa') and a = '{THING}') or (kind = 'from' and d = '{THING}') or (kind in ('and', 'set') and b = '{THING}')").select("g").distinct()
     told, tags = axioms.where("kind = 'rel'"), axioms.where("kind = 'tag'")
     return _union([
@@ -133,25 +205,27 @@ def starting(axioms: DataFrame) -> DataFrame:
     ])
 
 
-def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], every: DataFrame | None = None, new_has: frozenset[str] = FORMS, known_has: frozenset[str] = FORMS) -> DataFrame:
-    """Every use of a rule with an axiom of `axioms` and facts of `known`, one of `new` at least among them. kinds: those that axioms hold.
+def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: dict[str, int], every: DataFrame | None = None, new_has: frozenset[str] = FORMS, known_has: frozenset[str] = FORMS, led: bool = True) -> DataFrame:
+    """Every use of a rule with an axiom of `axioms` and facts of `known`, one of `new` at least among them. kinds: those that axioms hold, and how many of each; few are broadcast.
 
-    new_has, known_has: forms of facts among them; rules that ask for others are left out.
+    new_has, known_has: forms of facts among them; rules that ask for others are left out. led: whether anything leads to what new facts are about.
     every: all axioms, where `axioms` are only some; a disjoint set's and an intersection's other members come from there.
     """
     every = axioms if every is None else every
-    of = lambda kind, frame=axioms: frame.where(F.col("kind") == kind)
+    few = lambda frame, *names: F.broadcast(frame) if sum(kinds.get(n, 0) for n in names) <= FEW else frame
+    of = lambda kind: few(axioms.where(F.col("kind") == kind), kind)
+    of_every = lambda kind: of(kind) if every is axioms else every.where(F.col("kind") == kind)
     below = lambda frame, x="x", c="c": frame.where("p = ''").select("g", F.col("x").alias(x), F.col("c").alias(c))
     leads = lambda frame, x="x", p="p", y="y": frame.where("p <> '' and c <> ''").select("g", F.col("x").alias(x), F.col("p").alias(p), F.col("c").alias(y))
     out = []
     # of two facts either may be the new one
-    sides = ((new, new_has, known, known_has), (known, known_has, new, new_has)) if new is not known else ((new, new_has, known, known_has),)
+    sides = ((new, new_has, known, known_has), (known, known_has, new, new_has)) if new is not known and led else ((new, new_has, known, known_has),)
     pairs = lambda second: [(r, s) for r, in_r, s, in_s in sides if "leads" in in_r and second in in_s]
 
-    up = axioms.where("kind in ('sub', 'isa')").select("g", F.col("a").alias("c"), "b", "ax")
+    up = few(axioms.where("kind in ('sub', 'isa')").select("g", F.col("a").alias("c"), "b", "ax"), "sub", "isa")
     out.append(_row(below(new).join(up, ["g", "c"]), "below", "x", None, "b", [_premise("x", None, "c")]))
     if "and" in kinds and "below" in new_has:
-        members = of("and").select("g", F.col("a").alias("node")).distinct().join(of("and", every).select("g", F.col("a").alias("node"), F.col("b").alias("c")), ["g", "node"])
+        members = of("and").select("g", F.col("a").alias("node")).distinct().join(of_every("and").select("g", F.col("a").alias("node"), F.col("b").alias("c")), ["g", "node"])
         touched = below(new).join(members, ["g", "c"]).select("g", "x", "node").distinct()
         lacking = touched.join(members, ["g", "node"]).join(below(known), ["g", "x", "c"], "left_anti").select("g", "x", "node").distinct()
         whole = members.groupBy("g", "node").agg(F.array_sort(F.collect_set("c")).alias("items"))  # as many as one expression has
@@ -181,11 +255,11 @@ def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], e
     if "set" in kinds and "below" in new_has:
         sets = lambda frame: frame.select("g", F.col("a").alias("set"), F.col("b").alias("c"), "ax")
         touched = below(new).join(sets(of("set")), ["g", "c"])
-        other = below(known, "x", "k").join(sets(of("set", every)).select("g", "set", F.col("c").alias("k")), ["g", "k"])
+        other = below(known, "x", "k").join(sets(of_every("set")).select("g", "set", F.col("c").alias("k")), ["g", "k"])
         met = touched.join(other, ["g", "x", "set"]).where("c <> k").withColumns({"one": F.least("c", "k"), "two": F.greatest("c", "k")})
         out.append(_row(met, "disjoint", "x", None, F.lit(NOTHING), [_premise("x", None, "one"), _premise("x", None, "two")]))
     if "bottom" in kinds:
-        for r, s in pairs("below"):
+        for r, s in pairs("empty"):
             empty = below(s, "y").where(F.col("c") == NOTHING).select("g", "y")
             out.append(_row(leads(r).join(empty, ["g", "y"]), "bottom", "x", None, F.lit(NOTHING), [_premise("x", "p", "y"), _premise("y", None, F.lit(NOTHING))], None))
     return _union(out)
@@ -193,46 +267,115 @@ def fire(new: DataFrame, known: DataFrame, axioms: DataFrame, kinds: set[str], e
 
 def forms_of(facts: DataFrame) -> frozenset[str]:
     """Forms of facts that there are; none if there are no facts."""
-    form = F.when(F.col("p") == "", "below").when(F.col("c") == "", "tag").otherwise("leads")
-    return frozenset(r.form for r in facts.select(form.alias("form")).distinct().collect())
+    form = F.when((F.col("p") == "") & (F.col("c") == NOTHING), "empty").when(F.col("p") == "", "below").when(F.col("c") == "", "tag").otherwise("leads")
+    found = frozenset(r.form for r in facts.select(form.alias("form")).distinct().collect())
+    return found | {"below"} if "empty" in found else found
 
 
-def kinds_of(axioms: DataFrame) -> set[str]:
-    """Kinds of axioms there are (twelve at most), and 'bottom' if anything can be unsatisfiable."""
-    found = {r.kind for r in axioms.select("kind").distinct().collect()}
+def kinds_of(axioms: DataFrame) -> dict[str, int]:
+    """Kinds of axioms there are (twelve at most) with their numbers, and 'bottom' if anything can be unsatisfiable."""
+    found = {r.kind: r["count"] for r in axioms.groupBy("kind").count().collect()}
     fails = "set" in found or not axioms.where(f"b = '{NOTHING}' or d = '{NOTHING}'").isEmpty()
-    return found | ({"bottom"} if fails else set())
+    return found | ({"bottom": 0} if fails else {})
+
+
+def _leaves(axioms: DataFrame) -> DataFrame:
+    """(g, kind, a, b, ax, part): what says that a is below b. part: 'core', or if nothing but this says anything of a, 'one' where it has one b and 'many' where it has several.
+
+    What follows for such an a is what follows for its b, and what intersections and disjoint sets find in several of them; nothing else rests on it.
+    """
+    at = lambda kinds, c: axioms.where(F.col("kind").isin(*kinds)).select("g", F.col(c).alias("a"))
+    bound = _union([at(("sub", "isa", "and", "set", "domain", "range"), "b"), at(("to", "from", "rel"), "d"), at(("and", "to", "from", "tag", "rel"), "a")]).distinct().withColumn("bound", F.lit(True))
+    up = axioms.where("kind in ('sub', 'isa')").select("g", "kind", "a", "b", "ax").join(bound, ["g", "a"], "left").withColumn("bound", F.coalesce("bound", F.col("a").isin(THING, NOTHING)))
+    own = W.partitionBy("g", "a").orderBy("b")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    part = F.when(F.col("bound"), "core").when(F.first("b").over(whole) == F.last("b").over(whole), "one").otherwise("many")
+    again = F.lag("b").over(own) == F.col("b")
+    return up.withColumns({"part": part, "again": again}).where("part = 'core' or again is null or not again").select("g", "kind", "a", "b", "ax", "part")
 
 
 @dataclass
 class Closure:
-    """Axioms, all facts that follow, and, if kept, all uses of rules (g, x, p, c, rule, premises, ax)."""
+    """Axioms, all facts that follow, and, if kept, all uses of rules (g, x, p, c, rule, premises, ax). kinds: numbers of axioms by kind, if known."""
 
     axioms: DataFrame
     facts: DataFrame
     derivations: DataFrame | None
+    kinds: dict[str, int] | None = None
 
     @staticmethod
     def of(quads: DataFrame, keep: bool = False, max_rounds: int = 1000) -> Closure:
-        stored = stage(axioms(quads))
-        start = stage(starting(stored)) if keep else starting(stored)
+        stored = axioms(quads)
+        stored = stage(stored if keep else stored.withColumn("ax", F.lit(None).cast("string")), by="kind")  # only derivations name what is stated
+        kinds = kinds_of(stored)
+        if "rel" in kinds:  # what is stated of an individual doesn't follow for what is below it
+            start = stage(starting(stored)) if keep else starting(stored)
+            new = stage(start.select(*FACT).distinct())
+            return Closure(stored, new, start if keep else None, kinds)._saturated(new, max_rounds)
+        up = stage(_leaves(stored), by="part")
+        parts = {r.part: r["count"] for r in up.groupBy("part").count().collect()}
+        edges = {part: up.where(F.col("part") == part) for part in ("core", "one", "many")}
+        rest = stored.where("kind not in ('sub', 'isa')").unionByName(edges["core"].withColumn("d", F.lit(None).cast("string")).select(*stored.columns))
+        leaves = [edges[part] for part in ("one", "many") if part in parts]
+        start = starting(rest, _union(leaves).select("g", F.col("b").alias("x"))) if leaves else starting(rest)
+        start = stage(start) if keep else start
         new = stage(start.select(*FACT).distinct())
-        return Closure(stored, new, start if keep else None)._saturated(new, max_rounds)
-
-    def _saturated(self, new: DataFrame, max_rounds: int = 1000) -> Closure:
-        """The closure, facts `new` of it not having been joined yet."""
-        kinds, keep = kinds_of(self.axioms), self.derivations is not None
-        parts, uses = [self.facts], [self.derivations] if keep else []
-        known_has, new_has = forms_of(self.facts), forms_of(new)
+        core_kinds = {k: n for k, n in kinds.items() if k not in ("sub", "isa")} | {"sub": parts.get("core", 0)}
+        core = Closure(rest, new, start if keep else None, core_kinds)._saturated(new, max_rounds)
+        if not leaves:
+            return replace(core, axioms=stored, kinds=kinds)
+        return core._with_leaves(stored, kinds, edges, parts, max_rounds)
+
+    def _with_leaves(self, stored: DataFrame, kinds: dict[str, int], edges: dict[str, DataFrame], parts: dict[str, int], max_rounds: int) -> Closure:
+        """The closure of all axioms, this one being that of those which don't speak of leaves (see _leaves)."""
+        keep = self.derivations is not None
+
+        def inherited(part: str) -> DataFrame:
+            """Facts of leaves: each is below itself, and has what its b has, which closes them under all rules but those that several b meet in."""
+            of = edges[part].select("g", F.col("a").alias("leaf"), F.col("b").alias("x"))
+            taken = of.join(self.facts.where("p = '' or c <> ''"), ["g", "x"]).select("g", F.col("leaf").alias("x"), "p", "c")
+            return (edges[part].select("g", F.col("a").alias("x")).distinct() if part == "many" else edges[part].select("g", F.col("a").alias("x"))).select("g", "x", F.lit("").alias("p"), F.col("x").alias("c")).unionByName(taken.distinct() if part == "many" else taken)
+
+        found = []
+        if "many" in parts:
+            meeting = {k: n for k, n in self.kinds.items() if k in ("and", "set")}
+            first = inherited("many")
+            if meeting:
+                first = stage(first)
+                known = self.facts.unionByName(first)
+                new = stage(fire(first, known, self.axioms.where("kind in ('and', 'set')"), meeting, led=False).select(*FACT).distinct().join(first, FACT, "left_anti"))
+                first = replace(self, facts=known.unionByName(new), derivations=None)._saturated(new, max_rounds, [self.facts], [first, new])
+            found.append(first)
+        if "one" in parts:
+            found.append(inherited("one"))
+        leaves, uses = _union(found), None
+        if keep:
+            leaves = stage(leaves)
+            start = leaves.where("p = '' and x = c")
+            self_uses = _row(start, "self", "x", None, "x", [], F.lit(None).cast("string"))
+            every = self.axioms.unionByName(_union([edges[p] for p in ("one", "many") if p in parts]).withColumn("d", F.lit(None).cast("string")).select(*stored.columns))
+            uses = stage(_union([self.derivations, self_uses, fire(leaves, self.facts.unionByName(leaves), every, kinds, led=False).distinct()]))
+        return Closure(stored, self.facts.unionByName(leaves), uses, kinds)
+
+    def _saturated(self, new: DataFrame, max_rounds: int = 1000, fixed: list[DataFrame] | None = None, own: list[DataFrame] | None = None):
+        """The closure, facts `new` of it not having been joined yet.
+
+        fixed, own: given for leaves, that nothing leads to: facts that they rest on, and their own with `new` among them; their facts are returned.
+        """
+        kinds, keep = self.kinds or kinds_of(self.axioms), self.derivations is not None
+        parts, uses, fixed = own or [self.facts], [self.derivations] if keep else [], fixed or []
+        known_has, new_has = forms_of(self.facts) if own is None else FORMS, forms_of(new)
         for _ in range(max_rounds):
             if not new_has:
-                return replace(self, facts=_union(parts), derivations=stage(_union(uses).distinct()) if keep else None)
-            known = _union(parts)
-            found = fire(new, known, self.axioms, kinds, None, new_has, known_has)
+                if own is not None:
+                    return _union(parts)
+                return replace(self, facts=_union(parts), derivations=stage(_union(uses).distinct()) if keep else None, kinds=kinds)
+            known = _union([*fixed, *parts])
+            found = fire(new, known, self.axioms, kinds, None, new_has, known_has, own is None)
             if keep:
                 found = stage(found.distinct())
                 uses.append(found)
-            new = stage(found.select(*FACT).distinct().join(known, FACT, "left_anti"))
+            new = stage(found.select(*FACT).distinct().join(_union(parts), FACT, "left_anti"))
             new_has = forms_of(new)
             known_has |= new_has
             parts.append(new)
@@ -244,6 +387,8 @@ class Closure:
         """(g, child, parent): named classes and what subsumes them, owl:Nothing among it, owl:Thing and the class itself not."""
         inside = lambda c: F.col(c).substr(F.lit(2), F.length(c) - 2)
         named = self.facts.where("p = '' and startswith(x, '<') and startswith(c, '<') and x <> c").where((F.col("c") != THING) & (F.col("x") != NOTHING))
+        if self.kinds is not None and not {"isa", "rel"} & self.kinds.keys():
+            return named.select("g", inside("x").alias("child"), inside("c").alias("parent"))
         single = self.axioms.where("kind in ('isa', 'rel')").select("g", F.col("a").alias("x")).unionByName(self.axioms.where("kind = 'rel'").select("g", F.col("d").alias("x")))
         return named.join(single.distinct(), ["g", "x"], "left_anti").select("g", inside("x").alias("child"), inside("c").alias("parent"))
 
@@ -282,18 +427,20 @@ class Closure:
 
     def extend(self, quads: DataFrame) -> Closure:
         """With all of quads (those before among them): only axioms that are new are joined with what is known."""
-        every = stage(axioms(quads))
+        every = axioms(quads)
+        every = stage(every if self.derivations is not None else every.withColumn("ax", F.lit(None).cast("string")), by="kind")
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in every.columns]
         fresh = stage(every.alias("n").join(self.axioms.alias("o"), functools.reduce(Column.__and__, same), "left_anti"))
-        found = fire(self.facts, self.facts, fresh, kinds_of(fresh), every).unionByName(starting(fresh))
+        facts = stage(self.facts)
+        found = fire(facts, facts, fresh, kinds_of(fresh), every).unionByName(starting(fresh))
         whole = stage(self.axioms.unionByName(fresh))
         if "bottom" in kinds_of(whole) and "bottom" not in kinds_of(self.axioms):
-            found = found.unionByName(fire(self.facts, self.facts, fresh.limit(0), {"bottom"}))
+            found = found.unionByName(fire(facts, facts, fresh.limit(0), {"bottom": 0}))
         # owl:Thing may have become a condition for nodes that were there
         found = stage(found.unionByName(starting(whole)).distinct())
-        new = stage(found.select(*FACT).distinct().join(self.facts, FACT, "left_anti"))
+        new = stage(found.select(*FACT).distinct().join(facts, FACT, "left_anti"))
         kept = stage(self.derivations.unionByName(found).distinct()) if self.derivations is not None else None
-        return Closure(whole, stage(self.facts.unionByName(new)), kept)._saturated(new)
+        return Closure(whole, stage(facts.unionByName(new)), kept)._saturated(new)
 
     def _kept(self) -> DataFrame:
         if self.derivations is None:

@@ -50,8 +50,9 @@ def _clear() -> None:
             _delete(jvm, jvm.org.apache.hadoop.conf.Configuration(), path)
 
 
-def stage(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors cost no rework of what is before it."""
+def stage(df: DataFrame, path: str | None = None, compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lost executors cost no rework of what is before it. by: a text column of few values; who asks for one of them reads its files alone."""
     path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite").option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
