@@ -212,6 +212,20 @@ def test_empty_and_shared_function(spark):
     assert reasoning.classify(none).count() == 0 and axioms.classify_el(none).count() == 0 and reasoning.Closure.of(none).consistency().count() == 0
 
 
+def test_equal_restrictions_are_one_node(spark):
+    """Each class with a blank restriction of its own: by itself every class would be below every such node, as many facts as the square of the classes."""
+    sub, eq, n = f"<{RDFS}subClassOf>", f"<{OWL}equivalentClass>", 40
+    some = lambda node, p, filler: [(node, f"<{OWL}onProperty>", iri(p)), (node, f"<{OWL}someValuesFrom>", iri(filler))]
+    triples = [x for i in range(n) for x in [(iri(f"C{i}"), sub, f"_:c{i}"), *some(f"_:c{i}", "p", "D"), (iri(f"N{i}"), sub, f"_:o{i}"), *some(f"_:o{i}", "q", f"_:m{i}"), *some(f"_:m{i}", "p", "D")]]
+    triples += [(iri("E"), eq, "_:e"), *some("_:e", "p", "D"), (iri("Hit"), eq, "_:h"), *some("_:h", "q", "_:k"), *some("_:k", "p", "D"), (iri("L"), sub, "_:l"), *some("_:l", "p", "_:l"), (iri("K"), eq, "_:kl"), *some("_:kl", "p", "_:l")]
+    closure = reasoning.Closure.of(frame(spark, [(G, *x) for x in triples]), keep=True)
+    expected = {(f"C{i}", "E") for i in range(n)} | {(f"N{i}", "Hit") for i in range(n)} | {("L", "K")}
+    assert {(r.child.removeprefix(EX), r.parent.removeprefix(EX)) for r in closure.pairs().collect()} == expected
+    assert closure.facts.count() < 12 * n and closure.derivations.count() < 24 * n
+    found = reasoning.justifications(closure, closure.pairs().where("child in ('http://e/C3', 'http://e/N3')")).collect()
+    assert {(r.child.removeprefix(EX), *r.axioms) for r in found} == {("C3", f"{iri('C3')} {sub} _:c3", f"{iri('E')} {eq} _:e"), ("N3", f"{iri('Hit')} {eq} _:h", f"{iri('N3')} {sub} _:o3")}
+
+
 def test_rounds_leave_out_what_nothing_rests_on(spark, monkeypatch):
     """Classes that only have superclasses: what follows for them is read from these, and several of these meet once."""
     stated = [("sub", f"K{i}", f"K{i + 1}") for i in range(6)] + [("sub", f"X{i}", "K0") for i in range(30)] + [("disjoint", "K6", "B")] + [("sub", f"Y{i}", c) for i in range(30) for c in ("K2", "B")] + [("sub", "Y0", "B"), ("sub", "X0", "K0")]
