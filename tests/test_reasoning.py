@@ -236,3 +236,15 @@ def test_rounds_leave_out_what_nothing_rests_on(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and set(pairs) == named(plain(mirrored(stated)))
     assert not any(x.startswith(f"<{EX}X") for xs in met for x in xs)
     assert sum(any(x.startswith(f"<{EX}Y") for x in xs) for xs in met) <= 3 < len(met)
+
+
+def test_a_round_looks_at_what_it_derives_anew(spark, monkeypatch):
+    """A round of justifications is given facts that it found sets for, not all that were known before."""
+    stated = [("sub", f"K{i}", f"K{i + 1}") for i in range(6)]
+    given, least = [], reasoning._least
+    monkeypatch.setattr(reasoning, "_least", lambda sets, *key: (given.append(sets.count()), least(sets, *key))[1])
+    rows, text = quads(stated)
+    closure = reasoning.Closure.of(frame(spark, rows), keep=True)
+    found = reasoning.justifications(closure, spark.createDataFrame([(G, EX + "K0", EX + "K6")], "g string, child string, parent string")).collect()
+    assert [r.axioms for r in found] == [sorted(text.values())]
+    assert sum(given) <= 10

@@ -460,59 +460,78 @@ def classify(quads: DataFrame) -> DataFrame:
     return Closure.of(quads).pairs()
 
 
-def _relevant(derivations: DataFrame, goals: DataFrame) -> DataFrame:
-    """Uses of rules that the goals (facts) rest on."""
-    seen = front = stage(goals.select(*FACT).distinct())
+def _numbered(closure: Closure) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts (g, x, p, c, fact), stated triples (g, ax, said), and uses of rules by these numbers: (use, fact, premises, said)."""
+    number = lambda df, name: stage(df.withColumn(name, F.monotonically_increasing_id()))
+    facts = number(closure.facts.select(*FACT), "fact")
+    said = number(closure.axioms.where("ax is not null").select("g", "ax").distinct(), "said")
+    uses = number(closure._kept().join(facts, FACT).join(said, ["g", "ax"], "left").select("g", "fact", "premises", "said"), "use")
+    of = facts.select("g", F.col("x").alias("px"), F.col("p").alias("pp"), F.col("c").alias("pc"), F.col("fact").alias("premise"))
+    each = uses.where("size(premises) > 0").select("g", "use", "fact", "said", F.size("premises").alias("n"), F.explode("premises").alias("e")).select("g", "use", "fact", "said", "n", F.col("e.x").alias("px"), F.col("e.p").alias("pp"), F.col("e.c").alias("pc"))
+    met = each.join(of, ["g", "px", "pp", "pc"]).groupBy("use").agg(F.max("fact").alias("fact"), F.max("said").alias("said"), F.max("n").alias("n"), F.collect_list("premise").alias("premises")).where("size(premises) = n")
+    free = uses.where("size(premises) = 0").select("use", "fact", F.array().cast("array<long>").alias("premises"), "said")
+    return facts, said, stage(free.unionByName(met.drop("n")))
+
+
+def _relevant(uses: DataFrame, goals: DataFrame) -> DataFrame:
+    """Numbered uses of rules that the goals (a column fact) rest on."""
+    seen = front = goals
     parts = []
     while True:
-        rows = stage(derivations.join(front, FACT, "left_semi"))
+        rows = stage(uses.join(front, "fact", "left_semi"))
         parts.append(rows)
-        below = rows.select("g", F.explode("premises").alias("e")).select("g", "e.x", "e.p", "e.c").distinct()
-        front = stage(below.join(seen, FACT, "left_anti"))
+        front = stage(rows.select(F.explode("premises").alias("fact")).distinct().join(seen, "fact", "left_anti"))
         if front.isEmpty():
             return _union(parts)
         seen = stage(seen.unionByName(front))
 
 
-def _least(sets: DataFrame, key: list[str]) -> DataFrame:
-    """Per key the distinct sets (axs) that hold no other set of the key."""
-    distinct = sets.select(*key, "axs").distinct()
-    small = distinct.select(*key, F.col("axs").alias("within"))
-    held = distinct.join(small, key).where("size(within) < size(axs) and size(array_except(within, axs)) = 0").select(*key, "axs").distinct()
-    return distinct.join(held, [*key, "axs"], "left_anti")
+def _least(sets: DataFrame) -> DataFrame:
+    """Per fact the distinct sets (axs) that hold no other set of the fact."""
+    distinct = sets.select("fact", "axs").distinct()
+    small = distinct.select("fact", F.col("axs").alias("within"))
+    held = distinct.join(small, "fact").where("size(within) < size(axs) and size(array_except(within, axs)) = 0").select("fact", "axs").distinct()
+    return distinct.join(held, ["fact", "axs"], "left_anti")
 
 
 def justifications(closure: Closure, goals: DataFrame, most: int = 100) -> DataFrame:
     """(g, child, parent, axioms) for each goal (g, child, parent): its minimal sets of stated triples, all of them, a row each.
 
-    Each fact carries the minimal sets that derive it. A round joins, for every use of a rule, the sets of its premises and adds its axiom (growing), and
-    drops sets that hold another of the same fact (shrinking), until no fact gets a new set. A fact with more than `most` sets is an error: the result would not be whole.
-    A goal that doesn't follow has no row.
+    Each fact carries the minimal sets that derive it; facts and triples go by numbers until the end. A round joins, for every use of a rule, the sets of its premises and adds its axiom
+    (growing), and drops sets that hold another of the same fact (shrinking), until no fact gets a new set; only facts that a round derives anew are looked at.
+    A fact with more than `most` sets is an error: the result would not be whole. A goal that doesn't follow has no row.
     """
     name = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    asked = goals.select("g", name("child").alias("x"), F.lit("").alias("p"), name("parent").alias("c")).distinct()
-    uses = stage(_relevant(closure._kept(), asked).withColumn("use", F.monotonically_increasing_id()))
+    facts, said, numbered = _numbered(closure)
+    asked = stage(goals.select("g", name("child").alias("x"), F.lit("").alias("p"), name("parent").alias("c")).distinct().join(facts, FACT).select("fact"))
+    uses = stage(_relevant(numbered, asked))
     longest = uses.agg(F.max(F.size("premises"))).first()[0]
     if longest is None:
         return goals.select("g", "child", "parent").withColumn("axioms", F.lit(None).cast("array<string>")).limit(0)
-    own = F.when(F.col("ax").isNull(), F.array().cast("array<string>")).otherwise(F.array("ax"))
-    known = fresh = stage(_least(uses.where("size(premises) = 0").select(*FACT, own.alias("axs")), FACT))
+    own = F.when(F.col("said").isNull(), F.array().cast("array<long>")).otherwise(F.array("said"))
+    known = fresh = stage(_least(uses.where("size(premises) = 0").select("fact", own.alias("axs"))))
     rests = uses.where("size(premises) > 0")
     while True:
-        changed = fresh.select("g", F.struct("x", "p", "c").alias("e")).distinct()
-        hit = rests.select("g", "use", F.explode("premises").alias("e")).join(changed, ["g", "e"], "left_semi").select("use").distinct()
-        part = rests.join(hit, "use").select(*FACT, "use", "premises", own.alias("axs"))
+        changed = fresh.select(F.col("fact").alias("e")).distinct()
+        hit = rests.select("use", F.explode("premises").alias("e")).join(changed, "e", "left_semi").select("use").distinct()
+        part = rests.join(hit, "use", "left_semi").select("fact", "premises", own.alias("axs"))
+        sets = known.select(F.col("fact").alias("e"), F.col("axs").alias("more"))
         done = []
         for i in range(longest):
-            done.append(part.where(F.size("premises") == i).select(*FACT, "axs"))
-            sets = known.select("g", F.struct("x", "p", "c").alias("e"), F.col("axs").alias("more"))
-            part = part.where(F.size("premises") > i).withColumn("e", F.element_at("premises", i + 1)).join(sets, ["g", "e"]).withColumn("axs", F.array_sort(F.array_union("axs", "more"))).drop("e", "more").distinct()
-        found = _least(_union([known, *done, part.select(*FACT, "axs")]), FACT)
-        before, known = known, stage(found)
-        fresh = stage(known.join(before, [*FACT, "axs"], "left_anti"))
+            done.append(part.where(F.size("premises") == i).select("fact", "axs"))
+            part = part.where(F.size("premises") > i).withColumn("e", F.element_at("premises", i + 1)).join(sets, "e").withColumn("axs", F.array_sort(F.array_union("axs", "more"))).drop("e", "more")
+        derived = stage(_union([*done, part.select("fact", "axs")]).distinct().join(known, ["fact", "axs"], "left_anti"))
+        if derived.isEmpty():
+            break
+        touched = derived.select("fact").distinct()
+        better = stage(_least(derived.unionByName(known.join(touched, "fact", "left_semi"))))
+        fresh = stage(better.join(known, ["fact", "axs"], "left_anti"))
         if fresh.isEmpty():
             break
-        if not known.groupBy(*FACT).count().where(F.col("count") > most).isEmpty():
+        if not better.groupBy("fact").count().where(F.col("count") > most).isEmpty():
             raise RuntimeError(f"a fact has more than {most} justifications: raise the bound")
+        known = stage(known.join(touched, "fact", "left_anti").unionByName(better))
     inside = lambda c: F.col(c).substr(F.lit(2), F.length(c) - 2)
-    return known.join(asked, FACT, "left_semi").select("g", inside("x").alias("child"), inside("c").alias("parent"), F.col("axs").alias("axioms"))
+    found = stage(known.join(asked, "fact", "left_semi").withColumn("set", F.monotonically_increasing_id()))
+    texts = found.select("set", "fact", F.explode_outer("axs").alias("said")).join(said.select("said", "ax"), "said", "left").groupBy("set").agg(F.max("fact").alias("fact"), F.array_sort(F.collect_list("ax")).alias("axioms"))
+    return texts.join(facts, "fact").select("g", inside("x").alias("child"), inside("c").alias("parent"), "axioms")
