@@ -514,11 +514,12 @@ def justifications(closure: Closure, goals: DataFrame, most: int = 100) -> DataF
     while True:
         changed = fresh.select(F.col("fact").alias("e")).distinct()
         hit = rests.select("use", F.explode("premises").alias("e")).join(changed, "e", "left_semi").select("use").distinct()
-        part = rests.join(hit, "use", "left_semi").select("fact", "premises", own.alias("axs"))
+        part = stage(rests.join(hit, "use", "left_semi").select("fact", "premises", own.alias("axs")))  # read once for each number of premises
         sets = known.select(F.col("fact").alias("e"), F.col("axs").alias("more"))
         done = []
         for i in range(longest):
-            done.append(part.where(F.size("premises") == i).select("fact", "axs"))
+            if i:
+                done.append(part.where(F.size("premises") == i).select("fact", "axs"))
             part = part.where(F.size("premises") > i).withColumn("e", F.element_at("premises", i + 1)).join(sets, "e").withColumn("axs", F.array_sort(F.array_union("axs", "more"))).drop("e", "more")
         derived = stage(_union([*done, part.select("fact", "axs")]).distinct().join(known, ["fact", "axs"], "left_anti"))
         if derived.isEmpty():
